@@ -8,14 +8,16 @@ the data's size. Forgetting a piece costs time and changes no result.
 
 from __future__ import annotations
 
+import functools
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 500_000
+KEEP = 800_000
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +36,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # lower-case ASCII letters are one word that no normalizer or splitter changes
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = None
         self.unit = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -42,7 +48,7 @@ class WordEncoder:
         """(ids of all texts, one after the other; where each text's ids begin, and the end of the last)."""
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         pieces = lists.flatten().dictionary_encode()
-        found = self._lookup(pieces.dictionary.to_pylist())
+        found = self._lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         store = np.frombuffer(b"".join(found), self.unit)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.unit.itemsize
         begins = np.cumsum(lengths) - lengths
@@ -57,17 +63,17 @@ class WordEncoder:
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         known, older = self.known, self.older
         found = list(map(known.get, pieces))
-        new = []
-        for k, value in enumerate(found):
-            if value is None:
-                if (value := older.get(pieces[k])) is None:
-                    new.append(k)
-                else:
-                    found[k] = known[pieces[k]] = value
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([pieces[k] for k in new], add_special_tokens=False)
-            for k, e in zip(new, encoded, strict=True):
-                found[k] = known[pieces[k]] = np.array(e.ids, self.unit).tobytes()
+        plain, other = [], []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            piece = pieces[k]
+            if (ids := older.get(piece)) is not None:
+                found[k] = known[piece] = ids
+            else:
+                (plain if piece.isascii() and piece.isalpha() and piece.islower() else other).append(k)
+        for tokenizer, some in ((self.plain, plain), (self.tokenizer, other)):
+            encoded = tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)
+            for k, e in zip(some, encoded, strict=True):
+                found[k] = known[pieces[k]] = array(self.unit.char, e.ids).tobytes()
         if len(known) > KEEP:
             self.known, self.older = {}, known
         return found
@@ -84,10 +90,16 @@ def small(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -
         begin = end
 
 
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One per worker process, so that later tasks profit from what earlier ones met."""
+    return WordEncoder(path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For slices of Arrow batches with a column text: (slice, ids with ``end`` after each text, each text's bounds)."""
-    encoder = WordEncoder(path)
+    encoder = encoder_of(path)
     for whole in batches:
-        for batch in small(whole):
+        for batch in small(whole, limit=12_000_000):
             ids, bounds = encoder.ids(batch.column("text"))
             yield batch, np.insert(ids, bounds[1:], end).astype("<u4"), bounds + np.arange(len(bounds))
