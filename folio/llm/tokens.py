@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and never looks across it, so the ids of a text are those of its
 pieces between spaces and newlines, one after the other. Each worker encodes a piece that it has
-not met lately once; it remembers at most ``2 * KEEP`` pieces (about 200 bytes each), whatever
+not met lately once; it remembers at most about ``2 * KEEP`` pieces (about 200 bytes each), whatever
 the data's size. Forgetting a piece costs time and changes no result.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 800_000
+KEEP = 600_000
 
 
 def vocabulary(name: str) -> str:
@@ -100,6 +100,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     """For slices of Arrow batches with a column text: (slice, ids with ``end`` after each text, each text's bounds)."""
     encoder = encoder_of(path)
     for whole in batches:
-        for batch in small(whole, limit=12_000_000):
+        for batch in small(whole, limit=8_000_000):
             ids, bounds = encoder.ids(batch.column("text"))
             yield batch, np.insert(ids, bounds[1:], end).astype("<u4"), bounds + np.arange(len(bounds))
