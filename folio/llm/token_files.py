@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize, shared_dir
-from .tokens import encoded
+from .tokens import encoded, encoder_of
 
 MAX_BITS = 18
 BLOCK = 1 << 16
@@ -104,28 +104,28 @@ class Codes:
         return out.T[np.arange(STEP) < left[:, None]]
 
 
-def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(part, doc_id, ids: packed little-endian unsigned 16- or 32-bit) in ascending doc_id order over ascending parts."""
+def tokenized(docs: DataFrame, path: str, end: int, unit: str) -> DataFrame:
+    """(part, doc_id, ids: packed in ``unit``) in ascending doc_id order over ascending parts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for batch, ids, bounds in encoded(batches, path, end):
-            raw, at = ids.tobytes(), (bounds * 4).tolist()
+            raw, at = ids.astype(unit).tobytes(), (bounds * np.dtype(unit).itemsize).tolist()
             yield pa.record_batch({"part": pa.array([part] * batch.num_rows, pa.int32()), "doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
     ordered = id_and_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, f"part int, doc_id {kind}, ids binary")
 
 
-def id_counts(staged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def id_counts(staged: DataFrame, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, counts) over all rows. Each task sends one row per distinct id; the driver gets at most the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                n = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+            for k in range(0, batch.num_rows, 2000):
+                n = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(k, 2000).to_pylist()), unit))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n
@@ -139,8 +139,9 @@ def id_counts(staged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
     """Encode ``docs`` (doc_id, text) by the tokenizers file ``path``, ``end`` after each text, into ``folder``."""
     spark = docs.sparkSession
-    staged = materialize(tokenized(docs, path, end), "ids")
-    ids, counts = id_counts(staged)
+    unit = "<u2" if max(encoder_of(path).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+    staged = materialize(tokenized(docs, path, end, unit), "ids")
+    ids, counts = id_counts(staged, unit)
     bits = code_lengths(counts)
     shared = spark.sparkContext.broadcast((ids, bits))  # two numbers per id of the vocabulary
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -162,7 +163,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
                     start, held, size = start + size, [], 0
                 if p != part:
                     part, start = p, 0
-                held.append((doc_id, np.frombuffer(raw.as_buffer(), "<u4")))
+                held.append((doc_id, np.frombuffer(raw.as_buffer(), unit)))
                 size += len(held[-1][1])
         if held:
             yield block()

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 600_000
+KEEP = 450_000
 
 
 def vocabulary(name: str) -> str:
