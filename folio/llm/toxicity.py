@@ -121,10 +121,11 @@ def _bounded(known: dict) -> dict:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled texts that may be learned from. A hot doc_id's labels are one row."""
+    """(text, toxic) of labelled texts that may be learned from. A hot doc_id's labels are one row; labels grow
+    with the corpus, so they are never broadcast."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out())
-    return own.join(marks, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return own.join(marks.hint("merge"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
