@@ -12,7 +12,7 @@ from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RETRYABLE = {429, 502, 503, 504}
@@ -97,11 +97,6 @@ def is_private_url(url: str | None) -> bool:
     return address.is_private or address.is_loopback or address.is_link_local or address.is_reserved or address.is_multicast or address.is_unspecified
 
 
-@F.pandas_udf("boolean")
-def private_url(urls: pd.Series) -> pd.Series:
-    return urls.map(is_private_url).astype(bool)
-
-
 #: Fixed values of the extraction: meta names with the least length of their content, then element selectors likewise.
 METAS = (("citation_abstract", 1), ("dc.Description", 50), ("dc.description", 50), ("og:description", 50), ("description", 100))
 SECTIONS = (
@@ -171,11 +166,23 @@ def summary_of_feed(xml: str | None) -> str | None:
     return (found.text or "").strip() or None if found is not None else None
 
 
-@F.pandas_udf("string")
-def html_abstract(html: pd.Series) -> pd.Series:
-    return html.map(abstract_of_html)
+def _mapped(f: Callable, kind: str, column: Column) -> Column:
+    """``f`` over a column in Arrow batches; nulls are passed as None."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([f(v) for v in values], dtype=bool if kind == "boolean" else object)
+
+    return run(column)
+
+
+def private_url(url: Column) -> Column:
+    return _mapped(is_private_url, "boolean", url)
+
+
+def html_abstract(html: Column) -> Column:
+    return _mapped(abstract_of_html, "string", html)
 
 
-@F.pandas_udf("string")
-def feed_summary(xml: pd.Series) -> pd.Series:
-    return xml.map(summary_of_feed)
+def feed_summary(xml: Column) -> Column:
+    return _mapped(summary_of_feed, "string", xml)
