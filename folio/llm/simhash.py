@@ -79,9 +79,9 @@ def near(a: Column, b: Column, distance: int) -> Column:
 def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, root) of every distinct fingerprint that links to another: components of the link graph."""
     keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance)))).alias("s", "k")
-    # 70 rows come of each: a fixed number of partitions is not merged as the small input would be
+    # 70 rows come of each: a shuffle of its own, by another key, is not merged as the small input would be
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = fps.select("fp").distinct().repartition(n, "fp").select("fp", keys)
+    postings = fps.select("fp").distinct().repartition(n, F.xxhash64("fp")).select("fp", keys)
     buckets = postings.groupBy("s", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
     members = materialize(postings.join(buckets, ["s", "k"]), "members")
     stars = [members.select(F.col("fp").alias("u"), F.col(p).alias("v")).where(near(F.col("u"), F.col("v"), distance)) for p in ("lo", "hi")]
@@ -119,5 +119,5 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     groups = near_duplicates(docs, distance)
     heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    own = docs.join(heads, docs["doc_id"].eqNullSafe(heads["__id"]), "left_semi")
+    own = docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(heads["__id"]), "left_semi")
     return own.dropDuplicates(["doc_id", "text"])

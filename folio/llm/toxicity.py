@@ -25,10 +25,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .tokens import small
@@ -117,7 +117,7 @@ class Model:
 
 
 def _bounded(known: dict) -> dict:
-    return {} if len(known) > 500_000 else known
+    return {} if len(known) > 200_000 else known
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,15 +227,17 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridge: f
 def scored(docs: DataFrame, model: Model, column: str = "__toxicity") -> DataFrame:
     """``docs`` with all its columns and a score from 0 to 1 in ``column``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features features
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = shared.value, {}
-        for texts in parts:
-            known = _bounded(known)
-            yield pd.Series([own.probability(own.evidence(*own.passages(t or "", known))) for t in texts], dtype="float64")
+        for whole in batches:
+            for batch in small(whole):
+                known = _bounded(known)
+                scores = [own.probability(own.evidence(*own.passages(t or "", known))) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return docs.withColumn(column, score(F.col("text")))
+    return docs.mapInArrow(run, schema)
 
 
 def toxic_passages(docs: DataFrame, model: Model, chance: float = 0.01) -> DataFrame:
