@@ -129,7 +129,7 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, toxic, clean): texts that have the word. Tasks send each distinct word at most every 200,000 words they hold."""
+    """(word, toxic, clean): texts that have the word. Tasks send each distinct word once for every 100,000 words they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: list[Counter[str]] = [Counter(), Counter()]
@@ -145,7 +145,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for batch in small(whole):
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                     tables[bool(toxic)].update(set(words_of(text)))
-                if len(tables[0]) + len(tables[1]) > 200_000:
+                if len(tables[0]) + len(tables[1]) > 100_000:
                     yield rows()
         yield rows()
 
