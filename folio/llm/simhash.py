@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
 from .components import components
-from .tokens import small
+from .tokens import release, small
 
 SHINGLE = 4
 DISTANCE = 4
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in small(whole):
                 fps = [fingerprint(t or "") for t in batch.column("text").to_pylist()]
@@ -98,12 +99,17 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return joined.select("fp", F.coalesce("top", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id reachable over links, one row per row of ``docs``."""
+def _groups(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, fp; fingerprints: fp, root; components: root, component_id)."""
     own = materialize(fingerprints(docs), "fingerprints")
     least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = materialize(least.join(linked(own, distance), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    heads = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own, roots, roots.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id reachable over links, one row per row of ``docs``."""
+    own, roots, heads = _groups(docs, distance)
     return own.join(roots.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -117,7 +123,11 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Of equal rows (doc_id and text) one stays; another text under the same doc_id stays too.
     """
-    groups = near_duplicates(docs, distance)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    own = docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(heads["__id"]), "left_semi")
-    return own.dropDuplicates(["doc_id", "text"])
+    own, _, heads = _groups(docs, distance)
+    head = heads.select(F.col("component_id").alias("__id"))
+    kept = docs.join(head.hint("merge"), docs["doc_id"].eqNullSafe(head["__id"]), "left_semi")
+    again = own.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
+    if again.isEmpty():
+        return kept
+    repeated = lambda how: kept.join(again, kept["doc_id"].eqNullSafe(again["__id"]), how)
+    return repeated("left_anti").union(repeated("left_semi").dropDuplicates(["doc_id", "text"]))

@@ -96,6 +96,11 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def release() -> None:
+    """Free what earlier tasks of other operators left in this worker process."""
+    encoder_of.cache_clear()
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For slices of Arrow batches with a column text: (slice, ids with ``end`` after each text, each text's bounds)."""
     encoder = encoder_of(path)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .tokens import small
+from .tokens import release, small
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGIN = (3, 4, 5, 6)
@@ -132,6 +132,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """(word, toxic, clean): texts that have the word. Tasks send each distinct word once for every 100,000 words they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tables: list[Counter[str]] = [Counter(), Counter()]
 
         def rows() -> pa.RecordBatch:
@@ -230,6 +231,7 @@ def scored(docs: DataFrame, model: Model, column: str = "__toxicity") -> DataFra
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own, known = shared.value, {}
         for whole in batches:
             for batch in small(whole):
