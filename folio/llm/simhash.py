@@ -84,7 +84,8 @@ def linked(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = fps.select("fp").distinct().repartition(n, F.xxhash64("fp")).select("fp", keys)
     buckets = postings.groupBy("s", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    members = materialize(postings.join(buckets, ["s", "k"]), "members")
+    # merged at every size: the optimizer takes postings for as small as the fingerprints they come from
+    members = materialize(postings.join(buckets.hint("merge"), ["s", "k"]), "members")
     stars = [members.select(F.col("fp").alias("u"), F.col(p).alias("v")).where(near(F.col("u"), F.col("v"), distance)) for p in ("lo", "hi")]
     first = components(stars[0].union(stars[1]))
     # what these stars leave apart inside a key
