@@ -37,8 +37,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let no Arrow batch that goes to Python exceed ``size`` bytes by more than a row, whatever its texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text (null text: empty), so that other columns can't clash."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .tokens import release, small
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -154,6 +154,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, z: float = 5.0, least: float = 2.0, prior: float = 20.0, max_features: int = 50_000) -> Model:
+    bound_batches(docs.sparkSession)
     labelled = materialize(training(docs, labels), "labelled")
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy((F.col("toxic") != 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = float(sizes.get(True, 0)), float(sizes.get(False, 0))
