@@ -61,8 +61,9 @@ def rebuilt_abstract(index: Column) -> Column:
     """Text of an inverted index (word to positions); of words at one position the last entry's stays; null without words."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     numbered = F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
-    ordered = F.array_sort(numbered)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
+    # The sorted array is bound to a lambda variable: named inside the filter, it would be sorted again for every element.
+    last_of = lambda o: F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True)))
+    last = F.get(F.transform(F.array(F.array_sort(numbered)), last_of), F.lit(0))
     return F.nullif(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
 
 
