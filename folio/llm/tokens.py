@@ -1,15 +1,17 @@
 """Whole texts to ids by a public word-piece vocabulary, through the tokenizers library.
 
 The tokenizer drops white space and never looks across it, so the ids of a text are those of its
-pieces between spaces and newlines, one after the other. Each worker encodes a piece that it has
-not met lately once; it remembers at most about ``2 * KEEP`` pieces (about 200 bytes each), whatever
-the data's size. Forgetting a piece costs time and changes no result.
+pieces between spaces and newlines, one after the other. A word with signs after it is looked up as
+two parts, in lower case. Each worker encodes a part that it has not met lately once; it remembers
+at most about ``2 * KEEP`` parts (about 200 bytes each), whatever the data's size. Forgetting a part
+costs time and changes no result.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -18,6 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 KEEP = 450_000
+#: Latin-1 letters, then ASCII signs: two pieces to the splitter, which lower-casing one by one brings into final form.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Byte-level form of bytes that are no visible Latin-1 character: the n-th of them is character 256 + n.
+HIDDEN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def byte_level(part: str) -> str:
+    return part if part.isascii() else part.encode().decode("latin-1").translate(HIDDEN)
 
 
 def vocabulary(name: str) -> str:
@@ -36,12 +46,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # lower-case ASCII letters are one word that no normalizer or splitter changes
+        # for what is one word or one run of signs in its final form
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.plain.pre_tokenizer = None
         self.unit = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,23 +71,37 @@ class WordEncoder:
         return store[at], ends[offsets - offsets[0]]
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
-        known, older = self.known, self.older
-        found = list(map(known.get, pieces))
-        plain, other = [], []
+        found = list(map(self.known.get, pieces))
+        words, other = [], []
         for k in [k for k, ids in enumerate(found) if ids is None]:
-            piece = pieces[k]
-            if (ids := older.get(piece)) is not None:
-                found[k] = known[piece] = ids
+            if m := WORD.fullmatch(pieces[k]):
+                words.append((k, m[1].lower(), m[2]))
             else:
-                (plain if piece.isascii() and piece.isalpha() and piece.islower() else other).append(k)
-        for tokenizer, some in ((self.plain, plain), (self.tokenizer, other)):
-            encoded = tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)
-            for k, e in zip(some, encoded, strict=True):
-                found[k] = known[pieces[k]] = array(self.unit.char, e.ids).tobytes()
+                other.append(k)
+        self._learn(self.plain, [x for _, word, tail in words for x in (word, tail)], byte_level)
+        self._learn(self.tokenizer, [pieces[k] for k in other])
+        known = self.known
+        for k, word, tail in words:
+            found[k] = known[word] + known[tail] if tail else known[word]
+        for k in other:
+            found[k] = known[pieces[k]]
         if len(known) > KEEP:
-            self.known, self.older = {}, known
+            self.known, self.older = {"": b""}, known
         return found
 
+    def _learn(self, tokenizer, parts: list[str], form=None) -> None:
+        """Put the ids of ``parts`` into ``known``."""
+        known, older, new = self.known, self.older, []
+        for part in dict.fromkeys(parts):
+            if part not in known:
+                if (ids := older.get(part)) is None:
+                    new.append(part)
+                else:
+                    known[part] = ids
+        encoded = tokenizer.encode_batch_fast(list(map(form, new)) if form else new, add_special_tokens=False)
+        for part, e in zip(new, encoded, strict=True):
+            known[part] = array(self.unit.char, e.ids).tobytes()
+
 
 def small(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of text, whatever the length of its rows."""
