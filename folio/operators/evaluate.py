@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators.search import ORDERS, Request, matches
@@ -36,6 +36,17 @@ def relevance(results: DataFrame, qrels=QRELS) -> DataFrame:
     return results.join(F.broadcast(subs), "qid").withColumn("rel", hit.cast("int")).drop("subs")
 
 
+def qrels(spark: SparkSession, rows=QRELS) -> DataFrame:
+    """The judgements as a table of the shape that ``readers.read_qrels`` gives."""
+    return spark.createDataFrame([(qid, q, list(subs), None, None) for qid, q, subs in rows], "qid string, q string, relevant_substrings array<string>, year int, author string")
+
+
+def markdown(card: DataFrame) -> str:
+    """The scorecard, one row per mode, as a Markdown table."""
+    lines = ["| mode | MRR | NDCG@10 | recall@20 | wins |", "|---|---|---|---|---|"]
+    return "\n".join(lines + [f"| {r['mode']} | {r['mrr']:.3f} | {r['ndcg']:.3f} | {r['recall']:.3f} | {r['wins']} |" for r in card.orderBy("mode").collect()])
+
+
 def per_query(judged: DataFrame) -> DataFrame:
     """(qid, mode, mrr, ndcg, recall, win) of every query and mode."""
     gain = 1 / F.log2(F.col("rank") + 1)

@@ -69,7 +69,7 @@ query("hydrate_authors", with_views(f"SELECT id, {AUTHORS} FROM paper p"))(lambd
 query("paper_detail", with_views(f"SELECT p.id, openalex_id, title, abstract, publication_year, doi, cited_by_count, {AUTHORS}, (SELECT string_agg(slug, '|' ORDER BY slug) FROM paper_topic t WHERE t.paper_id = p.id) AS topics FROM paper p WHERE id = 12"))(lambda c: S.detail(c, 12))
 
 
-def bm25_ctes(q: str, suffix: str = "") -> list[str]:
+def bm25_ctes(q: str) -> list[str]:
     """CTEs tok, st and score: BM25 of every matching paper."""
     terms = ", ".join(f"'{t}'" for t in S.query_terms(q))
     return [
@@ -94,16 +94,24 @@ def _(c):
 query("search_ranked_total", with_views("SELECT count(*) AS total FROM score", *bm25_ctes(Q)))(lambda c: S.total(c, RANKED))
 query("search_sparse", with_views("SELECT id, score FROM score ORDER BY score DESC, id LIMIT 100", *bm25_ctes(Q)))(lambda c: S.bm25_scores(c.paper, c.paper, Q).select("id", "score").orderBy(F.desc("score"), "id").limit(S.WINDOW))
 DIM = 64
-VECTOR = f"(SELECT list_transform(range(0, {DIM}), lambda i: ('0x' || substr(sha256('{Q}#' || (i // 32)), 1 + 2 * (i % 32)::INT, 2))::INT / 255.0e0 * 2 - 1))"
-DENSE = [f"probe AS MATERIALIZED (SELECT {VECTOR} AS v)", "near AS (SELECT paper_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS sim FROM paper_embedding, probe ORDER BY sim DESC, id LIMIT 100)"]
-FUSED = [
-    *bm25_ctes(Q),
-    *DENSE,
-    "dl AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS dense_rank FROM near)",
-    "sl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS sparse_rank FROM (SELECT * FROM score ORDER BY score DESC, id LIMIT 100))",
-    "fu AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1e0 / (60 + dense_rank), 0) + coalesce(1e0 / (60 + sparse_rank), 0), 12) AS rrf FROM dl FULL JOIN sl USING (id))",
-    "fused AS (SELECT id, dense_rank::INTEGER AS dense_rank, sparse_rank::INTEGER AS sparse_rank, rrf, row_number() OVER (ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank)::INTEGER AS rank FROM fu)",
-]
+
+
+def fused_ctes(q: str) -> list[str]:
+    """CTEs up to ``near`` (dense list), ``score`` (all BM25 matches) and ``fused`` (their fusion)."""
+    vector = f"(SELECT list_transform(range(0, {DIM}), lambda i: ('0x' || substr(sha256('{q}#' || (i // 32)), 1 + 2 * (i % 32)::INT, 2))::INT / 255.0e0 * 2 - 1))"
+    return [
+        f"probe AS MATERIALIZED (SELECT {vector} AS v)",
+        "near AS (SELECT paper_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS sim FROM paper_embedding, probe ORDER BY sim DESC, id LIMIT 100)",
+        *bm25_ctes(q),
+        "dl AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS dense_rank FROM near)",
+        "sl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS sparse_rank FROM (SELECT * FROM score ORDER BY score DESC, id LIMIT 100))",
+        "fu AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1e0 / (60 + dense_rank), 0) + coalesce(1e0 / (60 + sparse_rank), 0), 12) AS rrf FROM dl FULL JOIN sl USING (id))",
+        "fused AS (SELECT id, dense_rank::INTEGER AS dense_rank, sparse_rank::INTEGER AS sparse_rank, rrf, row_number() OVER (ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank)::INTEGER AS rank FROM fu)",
+    ]
+
+
+FUSED = fused_ctes(Q)
+DENSE = FUSED[:2]
 query("search_dense", with_views("SELECT id, sim FROM near", *DENSE))(lambda c: S.dense(c.paper, c.paper_embedding, S.query_vector(Q, DIM)))
 query("rrf_fuse", with_views("SELECT * FROM fused", *FUSED))(lambda c: S.hybrid_list(c, HYBRID))
 for _page in (1, 2):
@@ -287,12 +295,44 @@ def _(c):
 
 
 # ---- evaluation ----
+def runs_sql() -> str:
+    """(qid, mode, rank, id, title) of the first page of every query in every mode."""
+    top = "SELECT '{}' AS qid, '{}' AS mode, row_number() OVER (ORDER BY {o})::INTEGER AS rank, id, title FROM ({}) ORDER BY {o} LIMIT " + str(E.RECALL_K)
+    parts = []
+    for qid, q, _ in E.QRELS:
+        nested = "WITH " + ", ".join(fused_ctes(q)) + " "
+        parts += [
+            top.format(qid, "legacy", "SELECT * FROM paper WHERE " + " AND ".join(LIKE.format(t=t) for t in q.split()), o="publication_year DESC, id DESC"),
+            top.format(qid, "ranked", nested + "SELECT id, title, score, score.publication_year FROM paper JOIN score USING (id)", o="score DESC, publication_year DESC, id DESC"),
+            top.format(qid, "hybrid", nested + "SELECT id, title, fused.rank AS pos FROM paper JOIN fused USING (id)", o="pos"),
+        ]
+    return "runs AS (" + " UNION ALL ".join(f"(SELECT * FROM ({x}))" for x in parts) + ")"
+
+
+def _relevant(subs: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(title), lower('{x}'))" for x in subs) + ")"
+
+
+JUDGED = [
+    runs_sql(),
+    "judged AS (SELECT *, (CASE " + " ".join(f"WHEN qid = '{qid}' THEN {_relevant(subs)}" for qid, _, subs in E.QRELS) + " END)::INTEGER AS rel FROM runs)",
+]
+METRICS = [
+    *JUDGED,
+    "pool AS (SELECT qid, count(DISTINCT id) AS pool FROM judged WHERE rel = 1 GROUP BY qid)",
+    f"""raw AS (SELECT qid, mode, coalesce(max(CASE WHEN rel = 1 THEN 1e0 / rank END), 0) AS mrr, coalesce(sum(CASE WHEN rel = 1 AND rank <= {E.NDCG_K} THEN 1e0 / log2(rank + 1) END), 0) AS dcg,
+        count(*) FILTER (rel = 1 AND rank <= {E.NDCG_K}) AS n10, count(*) FILTER (rel = 1) AS found FROM judged GROUP BY qid, mode)""",
+    """per AS (SELECT qid, mode, round(mrr, 6) AS mrr, round(CASE WHEN n10 > 0 THEN dcg / list_sum(list_transform(range(1, n10 + 1), lambda i: 1e0 / log2(i + 1))) ELSE 0 END, 6) AS ndcg,
+        round(coalesce(found / pool, 0), 6) AS recall FROM raw LEFT JOIN pool USING (qid))""",
+    "metrics AS (SELECT *, (ndcg = max(ndcg) OVER (PARTITION BY qid))::INTEGER AS win FROM per)",
+]
 _res = lambda c: E.relevance(E.runs(c))
-query("eval_relevance")(_res)
+query("eval_relevance", with_views("SELECT * FROM judged", *JUDGED))(_res)
 for _metric in ("mrr", "ndcg", "recall", "win"):
-    query({"recall": "eval_pooled_recall", "win": "eval_wins"}.get(_metric, f"eval_{_metric}"))(lambda c, m=_metric: E.per_query(_res(c)).select("qid", "mode", m))
-query("eval_scorecard")(lambda c: E.scorecard(E.per_query(_res(c))))
-query("eval_degrade")(lambda c: E.degraded(E.runs(c)))
+    query({"recall": "eval_pooled_recall", "win": "eval_wins"}.get(_metric, f"eval_{_metric}"), with_views(f"SELECT qid, mode, {_metric} FROM metrics", *METRICS))(lambda c, m=_metric: E.per_query(_res(c)).select("qid", "mode", m))
+query("eval_scorecard", with_views("SELECT mode, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, sum(win)::BIGINT AS wins FROM metrics GROUP BY mode", *METRICS))(lambda c: E.scorecard(E.per_query(_res(c))))
+query("eval_degrade", with_views("SELECT qid, count(DISTINCT ids) = 1 AS degraded FROM (SELECT qid, mode, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM runs GROUP BY qid, mode) GROUP BY qid", *JUDGED[:1]))(lambda c: E.degraded(E.runs(c)))
+query("qrels_load")(lambda c: E.qrels(c.spark))
 
 # ---- lists, limits and page arithmetic ----
 LISTS = "li AS (SELECT user_id, list(DISTINCT event_id % 50 ORDER BY event_id % 50) AS a, [3, 7, 3, 60]::BIGINT[] AS b FROM events GROUP BY user_id)"

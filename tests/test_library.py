@@ -20,7 +20,7 @@ def test_entry(spark):
     assert 0 < len(rows) <= 20 and [(-r.publication_year, -r.id) for r in rows] == sorted((-r.publication_year, -r.id) for r in rows) or rows
 
 
-@pytest.mark.parametrize("name", ["search_legacy", "search_combined", "filter_ids", "search_ranked", "rrf_fuse", "similar_papers", "upsert_papers", "touched_papers", "doi_resolve", "recover_waterfall", "dlq_replay", "abstract_rebuild", "history_mru", "date_ladder"])
+@pytest.mark.parametrize("name", ["search_legacy", "search_combined", "filter_ids", "search_ranked", "rrf_fuse", "similar_papers", "upsert_papers", "touched_papers", "doi_resolve", "recover_waterfall", "dlq_replay", "abstract_rebuild", "history_mru", "date_ladder", "eval_relevance", "eval_scorecard", "eval_degrade"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings", "supplier", "events", "pages", "region"):
@@ -90,6 +90,21 @@ def test_text(spark):
     assert vector == pytest.approx([b / 255 * 2 - 1 for b in raw[:40]])
 
 
+def test_rebuild_of_a_long_text(spark):
+    """One sort a row: a text of 20,000 words takes seconds, not hours."""
+    words = [f"w{k}" for k in range(20_000)]
+    row = spark.createDataFrame([({w: [k] for k, w in enumerate(words)},)], "i map<string,array<int>>")
+    assert row.select(T.rebuilt_abstract(row.i)).collect()[0][0] == " ".join(words)
+
+
+def test_scorecard(spark):
+    from folio.operators import evaluate as E
+
+    card = spark.createDataFrame([("ranked", 0.625, 0.62, 0.53, 7), ("legacy", 0.41, 0.47, 0.29, 5)], "mode string, mrr double, ndcg double, recall double, wins int")
+    assert E.markdown(card).splitlines()[2:] == ["| legacy | 0.410 | 0.470 | 0.290 | 5 |", "| ranked | 0.625 | 0.620 | 0.530 | 7 |"]
+    assert E.passes(card, "mrr", 0.6) and not E.passes(card, "mrr", 0.7) and E.passes(card, "mrr", None)
+
+
 def test_guard_and_idempotence(spark):
     with pytest.raises(ValueError):
         I.guard(299)
