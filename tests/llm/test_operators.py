@@ -319,3 +319,22 @@ def test_url_filters(spark):
     index, every = url_filter.Index(rules, {}), url_filter.Index([url_filter.Rule(r.verdict, r.name, r.expression, ()) for r in rules], {})
     assert all(index.judge(*p) == every.judge(*p) for p in (url_filter.parts("http://" + u) for u in random))
     assert url_filter.judge(pages.limit(0)).collect() == [] and url_filter.judge(pages, []).where("verdict = 'block'").count() == 0
+
+
+def test_word_encoder_equals_the_library():
+    """Cached parts give the ids of whole texts, whatever letters, signs and spaces meet."""
+    import random
+
+    import pyarrow as pa
+
+    from folio.llm.tokens import WordEncoder, vocabulary
+
+    rnd = random.Random(5)
+    letters = "aAbZéÉßÿÀİıŒµªº×÷ñ'’.,!?-()`[]{}~@#0 9\n\t\u00a0\u0301ẞ中ΣςσǅŉK\r<|>stremvld"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    texts += ["<|endoftext|> <|startoftext|>", "it's 'start O'NEIL'S we'LL 'twas", "".join(map(chr, range(1, 0x250))), "", None]
+    encoder = WordEncoder(vocabulary("word_bpe_49k.json"))
+    want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        ids, bounds = encoder.ids(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
