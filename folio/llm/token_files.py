@@ -105,17 +105,22 @@ class Codes:
 
 
 def tokenized(docs: DataFrame, path: str, end: int, unit: str) -> DataFrame:
-    """(part, doc_id, ids: packed in ``unit``) in ascending doc_id order over ascending parts."""
+    """(part, start, doc_id, ids: packed in ``unit``) in ascending doc_id order over ascending parts.
+
+    ``start`` counts the ids before a row in its part. It is taken here, where one task has the whole
+    part: the stored table's files may be split among tasks at any row group.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, before = TaskContext.get().partitionId(), 0
         for batch, ids, bounds in encoded(batches, path, end):
             raw, at = ids.astype(unit).tobytes(), (bounds * np.dtype(unit).itemsize).tolist()
-            yield pa.record_batch({"part": pa.array([part] * batch.num_rows, pa.int32()), "doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+            yield pa.record_batch({"part": pa.array([part] * batch.num_rows, pa.int32()), "start": pa.array(before + bounds[:-1], pa.int64()), "doc_id": batch.column("doc_id"), "ids": pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+            before += len(ids)
 
     ordered = id_and_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, f"part int, doc_id {kind}, ids binary")
+    return ordered.mapInArrow(run, f"part int, start long, doc_id {kind}, ids binary")
 
 
 def id_counts(staged: DataFrame, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +162,13 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
             return pa.record_batch(row)
 
         for batch in batches:
-            for p, doc_id, raw in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                if held and (p != part or size >= BLOCK):
+            for p, at, doc_id, raw in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                # a task may begin inside a part and go on at any other place
+                if held and (p != part or at != start + size or size >= BLOCK):
                     yield block()
-                    start, held, size = start + size, [], 0
-                if p != part:
-                    part, start = p, 0
+                    held, size = [], 0
+                if not held:
+                    part, start = p, at
                 held.append((doc_id, np.frombuffer(raw.as_buffer(), unit)))
                 size += len(held[-1][1])
         if held:

@@ -171,6 +171,29 @@ def test_token_files(docs, empty):
     assert token_files.op5(empty, WORDS).collect() == []
 
 
+def test_token_files_of_split_parts(spark):
+    """A part whose stored file is read by several tasks keeps its starts."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    texts = [f"w{k} " * (k % 90) + "one two" for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    conf.set("parquet.block.size", "4096")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = token_files.op5(docs, WORDS).orderBy("doc_id").collect()
+    finally:
+        conf.unset("parquet.block.size")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    from tokenizers import Tokenizer
+
+    start = 0
+    for r, e in zip(out, Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_codes():
     rng = np.random.default_rng(1)
     counts = rng.zipf(1.2, 3000)
