@@ -31,6 +31,10 @@ from .tokens import release, small
 
 SHINGLE = 4
 DISTANCE = 4
+#: Of near copies in a corpus: words of a run, least similarity in tenths, and the bands that find candidates.
+GRAM, SHARE = 5, 8
+BANDS, BAND = 16, 4
+FACTORS, TERMS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -119,16 +123,114 @@ def op4(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row(docs: DataFrame) -> Column:
+    """Hash of a row's text, null as empty: with the doc_id, what a row is known by."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _grams(text: str) -> tuple[int, np.ndarray]:
+    """(hash of the words, hashes of the distinct runs of GRAM words); a shorter text is one run, one without words has none."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    runs = {digest(b" ".join(words[k : k + GRAM])) for k in range(max(1, len(words) - GRAM + 1))} if words else ()
+    node = digest(b" ".join(words), 7)
+    return node - (1 << 64) if node >> 63 else node, np.fromiter(runs, np.uint64, len(runs))
+
+
+def _bands(grams: np.ndarray) -> list[int]:
+    """One signed hash per band of BAND min-hashes."""
+    if not len(grams):
+        return []
+    least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(grams), 4096):
+        least = np.minimum(least, (grams[k : k + 4096, None] * FACTORS + TERMS).min(axis=0))
+    import xxhash
+
+    rows = least.reshape(BANDS, BAND)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), 3) for r in rows], np.uint64).view(np.int64).tolist()
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw: hash of the text, node: hash of its words, fp, bands) of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for whole in batches:
+            for batch in small(whole):
+                nodes, fps, bands = [], [], []
+                for t in batch.column("text").to_pylist():
+                    node, grams = _grams(t)
+                    nodes.append(node)
+                    fps.append(fingerprint(t))
+                    bands.append(_bands(grams))
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "node": pa.array(nodes, pa.int64()), "fp": pa.array(fps, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    own = id_and_text(docs)
+    return own.withColumn("raw", _row(own)).mapInArrow(run, f"doc_id {kind}, raw long, node long, fp long, bands array<long>")
+
+
+def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, grams) of the texts whose hash ``raw`` is in ``chosen``, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small(whole, limit=1_000_000):
+                both = [_grams(t) for t in batch.column("text").to_pylist()]
+                yield pa.record_batch({"node": pa.array([n for n, _ in both], pa.int64()), "grams": pa.array([g.view(np.int64) for _, g in both], pa.list_(pa.int64()))})
+
+    own = id_and_text(docs)
+    texts = own.select(_row(own).alias("raw"), "text").join(chosen.hint("merge"), "raw", "left_semi").dropDuplicates(["raw"])
+    return texts.select("text").mapInArrow(run, "node long, grams array<long>")
+
+
+def _copies(docs: DataFrame, own: DataFrame, distance: int) -> DataFrame:
+    """(node, root) of the nodes linked by fingerprints or by a share of GRAM-word runs of at least SHARE / 10.
+
+    Candidates share a band; each is then verified on the whole sets of runs.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = materialize(own.groupBy("node").agg(F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    grouped = nodes.select("node", "fp").join(linked(nodes, distance), "fp", "left").select("node", F.coalesce("root", "fp").alias("g"))
+    by_bits = grouped.join(grouped.groupBy("g").agg(F.min("node").alias("v")), "g").select(F.col("node").alias("u"), "v").where("u <> v")
+    postings = nodes.repartition(n, F.xxhash64("node")).select("node", F.posexplode("bands").alias("s", "k"))
+    buckets = postings.groupBy("s", "k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    members = materialize(postings.join(buckets.hint("merge"), ["s", "k"]), "members")
+    grams = materialize(_grams_of(docs, nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("raw")), "grams")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g_{x}")).hint("merge") for x in "uv")
+        both = pairs.distinct().join(a, "u").join(b, "v").withColumn("__n", F.size(F.array_intersect("g_u", "g_v")))
+        return both.where(10 * F.col("__n") >= SHARE * (F.size("g_u") + F.size("g_v") - F.col("__n"))).select("u", "v")
+
+    stars = members.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    sure = materialize(by_bits.union(verified(stars)), "links")
+    labels = components(sure)
+    labelled = materialize(members.select("s", "k", "node").join(labels, "node", "left").select("s", "k", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    apart = labelled.groupBy("s", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "k")
+    rest = labelled.join(apart, ["s", "k"])
+    left, right = (rest.select("s", "k", F.col("node").alias(x), F.col("root").alias(f"r_{x}")) for x in "uv")
+    pairs = left.join(right, ["s", "k"]).where("u > v and r_u <> r_v").select("u", "v")
+    return components(sure.union(verified(pairs)))
+
+
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with all its columns, one document of each component: its least doc_id.
+    """``docs`` with all its columns, one row of each component of near copies: its least (doc_id, hash of the text), null doc_ids last.
 
-    Of equal rows (doc_id and text) one stays; another text under the same doc_id stays too.
+    Links are those of op4 and those of texts whose sets of five-word runs have a Jaccard similarity of
+    0.8 or more. A pair of exactly 0.8 shares no band, and so is missed, with a chance of 1 in 4,500.
     """
-    own, _, heads = _groups(docs, distance)
-    head = heads.select(F.col("component_id").alias("__id"))
-    kept = docs.join(head.hint("merge"), docs["doc_id"].eqNullSafe(head["__id"]), "left_semi")
-    again = own.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
+    own = materialize(_signatures(docs), "signatures")
+    roots = own.select("doc_id", "raw", "node").join(_copies(docs, own, distance).hint("merge"), "node", "left").select("doc_id", "raw", F.coalesce("root", "node").alias("root"))
+    least = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("h"))
+    head = materialize(least.select(F.col("h.doc_id").alias("__id"), F.col("h.raw").alias("__raw")), "heads")
+    is_head = lambda rows, other: rows["doc_id"].eqNullSafe(other["__id"]) & (_row(rows) == other["__raw"])
+    kept = docs.join(head.hint("merge"), is_head(docs, head), "left_semi")
+    again = own.groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id", "__raw")
     if again.isEmpty():
         return kept
-    repeated = lambda how: kept.join(again, kept["doc_id"].eqNullSafe(again["__id"]), how)
-    return repeated("left_anti").union(repeated("left_semi").dropDuplicates(["doc_id", "text"]))
+    once = kept.join(again, is_head(kept, again), "left_semi")
+    once = once.withColumn("__raw", _row(once)).dropDuplicates(["doc_id", "__raw"]).drop("__raw")
+    return kept.join(again, is_head(kept, again), "left_anti").union(once)

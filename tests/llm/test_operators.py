@@ -151,6 +151,37 @@ def test_simhash_links_are_complete(spark):
     assert {f: got.get(f, f) for f in fps} == root
 
 
+def test_deduplicated_drops_copies_of_similar_runs(spark):
+    """Five-word Jaccard of 0.8 or more links texts whose fingerprints differ in more bits."""
+
+    def runs(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    texts, want = [], []
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(60)]
+        # a changed word in the middle costs 5 of 56 runs (0.84), two far ones 10 (0.70)
+        one, two = [*words[:30], "new", *words[31:]], [*words[:20], "new", *words[21:40], "new", *words[41:]]
+        texts += [" ".join(words), " ".join(one if k % 2 else two)]
+    fps = [simhash.fingerprint(t) for t in texts]
+    for k in range(0, 120, 2):
+        a, b = runs(texts[k]), runs(texts[k + 1])
+        bits = ((fps[k] ^ fps[k + 1]) & (1 << 64) - 1).bit_count()
+        want += [k] if bits <= 4 or len(a & b) >= 0.8 * len(a | b) else [k, k + 1]
+    assert any(((fps[k] ^ fps[k + 1]) & (1 << 64) - 1).bit_count() > 4 for k in range(2, 120, 4)) and len(want) > 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
+
+
+def test_deduplicated_keeps_one_row_of_each_component(spark):
+    """Whatever ids its rows have: repeated, null, or an id that heads another component."""
+    a, b = (" ".join(f"{x}{j}" for j in range(50)) for x in "ab")
+    rows = [(1, a), (1, a + " more"), (1, b), (2, b), (None, a), (None, "alone with no id"), (None, "alone  WITH no id"), (3, None), (3, ""), (4, "")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 4 and sorted((r.doc_id or 0) for r in kept) == [0, 1, 1, 3]
+
+
 def direct_ids(text, end):
     from tokenizers import Tokenizer
 
