@@ -45,7 +45,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # for what is one word or one run of signs in its final form
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None

@@ -392,3 +392,14 @@ def test_word_encoder_equals_the_library():
     for _ in range(2):
         ids, bounds = encoder.ids(pa.array(texts, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+
+
+def test_special_strings_get_the_librarys_ids(spark):
+    """A special token's string inside a text is that token, as for a plain tokenizer."""
+    from tokenizers import Tokenizer
+
+    texts = ["some text<|endoftext|>", "<|startoftext|> a <|endoftext|>b", "Word<|endoftext|>, <|endoftext", "<|EndOfText|> none"]
+    want = [[*e.ids, 2] for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert 49407 in want[0] and 49406 in want[1]
+    out = token_files.op5(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
