@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) for every vertex of ``edges`` (u, v: bigint, self-loops and repeats allowed); root is the least vertex reachable."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    seen, last = None, None
     while True:
         edges = materialize(edges, name)
+        if last is not None:
+            discard(last)  # the round that was made of it is stored whole
+        last = edges
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == seen:
             break

@@ -1,22 +1,24 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
 A document's ids are cut into full sequences and one rest of 1 to ``length`` - 1 ids. The rests'
-histogram over length classes of ``GRAIN`` ids (rounded up) is a cutting-stock problem: a linear
+histogram over ``CLASSES`` length classes (rounded up) is a cutting-stock problem: a linear
 program over patterns (how many rests of each class share a sequence), whose columns a knapsack
 dynamic program prices from the dual values. The rounded solution is laid over the rests ranked
 inside their class: every rank maps to a pattern, a sequence and a place by arithmetic.
 
-What the driver sees is the histogram (at most length / GRAIN rows) and the patterns (at most a few
-per class); rests are ranked without collecting a class in one task.
+What the driver sees is the histogram (at most CLASSES rows) and the patterns (at most a few per
+class); rests are ranked without collecting a class in one task.
 
-Cases: null text is an empty text (only the end id). Rows that repeat a doc_id are packed like any
-others. An empty table gives an empty result.
+Cases: null text is an empty text (only the end id). Null doc_ids and rows that repeat a doc_id are
+packed like any others. A text of any length is cut into full sequences and one rest. Other columns
+of any name are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .common import gapless, id_and_text, materialize
 from .tokens import encoded
 
 LENGTH = 2048
-GRAIN = 8
+CLASSES = 256
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -92,26 +94,29 @@ def _first_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> np.ndarr
     return basis
 
 
-def patterns(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+def patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns (how many pieces of each class 1..len(demand)) and how often each is used, covering ``demand``.
 
     Column generation with a revised simplex: the basis starts from first-fit decreasing; each
-    round prices a new pattern by knapsack and exchanges it for the blocking one. The fractional
-    optimum is rounded down; what it leaves open is packed first-fit by decreasing size.
+    round prices a new pattern by knapsack and exchanges it for the blocking one. It ends at the
+    optimum, or where Farley's bound (the sum over the best price) shows that no pattern lowers the
+    sum by a whole sequence. Demands are shifted by different tiny shares, so that no round leaves
+    the sum as it is and none comes back. The fractional solution is rounded down; what it leaves
+    open is packed first-fit by decreasing size.
     """
     classes = np.flatnonzero(demand)
     if not len(classes):
         return []
-    need = demand[classes].astype(float)
+    need = demand[classes] + 1e-4 * (1 + np.arange(len(classes))) / len(classes)
     basis = _first_basis(classes + 1, need, capacity)
     inverse = _inverse(basis)
     use = np.maximum((inverse * need).sum(axis=1), 0)
-    for k in range(rounds):
+    for k in count():
         dual = inverse.sum(axis=0)
         values = np.zeros(len(demand))
         values[classes] = np.maximum(dual, 0)
         value, counts = knapsack(values, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-7 or np.ceil(use.sum() / value - 1e-6) >= np.ceil(use.sum() - 1e-6):
             break
         column = counts[classes].astype(float)
         step = (inverse * column).sum(axis=1)
@@ -187,9 +192,10 @@ def pack(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH) -> Data
     """One row per piece with its sequence_id and offset; sequences hold at most ``length`` ids."""
     cut = materialize(pieces(docs, path, end, length), "pieces")
     size = F.col("length")
-    # class 0 holds full pieces, class c rests of up to c * GRAIN ids
-    cut = cut.withColumn("class", F.when(size == length, 0).otherwise(F.ceil(size / GRAIN)).cast("int"))
-    top = -(-length // GRAIN)
+    # class 0 holds full pieces, class c rests of up to c * grain ids
+    grain = max((g for g in range(1, length // CLASSES + 1) if length % g == 0), default=1)
+    cut = cut.withColumn("class", F.when(size == length, 0).otherwise(F.ceil(size / grain)).cast("int"))
+    top = -(-length // grain)
     demand = np.zeros(top, np.int64)
     full = 0
     for c, n in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():  # at most top + 1 rows
@@ -197,8 +203,8 @@ def pack(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH) -> Data
             demand[c - 1] = n
         else:
             full = n
-    table, packed = layout(patterns(demand, length // GRAIN))
-    ranked = gapless(cut, "class", F.pmod(F.xxhash64("uid"), F.lit(256)).cast("int"), [F.col("uid")], 256, "rank", top + 1)
+    table, packed = layout(patterns(demand, length // grain))
+    ranked = gapless(cut, "class", "uid", "rank", top + 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.searchsorted(table[:, 0], np.arange(top + 1))

@@ -1,10 +1,12 @@
 """Sharding by jump consistent hashing: a stable key and the number of shards give the shard.
 
 No ring table is kept; when shards are appended, a key stays or moves into a new shard, and only
-the necessary fraction moves.
+the necessary fraction moves. The dealt rows (keys, sizes and checksums, no texts) are stored once
+before their slots are numbered.
 
-Cases: a null doc_id hashes as -1. Rows that repeat a doc_id go to the same shard and get slots of
-their own. Null text counts as empty: size 1, checksum 0. An empty table gives an empty result.
+Cases: a null key hashes as -1. Rows that repeat a key go to the same shard and get slots of their
+own, dealt over many tasks. Null text counts as empty: size 1, checksum 0. Other columns of any name
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,10 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless
+from .common import gapless, materialize
 
 MULTIPLIER = np.uint64(2862933555777941757)
-CHUNKS = 1024
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -35,24 +36,16 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
-def mixed(keys: np.ndarray, chunks: int) -> np.ndarray:
-    """A chunk of every key, from other bits than the first jump's."""
-    with np.errstate(over="ignore"):
-        key = np.asarray(keys).astype(np.int64).view(np.uint64) * MULTIPLIER + np.uint64(1)
-    return (key >> np.uint64(20)).astype(np.int64) % chunks
-
-
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; slots number each shard's rows from 0 without gaps."""
 
-    @F.pandas_udf("struct<shard int, grown_shard int, chunk int>")
+    @F.pandas_udf("struct<shard int, grown_shard int>")
     def dealt(keys: pd.Series) -> pd.DataFrame:
         k = keys.fillna(-1).to_numpy().astype(np.int64)
-        return pd.DataFrame({"shard": jump(k, shards).astype(np.int32), "grown_shard": jump(k, shards + 1).astype(np.int32), "chunk": mixed(k, CHUNKS).astype(np.int32)})
+        return pd.DataFrame({"shard": jump(k, shards).astype(np.int32), "grown_shard": jump(k, shards + 1).astype(np.int32)})
 
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("to", dealt(F.col("doc_id").cast("long"))).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "to.shard", "to.grown_shard", "to.chunk")
-    out = gapless(rows, "shard", F.col("chunk"), [F.col("doc_id"), F.col("size"), F.col("text_crc32")], CHUNKS, "slot", shards)
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-
+    rows = docs.select(F.col(key).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
+    stored = materialize(rows.withColumn("to", dealt(F.col("doc_id").cast("long"))), "dealt")
+    placed = gapless(stored.select("doc_id", "size", "text_crc32", "uid", "to.shard", "to.grown_shard"), "shard", "uid", "slot", shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
