@@ -13,12 +13,12 @@ words has no window. Repeated rows get equal entries. An empty table gives an em
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh, held
 
 #: Symbols counted by ``n_symbols`` (fixed values).
 SYMBOLS = "[#*$%&|<>]+"
@@ -64,9 +64,9 @@ def _covered(windows: Column) -> Column:
     return F.get(F.transform(F.array(placed), again), F.lit(0))
 
 
-def measured(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
-    """``docs`` with all its columns and the measurements of ``text`` in columns that begin with ``prefix``."""
-    t, w, h, lines = (f"__q_{x}" for x in ("text", "words", "windows", "lines"))
+def measured(docs: DataFrame, text: Column, names: Sequence[str] = MEASURES) -> DataFrame:
+    """``docs`` with all its columns and the measurements MEASURES of ``text`` in columns called ``names``."""
+    t, w, h, lines = (fresh(docs, f"__{x}") for x in ("text", "words", "windows", "lines"))
     out = docs.withColumn(t, F.coalesce(text, F.lit("")))
     out = out.withColumn(w, F.filter(F.split(F.col(t), SPACE), lambda x: x != ""))
     out = out.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -74,22 +74,21 @@ def measured(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     hashed = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(F.col(w), i + k) for k in range(WINDOW))))
     out = out.withColumn(h, F.when(n >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>")))
     columns = {
-        # always the count; not deterministic to the optimizer, which else copies all of this into later filters
-        "n_words": F.when(F.monotonically_increasing_id() >= 0, n),
+        "n_words": n,
         "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, "")),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_covered(F.col(h))),
     }
-    return out.withColumns({prefix + k: v.cast("long") for k, v in columns.items()}).drop(t, w, h, lines)
+    return out.select(*docs.columns, held({k: v.cast("long") for k, v in zip(names, columns.values(), strict=True)}))
 
 
-def failures(prefix: str = "") -> Column:
-    """Failure bits over measurement columns that begin with ``prefix``."""
-    bits = F.lit(0).cast("long")
+def failures(names: Sequence[str] = MEASURES) -> Column:
+    """Failure bits over the measurement columns ``names``."""
+    bits, column = F.lit(0).cast("long"), dict(zip(MEASURES, names, strict=True))
     for k, rule in enumerate(RULES.values()):
-        bits = bits + F.when(rule(lambda name: F.col(prefix + name)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+        bits = bits + F.when(rule(lambda name: F.col(column[name])), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
     return bits
 
 
