@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op10_url_filters": url_filter.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op3_license_scans": licenses.ORACLE, "op10_url_filters": url_filter.ORACLE}
