@@ -24,18 +24,19 @@ from pyspark.sql import functions as F
 from .common import id_and_text, materialize, shared_dir
 from .tokens import encoded, encoder_of
 
-MAX_BITS = 18
+#: Bits of the longest code where the ids allow it; four byte lanes hold codes of up to WIDEST bits.
+MAX_BITS, WIDEST = 18, 25
 BLOCK = 1 << 16
 STEP = 256
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits for positive counts, by package-merge."""
+    """Optimal code lengths for positive counts by package-merge; at most ``limit`` bits, or as many as tell all ids apart."""
     n = len(counts)
     if n <= 1:
         return np.ones(n, np.uint8)
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids need codes of more than {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
+    assert limit <= WIDEST, "a vocabulary of more than 33 million ids"
     order = np.argsort(counts, kind="stable")
     weights = np.asarray(counts, np.float64)[order]
     levels, packages = [], np.empty(0)
