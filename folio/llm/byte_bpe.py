@@ -5,13 +5,17 @@ at every node, the smallest (rank of the pair that begins here, position), so th
 leftmost pair of minimum rank. A merge writes three leaves (the pair that grew, its left neighbour's
 pair and the swallowed one) and their paths to the root: a logarithmic number of node updates.
 Words up to ``WIDE`` bytes run the same tree in step, one numpy lane per word; longer ones alone.
+A worker keeps its tables, and the ids of at most ``2 * KEEP`` words of up to WIDE characters.
 
-Cases: null text is an empty text, with no ids. Special-token strings are ordinary text.
+Cases: null text is an empty text, with no ids. Special-token strings are ordinary text. Very long
+texts and words are encoded whole. Rows that repeat a doc_id, or have none, keep a row each. Other
+columns of any name are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .tokens import KEEP, small
+from .tokens import small
 
-WIDE = 64
+WIDE, KEEP = 64, 150_000
 FREE = np.int64(1) << 62
 
 
@@ -161,18 +165,28 @@ class ByteBPE:
         again = [w for w in new if w in older]
         known.update((w, older[w]) for w in again)
         self._learn(list(new.difference(again)))
-        return [b"".join(map(known.__getitem__, words)) for words in found]
+        out = [b"".join(map(known.__getitem__, words)) for words in found]
+        for w in new:
+            if len(w) > WIDE:
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.cache
+def encoder(path: str, pattern: str) -> ByteBPE:
+    """One per worker process, so that its tables are made once."""
+    return ByteBPE(read_ranks(path), pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (packed) and decoded (bytes) of each text; with ``digests`` their SHA-256 instead."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(read_ranks(path), pattern)
+        bpe = encoder(path, pattern)
         for whole in batches:
             for batch in small(whole):
                 ids = bpe.encode([x or "" for x in batch.column("text").to_pylist()])
