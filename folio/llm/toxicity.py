@@ -6,14 +6,18 @@ between toxic and clean texts has a Dirichlet prior in proportion to its overall
 take their strongest significant feature's, any other word a small negative score. One linear scan per
 text finds every maximal segment of positive total score. Each segment's chance under clean text
 follows the extreme-value law 1 - exp(-K n exp(-lambda s)), with lambda and K from the clean
-training texts; the segments' -log chances add up, and a logistic curve fitted on the training
-texts' histogram maps the sum to a probability.
-
-Bounds: the model keeps at most ``max_features`` features, the strongest ones that pass ``z``; all
-other counts cover all rows. The driver gets this model and two histograms of fixed size.
-
-Cases: a null or empty text has no segment and the lowest score. Documents without a label only get
-scored. Repeated rows score alike. Labels of both classes are needed; without them nothing is toxic.
+training texts; the segments' -log chances add up, and a logistic curve fitted on a histogram of the
+training texts' sums maps the sum to a probability.
+
+Bounds: the classifier learns from at most about ``max_texts`` labelled texts (of more, a share chosen
+by the hash of the doc_id), so the features that pass ``z`` and ``least``, all of which it keeps, are
+bounded too: each needs several toxic texts that have it. The driver gets these features, two sums and
+a histogram whose bins grow with the sum, so it has as many as the logarithm of the longest text.
+
+Cases: a null or empty text has no segment and the lowest score. Very long texts are scored whole, in
+time linear in their words. Documents without a label, or without a doc_id, only get scored. Repeated
+rows score alike. Other columns of any name are kept by ``scored``. Labels of both classes are needed;
+without them nothing is toxic. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from .tokens import release, small
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGIN = (3, 4, 5, 6)
-BINS, STEP = 400, 0.25
+#: Histogram bins per unit of log(1 + evidence); parts of a score that sums count.
+BINS, PARTS = 40, 1_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -49,25 +54,27 @@ def words_of(text: str) -> list[str]:
 
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, first, last) of a text in which the words at ``hits``
-    (position, score) score so and every other word ``other`` (negative): Ruzzo and Tompa's scan."""
-    found: list[tuple[float, float, int, int]] = []  # sum before it, sum at its end, first, last
+    (position, score) score so and every other word ``other`` (negative): Ruzzo and Tompa's linear scan."""
+    # candidates: sum before it, sum at its end, first, last, and the nearest earlier one with a smaller sum before it
+    found: list[tuple[float, float, int, int, int]] = []
     total, at = 0.0, 0
     for position, score in hits:
         before = total + (position - at) * other
         total, at = before + score, position + 1
         if score <= 0:
             continue
-        left, first = before, position
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][0] >= left:
-                k -= 1
-            if k < 0 or found[k][1] >= total:
-                found.append((left, total, first, position))
+        left, first, k = before, position, len(found) - 1
+        while k >= 0:
+            if found[k][0] >= left:
+                k = found[k][4]  # those between have no smaller sum before them than it has
+            elif found[k][1] >= total:
                 break
-            left, first = found[k][0], found[k][2]
-            del found[k:]
-    return [(end - begin, a, b) for begin, end, a, b in found]
+            else:  # they join: what stands before the candidate is linked from it
+                left, _, first, _, link = found[k]
+                del found[k:]
+                k = link
+        found.append((left, total, first, position, k))
+    return [(end - begin, a, b) for begin, end, a, b, _ in found]
 
 
 @dataclass
@@ -120,10 +127,13 @@ def _bounded(known: dict) -> dict:
     return {} if len(known) > 200_000 else known
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled texts that may be learned from. A hot doc_id's labels are one row; labels grow
-    with the corpus, so they are never broadcast."""
+def training(docs: DataFrame, labels: DataFrame, max_texts: int) -> DataFrame:
+    """(text, toxic) of labelled texts that may be learned from, about ``max_texts`` at most. A hot doc_id's
+    labels are one row; labels grow with the corpus, so they are never broadcast."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = marks.count()
+    if n > max_texts:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < max_texts)
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out())
     return own.join(marks.hint("merge"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
@@ -153,13 +163,8 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, z: float = 5.0, least: float = 2.0, prior: float = 20.0, max_features: int = 50_000) -> Model:
-    bound_batches(docs.sparkSession)
-    labelled = materialize(training(docs, labels), "labelled")
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy((F.col("toxic") != 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = float(sizes.get(True, 0)), float(sizes.get(False, 0))
-    if not toxic or not clean:
-        return Model()
+def log_odds(labelled: DataFrame, toxic: float, clean: float, prior: float = 20.0) -> DataFrame:
+    """(feature, a, b: toxic and clean texts that have it, a beginning once for each word with it, odds: their log-odds with a Dirichlet prior, z: their significance)."""
     begins = F.array(F.col("word"), *(F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in BEGIN))
     features = word_counts(labelled).select(F.explode(begins).alias("feature"), "toxic", "clean").where("feature is not null").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     # Dirichlet prior: ``prior`` texts that have the feature as often as all texts do
@@ -170,49 +175,67 @@ def fit(docs: DataFrame, labels: DataFrame, z: float = 5.0, least: float = 2.0,
     def surprise(n: Column, expected: Column) -> Column:
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
 
-    # significance: the root of the log-likelihood ratio against one frequency in both classes
+    # the root of the log-likelihood ratio against one frequency in both classes
     root = F.sqrt(F.greatest(F.lit(0.0), 2 * (surprise(F.col("a"), both * share) + surprise(F.col("b"), both * (1 - share)))))
-    strong = features.withColumn("odds", odds).withColumn("z", root).where((F.col("z") >= z) & (F.col("odds") >= least))
-    kept = strong.orderBy(F.desc("z"), "feature").limit(max_features).select("feature", "odds").collect()
+    return features.withColumn("odds", odds).withColumn("z", root)
+
+
+def fit(docs: DataFrame, labels: DataFrame, z: float = 5.0, least: float = 2.0, prior: float = 20.0, max_texts: int = 2_000_000) -> Model:
+    bound_batches(docs.sparkSession)
+    labelled = materialize(training(docs, labels, max_texts), "labelled")
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy((F.col("toxic") != 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = float(sizes.get(True, 0)), float(sizes.get(False, 0))
+    if not toxic or not clean:
+        return Model()
+    kept = log_odds(labelled, toxic, clean, prior).where((F.col("z") >= z) & (F.col("odds") >= least)).select("feature", "odds").collect()
     model = Model({r["feature"]: r["odds"] for r in kept})
     spark = docs.sparkSession
 
-    def measured(m: Model, unit: float, what) -> np.ndarray:
-        """Histogram [toxic][bin] of what(segments, words) over the labelled texts, in bins of ``unit``; last row: sum of words."""
+    def measured(m: Model, what) -> list:
+        """Rows (y: toxic, bin, n, total) of what(model, segments, words) -> (bin, value) pairs over the labelled texts; y = 2 sums words.
+        Values are summed in whole parts, so that the order of tasks changes nothing."""
         shared = spark.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, total, known = shared.value, np.zeros((2, BINS), np.int64), {}
-            words = 0
+            own, known = shared.value, {}
+            n: Counter[tuple[int, int]] = Counter()
+            total: Counter[tuple[int, int]] = Counter()
             for whole in batches:
                 for batch in small(whole):
                     known = _bounded(known)
                     for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                        found, n = own.passages(text, known)
-                        words += n * (not y)
-                        for value in what(own, found, n):
-                            total[int(bool(y)), min(BINS - 1, int(value / unit))] += 1
-            y, b = np.nonzero(total)
-            yield pa.record_batch({"y": pa.array([*y, 2], pa.int32()), "bin": pa.array([*b, 0], pa.int32()), "n": pa.array([*total[y, b], words], pa.int64())})
-
-        out = np.zeros((3, BINS))
-        for r in labelled.mapInArrow(run, "y int, bin int, n long").groupBy("y", "bin").agg(F.sum("n").alias("n")).collect():
-            out[r["y"], r["bin"]] = r["n"]
-        return out
+                        found, words = own.passages(text, known)
+                        n[2, 0] += words * (not y)
+                        for at, value in what(own, found, words):
+                            n[int(bool(y)), at] += 1
+                            total[int(bool(y)), at] += round(value * PARTS)
+            keys = sorted(n)
+            yield pa.record_batch({"y": pa.array([y for y, _ in keys], pa.int32()), "bin": pa.array([b for _, b in keys], pa.int32()), "n": pa.array([n[k] for k in keys], pa.int64()), "total": pa.array([total[k] for k in keys], pa.int64())})
+
+        return labelled.mapInArrow(run, "y int, bin int, n long, total long").groupBy("y", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
 
     # extreme-value law of clean segments: exponential tail of their scores, one constant per clean word
-    tails = measured(model, STEP, lambda m, found, n: [s for s, _, _ in found])
-    n, mean = tails[0].sum(), float((tails[0] * (np.arange(BINS) + 0.5) * STEP).sum())
+    sums = {r["y"]: r for r in measured(model, lambda m, found, n: ((0, s) for s, _, _ in found))}
+    n, mean = (sums[0]["n"], sums[0]["total"] / PARTS) if 0 in sums else (0, 0.0)
     model.rate = float(min(4.0, max(0.2, (n + 1) / (mean + 1))))
-    model.k = float((n + 1) / (tails[2, 0] + 1))
-    sums = measured(model, STEP, lambda m, found, n: [m.evidence(found, n)])
-    model.slope, model.shift = logistic((np.arange(BINS) + 0.5) * STEP, sums[1], sums[0])
+    model.k = float((n + 1) / (sums[2]["n"] + 1))
+
+    def evidence(m: Model, found: list, n: int) -> list[tuple[int, float]]:
+        value = m.evidence(found, n)
+        return [(int(math.log1p(value) * BINS), value)]
+
+    bins = sorted((r["bin"], r["y"], r["n"], r["total"] / PARTS) for r in measured(model, evidence) if r["y"] < 2)
+    at = {b: k for k, b in enumerate(dict.fromkeys(b for b, *_ in bins))}
+    table = np.zeros((3, len(at)))
+    for b, y, n, total in bins:
+        table[y, at[b]] = n
+        table[2, at[b]] += total
+    model.slope, model.shift = logistic(table[2] / np.maximum(1, table[0] + table[1]), table[1], table[0])
     return model
 
 
 def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Weighted logistic regression on one feature by Newton's steps, with a small ridge."""
-    x = np.concatenate([[0.0], x[1:]])
     n, w = positive + negative, np.zeros(2)
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(100):
@@ -228,7 +251,7 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridge: f
 
 def scored(docs: DataFrame, model: Model, column: str = "__toxicity") -> DataFrame:
     """``docs`` with all its columns and a score from 0 to 1 in ``column``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the classifier's sample
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
