@@ -2,10 +2,13 @@
 
 mu-law and A-law samples expand by tables of 256 entries made from their rules. ADPCM blocks carry
 their own predictor and step index, so numpy decodes all blocks of a batch in step, one nibble of
-every block at a time. Resampling is cubic interpolation with integer weights, hence exact.
+every block at a time. Resampling is a low-pass and cubic interpolation with integer weights, hence
+exact. The PCM is stored beside the media; what is made on the way is bounded by chunks.
 
 Cases: null text is an empty text. A payload is padded to a positive multiple of UNIT bytes, so
-there is always at least one block. Equal texts give equal media and features.
+there is always at least one block. Equal texts give equal media and features, also in repeated rows
+and rows without a doc_id. A very long text takes about ten times its size in a worker, its PCM
+included. Other columns of any name are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
-from .tokens import small
+from .tokens import release, small
 
 UNIT = 576
-RATE, TO_RATE = 8000, 16000
+#: Rates of the stored files and of the PCM: wideband and narrowband telephony.
+RATE, TO_RATE = 16000, 8000
+#: Samples and ADPCM blocks worked on at a time.
+CHUNK, BLOCKS = 1 << 20, 2048
 #: WAV format tags (fixed values of the container format).
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 CODECS = ("mulaw", "alaw", "ima_adpcm")
@@ -77,14 +83,26 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def smooth(pcm: np.ndarray) -> np.ndarray:
+    """Low-pass by the weights 1, 2, 1 over 4; ends are held."""
+    out = np.empty_like(pcm)
+    for k in range(0, len(pcm), CHUNK):
+        end = min(len(pcm), k + CHUNK)
+        near = pcm[np.clip(np.arange(k - 1, end + 1), 0, len(pcm) - 1)].astype(np.int32)
+        out[k:end] = near[:-2] + 2 * near[1:-1] + near[2:] + 2 >> 2
+    return out
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """PCM at another rate by cubic (four-point Lagrange) interpolation with weights of 14 bits; ends are held."""
+    """PCM at another rate by cubic (four-point Lagrange) interpolation with weights of 14 bits; ends are
+    held. A lower rate is made of the smoothed samples."""
     if rate == to or not len(pcm):
         return pcm
     g = math.gcd(rate, to)
     up, down = to // g, rate // g
-    n = len(pcm) * up // down
-    padded = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
+    n = -(-len(pcm) * up // down)
+    own = smooth(pcm) if down > up else pcm
+    padded = np.concatenate([own[:1], own, np.repeat(own[-1:], 3)])
     out = np.empty(n, np.int16)
     for phase in range(min(up, n)):
         first, fraction = divmod(phase * down, up)
@@ -93,8 +111,10 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         whole = [round(w * 16384) for w in weights]
         whole[1] += 16384 - sum(whole)
         count = len(range(phase, n, up))
-        total = sum(w * padded[first + j : first + j + down * (count - 1) + 1 : down] for j, w in enumerate(whole))
-        out[phase::up] = np.clip(total + 8192 >> 14, -32768, 32767)
+        for k in range(0, count, CHUNK):
+            end = min(count, k + CHUNK)
+            total = sum(w * padded[first + j + down * k : first + j + down * (end - 1) + 1 : down].astype(np.int32) for j, w in enumerate(whole) if w)
+            out[phase + up * k : phase + up * (end - 1) + 1 : up] = np.clip(total + 8192 >> 14, -32768, 32767)
     return out
 
 
@@ -129,67 +149,62 @@ def read_wav(media: bytes) -> tuple[str, int, int, bytes]:
     return {v: k for k, v in TAGS.items()}[tag], rate, block, found[b"data"]
 
 
-def expand(files: list[bytes], to: int = TO_RATE) -> list[np.ndarray]:
-    """Resampled PCM of each WAV file; ADPCM blocks of all files are decoded together."""
+def expand(files: list[bytes], to: int = TO_RATE) -> Iterator[np.ndarray]:
+    """Resampled PCM of each WAV file in turn; ADPCM blocks of all files are decoded together, BLOCKS at a time."""
     tables = {"mulaw": mulaw_table(), "alaw": alaw_table()}
     read = [read_wav(f) for f in files]
-    pcm: list[np.ndarray] = [np.empty(0, np.int16)] * len(files)
+    decoded: dict[int, np.ndarray] = {}
     for width in {block for codec, _, block, _ in read if codec == "ima_adpcm"}:
         own = [k for k, (codec, _, block, _) in enumerate(read) if codec == "ima_adpcm" and block == width]
         counts = [len(read[k][3]) // width for k in own]
         blocks = np.frombuffer(b"".join(read[k][3][: n * width] for k, n in zip(own, counts, strict=True)), np.uint8).reshape(-1, width)
-        decoded = decode_adpcm(blocks)
+        pcm = np.empty((len(blocks), 1 + 2 * (width - 4)), np.int16)
+        for k in range(0, len(blocks), BLOCKS):
+            pcm[k : k + BLOCKS] = decode_adpcm(blocks[k : k + BLOCKS])
         ends = np.cumsum(counts)
-        for k, end, n in zip(own, ends, counts, strict=True):
-            pcm[k] = decoded[end - n : end].ravel()
-    for k, (codec, _, _, data) in enumerate(read):
-        if codec in tables:
-            pcm[k] = tables[codec][np.frombuffer(data, np.uint8)]
-    return [resample(x, rate, to) for x, (_, rate, _, _) in zip(pcm, read, strict=True)]
+        decoded |= {k: pcm[end - n : end].ravel() for k, end, n in zip(own, ends.tolist(), counts, strict=True)}
+    for k, (codec, rate, _, data) in enumerate(read):
+        yield resample(decoded[k] if codec == "ima_adpcm" else tables[codec][np.frombuffer(data, np.uint8)], rate, to)
 
 
 def feature(codec: str, pcm: np.ndarray) -> str:
     """Codec, samples, root mean square, peak, zero crossings and checksum of resampled PCM."""
-    wide = pcm.astype(np.int64)
-    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{codec}:{len(pcm)}:{math.isqrt(int((wide * wide).sum()) // max(1, len(pcm)))}:{int(np.abs(wide).max(initial=0))}:{crossings}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
-
-
-def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's payload as a WAV file; its checksum picks the codec."""
+    squares = peak = crossings = crc = 0
+    for k in range(0, len(pcm), CHUNK):
+        wide = pcm[k : k + CHUNK].astype(np.int64)
+        squares += int((wide * wide).sum())
+        peak = max(peak, int(np.abs(wide).max()))
+        negative = pcm[max(0, k - 1) : k + CHUNK] < 0
+        crossings += int(np.count_nonzero(negative[1:] != negative[:-1]))
+        crc = zlib.crc32(pcm[k : k + CHUNK].astype("<i2").tobytes(), crc)
+    return f"{codec}:{len(pcm)}:{math.isqrt(squares // max(1, len(pcm)))}:{peak}:{crossings}:{crc:08x}"
+
+
+def to_audio(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, rate, pcm: each text's payload as a WAV file, whose codec its checksum picks, and
+    that file's resampled PCM (16-bit little-endian)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for batch in small(whole):
+            for batch in small(whole, limit=2_000_000):
                 both = [payload_of(x) for x in batch.column("text").to_pylist()]
                 media = [wav(CODECS[zlib.crc32(p) % len(CODECS)], p) for _, p in both]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([n for n, _ in both], pa.int64()), "media": pa.array(media, pa.binary())})
-
-    return id_and_text(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
-
-
-def to_pcm(media: DataFrame, to: int = TO_RATE) -> DataFrame:
-    """doc_id, rate, pcm (16-bit little-endian) of rows (doc_id, media)."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small(whole, "media"):
-                pcm = [x.astype("<i2").tobytes() for x in expand(batch.column("media").to_pylist(), to)]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "rate": pa.array([to] * len(pcm), pa.int32()), "pcm": pa.array(pcm, pa.binary())})
+                pcm = pa.array((x.astype("<i2").tobytes() for x in expand(media)), pa.binary())
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([n for n, _ in both], pa.int64()), "media": pa.array(media, pa.binary()), "rate": pa.array([TO_RATE] * len(media), pa.int32()), "pcm": pcm})
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, rate int, pcm binary")
+    return id_and_text(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, rate int, pcm binary")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Checks and features of stored rows (doc_id, n_bytes, media), from the stored bytes alone."""
-    kind = media.schema["doc_id"].dataType.simpleString()
+def digests(audio: DataFrame) -> DataFrame:
+    """Checks and features of stored rows (doc_id, n_bytes, media, pcm), from the stored bytes alone."""
+    kind = audio.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in small(whole, "media"):
+            for batch in small(whole, "media", 2_000_000):
                 files = batch.column("media").to_pylist()
                 read = [read_wav(f) for f in files]
                 columns = [
@@ -198,13 +213,13 @@ def digests(media: DataFrame) -> DataFrame:
                     pa.array([zlib.crc32(p[-32:]) for *_, p in read], pa.int64()),
                     pa.array([len(f) for f in files], pa.int64()),
                     pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string()),
-                    pa.array([feature(codec, pcm) for (codec, *_), pcm in zip(read, expand(files), strict=True)], pa.string()),
+                    pa.array([feature(codec, np.frombuffer(pcm.as_buffer(), "<i2")) for (codec, *_), pcm in zip(read, batch.column("pcm"), strict=True)], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return audio.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """Store every text's payload as media in the shared folder, read it back, and digest what was read."""
-    return digests(materialize(to_media(docs), "media"))
+    """Store every text's payload as media with its resampled PCM in the shared folder, read both back, and digest what was read."""
+    return digests(materialize(to_audio(docs), "audio", **{"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 8 << 20}))
