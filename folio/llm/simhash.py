@@ -9,8 +9,8 @@ against the minimum, and the pair verified by its differing bits.
 
 Inside a key no pairs are listed at first: its least and greatest fingerprint are compared with every
 member, which joins nearly all of a large group. Members that are still in different components
-afterwards are compared pair by pair where a key has at most HOT of them, so a posting has at most HOT
-partners. Larger keys are split by the same rule one level down: members share 4 bytes and differ in at
+afterwards are compared pair by pair where a key has at most HOT of them, and only links are listed.
+Larger keys are split by the same rule one level down: members share 4 bytes and differ in at
 most 4 of the 8 half bytes of the others, so a link shares one of the 70 sets of 4 half bytes.
 
 Cases: null and empty texts have fingerprint zero and link like any other. Texts under four words
@@ -21,7 +21,7 @@ links and kept by ``deduplicated``. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_and_text, materialize
+from .common import discard, fresh, id_and_text, materialize
 from .components import components
 from .tokens import release, small
 
@@ -38,8 +38,11 @@ DISTANCE = 4
 #: Of near copies in a corpus: words of a run, least similarity in tenths, and the bands that find candidates.
 GRAM, SHARE = 5, 8
 BANDS, BAND = 20, 4
-#: Members of a key that are compared pair by pair.
-HOT = 64
+#: Members of a key that are compared pair by pair; a comparison takes some ten nanoseconds and lists nothing.
+HOT = 2048
+#: Of BANDS * BAND min-hash bytes those that two texts must share to be held against each other whole: at a
+#: similarity of 0.8 as few are shared with a chance of 1 in 200,000. And bits of a text's odd sketch.
+ALIKE, ODD = 48, 640
 FACTORS, TERMS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
@@ -103,20 +106,42 @@ def near(a: Column, b: Column, distance: int) -> Column:
     return (tally(a, b) >= 8 - distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
 
 
-def rest_pairs(labelled: DataFrame, finer: Column, hot: int = HOT) -> DataFrame:
-    """(u, v, root_u, root_v): pairs of nodes of ``labelled`` (s, k, node, root) that share a key (s, k) and have different roots.
+def alike(a: Column, b: Column) -> Column:
+    """Whether texts with these sketches (see ``_sketch``) may have a share of runs of SHARE / 10 in common.
 
-    Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` at its place are given.
+    The odd sketches differ in at most as many bits as the sets do in runs, so they rule out none that has.
+    """
+    other = [F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))) for k in range((BANDS * BAND + ODD // 8) // 8)]
+    signs, odd = other[: BANDS * BAND // 8], other[BANDS * BAND // 8 :]
+    unlike, apart = F.lit(0), F.lit(0)
+    for x in signs:
+        for shift in (4, 2, 1):  # a byte's lowest bit gets set by any of its own
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    for x in odd:
+        apart = apart + F.bit_count(x)
+    runs = F.get(a, F.lit(len(other))) + F.get(b, F.lit(len(other)))
+    return ((10 + SHARE) * apart <= (10 - SHARE) * runs) & (unlike <= BANDS * BAND - ALIKE)
+
+
+def rest_pairs(labelled: DataFrame, finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """(u, v, root_u, root_v): pairs of nodes of ``labelled`` (s, k, node, root) that share a key (s, k), have
+    different roots and pass ``link`` (of the names of two nodes' structs: node, root and the columns of ``more``, by node).
+
+    Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` at its place are compared.
     """
     apart = labelled.groupBy("s", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("s", "k", "n")
     rest = labelled.join(apart, ["s", "k"])
+    rest = rest if more is None else rest.join(more.hint("merge"), "node")
+    both = ["node", "root", *(more.drop("node", "bands").columns if more is not None else ())]
     cell = ["s", "k", "t", "l"]
-    cold = rest.where(F.col("n") <= hot).select("s", "k", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("l"), "node", "root")
-    warm = rest.where(F.col("n") > hot).select("s", "k", F.posexplode(finer).alias("t", "l"), "node", "root")
+    cold = rest.where(F.col("n") <= hot).select("s", "k", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("l"), *both)
+    warm = rest.where(F.col("n") > hot).select("s", "k", F.posexplode(finer).alias("t", "l"), *both)
     mixed = warm.groupBy(*cell).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*cell)
-    both = cold.union(warm.join(mixed, cell).select(*cold.columns))
-    left, right = (both.select(*cell, F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-    return left.join(right, cell).where("u > v and root_u <> root_v").select("u", "v", "root_u", "root_v")
+    every = cold.union(warm.join(mixed, cell).select(*cold.columns))
+    left, right = (every.select(*cell, *(F.col(c).alias(f"{c}_{x}") for c in both)) for x in "uv")
+    pairs = left.join(right, cell).where(F.expr("node_u > node_v and root_u <> root_v") & link("u", "v"))
+    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "root_u", "root_v")
 
 
 def linked(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
@@ -134,7 +159,8 @@ def linked(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFram
     labels = first.select(F.col("node").alias("fp"), "root")
     labelled = materialize(members.select("s", "k", "fp").join(labels, "fp", "left").select("s", "k", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root")), "labelled")
     finer = F.transform(F.element_at(F.array(*map(F.lit, finer_masks(distance))), F.col("s") + 1), lambda m: F.col("node").bitwiseAND(m.cast("long")))
-    pairs = rest_pairs(labelled, finer, hot).where(near(F.col("u"), F.col("v"), distance))
+    discard(members)
+    pairs = rest_pairs(labelled, finer, lambda u, v: near(F.col(f"node_{u}"), F.col(f"node_{v}"), distance), hot=hot)
     second = components(pairs.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
     joined = labelled.select(F.col("node").alias("fp"), "root").distinct().join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return joined.select("fp", F.coalesce("top", "root").alias("root"))
@@ -175,21 +201,24 @@ def _grams(text: str) -> tuple[int, np.ndarray]:
     return node - (1 << 64) if node >> 63 else node, np.fromiter(runs, np.uint64, len(runs))
 
 
-def _bands(grams: np.ndarray) -> list[int]:
-    """One signed hash per band of BAND min-hashes."""
+def _sketch(grams: np.ndarray) -> tuple[list[int], list[int]]:
+    """(one signed hash per band of BAND min-hashes; as longs a byte of each min-hash, the parity of the
+    runs of each residue by ODD, and the number of runs)."""
     if not len(grams):
-        return []
+        return [], []
     least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
     for k in range(0, len(grams), 4096):
         least = np.minimum(least, (grams[k : k + 4096, None] * FACTORS + TERMS).min(axis=0))
     import xxhash
 
     rows = least.reshape(BANDS, BAND)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), 3) for r in rows], np.uint64).view(np.int64).tolist()
+    bands = np.array([xxhash.xxh64_intdigest(r.tobytes(), 3) for r in rows], np.uint64).view(np.int64)
+    odd = np.packbits(np.bincount((grams % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).view(np.int64)
+    return bands.tolist(), [*(least >> np.uint64(24)).astype(np.uint8).view(np.int64).tolist(), *odd.tolist(), len(grams)]
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw: hash of the text, node: hash of its words, fp, bands) of every row."""
+    """(doc_id, raw: hash of the text, node: hash of its words, fp, bands, sig: sketches) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +230,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     node, grams = _grams(t)
                     nodes.append(node)
                     fps.append(fingerprint(t))
-                    bands.append(_bands(grams))
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "node": pa.array(nodes, pa.int64()), "fp": pa.array(fps, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                    bands.append(_sketch(grams))
+                longs = [pa.array([b[k] for b in bands], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "node": pa.array(nodes, pa.int64()), "fp": pa.array(fps, pa.int64()), "bands": longs[0], "sig": longs[1]})
 
     own = id_and_text(docs)
-    return own.withColumn("raw", _row(own)).mapInArrow(run, f"doc_id {kind}, raw long, node long, fp long, bands array<long>")
+    return own.withColumn("raw", _row(own)).mapInArrow(run, f"doc_id {kind}, raw long, node long, fp long, bands array<long>, sig array<long>")
 
 
 def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -225,10 +255,10 @@ def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     """(node, root) of the nodes linked by fingerprints or by a share of GRAM-word runs of at least SHARE / 10.
 
-    Candidates share a band; each is then verified on the whole sets of runs.
+    Candidates share a band and are alike by their sketches; each is then verified on the whole sets of runs.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = materialize(own.groupBy("node").agg(F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(own.groupBy("node").agg(F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     grouped = nodes.select("node", "fp").join(linked(nodes, distance), "fp", "left").select("node", F.coalesce("root", "fp").alias("g"))
     by_bits = grouped.join(grouped.groupBy("g").agg(F.min("node").alias("v")), "g").select(F.col("node").alias("u"), "v").where("u <> v")
     postings = nodes.repartition(n, F.xxhash64("node")).select("node", F.posexplode("bands").alias("s", "k"))
@@ -241,14 +271,20 @@ def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> D
         both = pairs.distinct().join(a, "u").join(b, "v").withColumn("__n", F.size(F.array_intersect("g_u", "g_v")))
         return both.where(10 * F.col("__n") >= SHARE * (F.size("g_u") + F.size("g_v") - F.col("__n"))).select("u", "v")
 
-    stars = members.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    stars = members.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    sigs = [nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")).hint("merge") for x in "uv"]
+    stars = stars.join(sigs[0], "u").join(sigs[1], "v").where(alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v")
     sure = materialize(by_bits.union(verified(stars)), "links")
     labels = components(sure)
-    apart = members.select("s", "k", "node").join(labels, "node", "left").select("s", "k", "node", F.coalesce("root", "node").alias("root"))
-    labelled = materialize(apart.join(nodes.select("node", "bands").hint("merge"), "node"), "labelled")
+    labelled = materialize(members.select("s", "k", "node").join(labels, "node", "left").select("s", "k", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    discard(members)
+    link = lambda u, v: alike(F.col(f"sig_{u}"), F.col(f"sig_{v}"))
     # of a large bucket: pairs that agree in a second band
-    pairs = rest_pairs(labelled, F.filter("bands", lambda x, i: i != F.col("s")), hot).select("u", "v")
-    return components(sure.union(verified(pairs)))
+    pairs = rest_pairs(labelled, F.filter("bands", lambda x, i: i != F.col("s")), link, nodes.select("node", "bands", "sig"), hot).select("u", "v")
+    found = components(sure.union(verified(pairs)))
+    for table in (labelled, grams, sure):
+        discard(table)
+    return found
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
