@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import byte_bpe, components, licenses, packing, quality, sharding, simhash, telephony, token_files, toxicity, url_filter
 from folio.llm.tokens import vocabulary
@@ -328,7 +329,7 @@ def test_toxicity_model_against_brute_force(spark):
     toxic, clean = sum(y for _, y in data), sum(1 - y for _, y in data)
     rows = {r.feature: r for r in toxicity.log_odds(labelled, toxic, clean).collect()}
     for feature, has in (("vile", lambda w: w == "vile"), ("neu*", lambda w: w.startswith("neu")), ("neutralb", lambda w: w == "neutralb")):
-        a, b = (sum(y == c and any(map(has, t.split())) for t, y in data) for c in (1, 0))
+        a, b = (sum(sum(map(has, set(t.split()))) for t, y in data if y == c) for c in (1, 0))
         pseudo = 20 * (a + b + 0.5) / (toxic + clean + 1)
         assert (rows[feature].a, rows[feature].b) == (a, b)
         assert rows[feature].odds == pytest.approx(math.log((a + pseudo) / (toxic + 20)) - math.log((b + pseudo) / (clean + 20)))
@@ -574,3 +575,21 @@ def test_special_strings_get_the_librarys_ids(spark):
     assert 49407 in want[0] and 49406 in want[1]
     out = token_files.op5(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
+def test_sketches_rule_out_no_similar_texts(spark):
+    """Every pair of a five-word Jaccard of 0.8 or more passes; most others don't."""
+    rng = np.random.default_rng(12)
+    pairs = []
+    for k in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(20, 900))]
+        other = list(words)
+        for at in rng.integers(0, len(words), rng.integers(0, 2 + len(words) // 25)):
+            other[at] = "new"
+        pairs.append((" ".join(words), " ".join(other)))
+    grams = [[simhash._grams(t)[1] for t in p] for p in pairs]
+    share = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in grams]
+    rows = [(k, *(simhash._sketch(g)[1] for g in both)) for k, both in enumerate(grams)]
+    kept = {r.k for r in spark.createDataFrame(rows, "k long, a array<long>, b array<long>").where(simhash.alike(F.col("a"), F.col("b"))).collect()}
+    assert all(k in kept for k, s in enumerate(share) if s >= 0.8)
+    assert sum(k in kept for k, s in enumerate(share) if s < 0.7) < 0.1 * sum(s < 0.7 for s in share) and sum(s < 0.7 for s in share) > 30
