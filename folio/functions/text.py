@@ -52,9 +52,24 @@ def classify_status(status: Column) -> Column:
     return F.when(status == 200, "ok").when(status.isin(404, 410), "dead").otherwise("unknown")
 
 
-def arxiv_id(x: Column) -> Column:
-    """The preprint number in an arxiv.org address or a 10.48550 doi; null without one."""
-    return F.nullif(F.regexp_extract(x, r"(?i)(?:arxiv\.org/(?:abs|pdf)/|10\.48550/arxiv\.)(\d{4}\.\d{4,5})", 1), F.lit(""))
+#: Fixed value: a preprint number with its version in an address or a doi.
+ARXIV = r"(?i)(?:arxiv\.org/abs/|10\.48550/arXiv\.)(\d{4}\.\d{4,5}(?:v\d+)?)"
+
+
+def arxiv_id(doi: Column, pages: Column) -> Column:
+    """The preprint number, with its version, in the doi, else in the first landing page that has one; null without."""
+    found = F.transform(F.concat(F.array(doi), F.coalesce(pages, F.array().cast("array<string>"))), lambda x: F.regexp_extract(F.coalesce(x, F.lit("")), ARXIV, 1))
+    return F.get(F.filter(found, lambda x: x != ""), F.lit(0))
+
+
+def vector_literal(vector: list[float]) -> str:
+    """A vector as text, seven significant digits a component."""
+    return "[" + ",".join(f"{x:.7g}" for x in vector) + "]"
+
+
+def held(**columns: Column) -> Column:
+    """``columns`` as one generated row, for a select: each is made once a row, whatever later steps name it how often."""
+    return F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items()))))
 
 
 def rebuilt_abstract(index: Column) -> Column:

@@ -29,26 +29,26 @@ def runs(c: Corpus, qrels=QRELS) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def asked(spark: SparkSession, qrels=QRELS) -> DataFrame:
+    """(qid, mode) of every query in every mode, whether it finds anything or not."""
+    return spark.createDataFrame([(qid, mode) for qid, *_ in qrels for mode in MODES], "qid string, mode string")
+
+
 def relevance(results: DataFrame, qrels=QRELS) -> DataFrame:
-    """Results with ``rel``: the title holds a relevant substring, whatever its case."""
+    """Results with ``rel``: the title (the results hold no abstract) has a relevant substring, whatever its case."""
     subs = results.sparkSession.createDataFrame([(qid, list(s)) for qid, _, s in qrels], "qid string, subs array<string>")
     hit = F.exists("subs", lambda s: F.contains(F.lower("title"), F.lower(s)))
     return results.join(F.broadcast(subs), "qid").withColumn("rel", hit.cast("int")).drop("subs")
 
 
-def qrels(spark: SparkSession, rows=QRELS) -> DataFrame:
-    """The judgements as a table of the shape that ``readers.read_qrels`` gives."""
-    return spark.createDataFrame([(qid, q, list(subs), None, None) for qid, q, subs in rows], "qid string, q string, relevant_substrings array<string>, year int, author string")
-
-
 def markdown(card: DataFrame) -> str:
     """The scorecard, one row per mode, as a Markdown table."""
     lines = ["| mode | MRR | NDCG@10 | recall@20 | wins |", "|---|---|---|---|---|"]
     return "\n".join(lines + [f"| {r['mode']} | {r['mrr']:.3f} | {r['ndcg']:.3f} | {r['recall']:.3f} | {r['wins']} |" for r in card.orderBy("mode").collect()])
 
 
-def per_query(judged: DataFrame) -> DataFrame:
-    """(qid, mode, mrr, ndcg, recall, win) of every query and mode."""
+def per_query(judged: DataFrame, qrels=QRELS) -> DataFrame:
+    """(qid, mode, mrr, ndcg, recall, win) of every query and mode; without results all are 0, and all modes win where the best is 0."""
     gain = 1 / F.log2(F.col("rank") + 1)
     top = F.col("rank") <= NDCG_K
     pool = judged.where("rel = 1").groupBy("qid").agg(F.countDistinct("id").alias("pool"))
@@ -59,6 +59,7 @@ def per_query(judged: DataFrame) -> DataFrame:
         F.count_if(top & (F.col("rel") == 1)).cast("int").alias("n10"),
         F.count_if(F.col("rel") == 1).alias("found"),
     )
+    base = asked(judged.sparkSession, qrels).join(base, ["qid", "mode"], "left").fillna(0, ["mrr", "dcg", "n10", "found"])
     ndcg = F.when(F.col("n10") > 0, F.col("dcg") / ideal).otherwise(0.0)
     out = base.join(F.broadcast(pool), "qid", "left").withColumn("ndcg", F.round(ndcg, 6)).withColumn("recall", F.round(F.coalesce(F.col("found") / F.col("pool"), F.lit(0.0)), 6)).withColumn("mrr", F.round("mrr", 6))
     best = F.max("ndcg").over(Window.partitionBy("qid"))
@@ -69,10 +70,11 @@ def scorecard(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("mode").agg(F.round(F.avg("mrr"), 5).alias("mrr"), F.round(F.avg("ndcg"), 5).alias("ndcg"), F.round(F.avg("recall"), 5).alias("recall"), F.sum("win").alias("wins"))
 
 
-def degraded(results: DataFrame) -> DataFrame:
-    """(qid, degraded): all modes give the same list, so ranking fell back to one mode."""
+def degraded(results: DataFrame, qrels=QRELS) -> DataFrame:
+    """(qid, degraded): all modes give the same list, an empty one included, so ranking fell back to one mode."""
     lists = results.groupBy("qid", "mode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
-    return lists.groupBy("qid").agg((F.countDistinct("ids") == 1).alias("degraded"))
+    every = asked(results.sparkSession, qrels).join(lists, ["qid", "mode"], "left").fillna("", ["ids"])
+    return every.groupBy("qid").agg((F.countDistinct("ids") == 1).alias("degraded"))
 
 
 def passes(card: DataFrame, metric: str, threshold: float | None) -> bool:

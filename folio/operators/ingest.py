@@ -14,19 +14,22 @@ RECOVERY_LIMIT = 20
 
 
 def normalized(works: DataFrame) -> DataFrame:
-    """Works with title, openalex_id, year, citations and ``skip``: why a work can't be kept (title first), else null."""
+    """Works with title, openalex_id, abstract, year, citations, authors and ``skip``: why a work can't be kept
+    (title first), else null. A year that is missing or no number can't be stored either."""
     key = F.nullif(F.element_at(F.split("id", "/"), -1), F.lit(""))
     title = F.nullif(T.strip(F.col("display_name")), F.lit(""))
-    year = F.coalesce(F.nullif(F.col("publication_year"), F.lit(0)), F.substring("publication_date", 1, 4).cast("int"))
-    skip = F.when(title.isNull(), "missing title").when(key.isNull(), "missing id")
-    return works.select("topic", "ord", key.alias("openalex_id"), title.alias("title"), year.alias("publication_year"), F.coalesce("cited_by_count", F.lit(0)).cast("long").alias("cited_by_count"), "doi", "landing_pages", skip.alias("skip"))
+    year = F.coalesce(F.nullif(F.col("publication_year"), F.lit(0)), F.expr("try_cast(substring(publication_date, 1, 4) AS int)"))
+    skip = F.when(title.isNull(), "missing title").when(key.isNull(), "missing openalex_id").when(year.isNull(), "missing year")
+    author = lambda a: F.struct(F.coalesce(F.element_at(F.split(a["author"]["id"], "/"), -1), F.lit("")).alias("openalex_id"), F.coalesce(T.strip(a["author"]["display_name"]), F.lit("")).alias("name"))
+    authors = F.transform(F.coalesce("authorships", F.array().cast(works.schema["authorships"].dataType)), author)
+    return works.select("topic", "ord", key.alias("openalex_id"), title.alias("title"), T.rebuilt_abstract(F.col("abstract_inverted_index")).alias("abstract"), authors.alias("authors"), year.alias("publication_year"), F.coalesce("cited_by_count", F.lit(0)).cast("long").alias("cited_by_count"), "doi", "landing_pages", skip.alias("skip"))
 
 
 def deduplicated(works: DataFrame) -> DataFrame:
     """One row per openalex_id: its first record (topic, then arrival), and the union of its topics."""
     kept = normalized(works).where("skip is null")
-    first = F.min(F.struct("topic", "ord", "title", "publication_year", "cited_by_count", "doi")).alias("x")
-    return kept.groupBy("openalex_id").agg(first, F.array_join(F.array_sort(F.collect_set("topic")), "|").alias("topics")).select("openalex_id", "x.title", "x.publication_year", "x.cited_by_count", "x.doi", "topics")
+    first = F.min(F.struct("topic", "ord", "title", "abstract", "publication_year", "cited_by_count", "doi", "authors")).alias("x")
+    return kept.groupBy("openalex_id").agg(first, F.array_join(F.array_sort(F.collect_set("topic")), "|").alias("topics")).select("openalex_id", "x.title", "x.abstract", "x.publication_year", "x.cited_by_count", "x.doi", "x.authors", "topics")
 
 
 def dead_letters(works: DataFrame) -> DataFrame:
@@ -35,10 +38,10 @@ def dead_letters(works: DataFrame) -> DataFrame:
 
 
 def landing_candidates(works: DataFrame) -> DataFrame:
-    """``candidates``: http(s) landing pages in order, then the doi, without repeats; preprint servers first in ``ordered``."""
-    web = F.filter("landing_pages", lambda x: x.startswith("http://") | x.startswith("https://"))
-    every = F.array_distinct(F.filter(F.concat(web, F.array("doi")), lambda x: x.isNotNull()))
-    first = lambda x: F.lower(x).contains("arxiv.org")
+    """``candidates``: stripped http(s) landing pages in order, then such a doi, without repeats; preprint servers first in ``ordered``."""
+    urls = F.transform(F.concat(F.coalesce("landing_pages", F.array().cast("array<string>")), F.array("doi")), T.strip)
+    every = F.array_distinct(F.filter(urls, lambda x: F.coalesce(x.startswith("http://") | x.startswith("https://"), F.lit(False))))
+    first = lambda x: x.contains("arxiv.org") | x.contains("10.48550")
     return works.withColumn("candidates", every).withColumn("ordered", F.concat(F.filter("candidates", first), F.filter("candidates", lambda x: ~first(x))))
 
 
@@ -61,9 +64,11 @@ def verified(works: DataFrame, url_status: DataFrame) -> DataFrame:
 
 
 def upserted(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """All papers after an upsert by openalex_id, with ``action``: new, updated or kept. New ids continue after the greatest one."""
+    """All papers after an upsert by openalex_id, with ``action``: new, updated or kept. Of incoming rows that
+    repeat an id the least counts, so that a paper stays one row."""
     cols = ("title", "abstract", "publication_year", "doi", "cited_by_count")
-    e, i = existing.alias("e"), incoming.alias("i")
+    once = incoming.groupBy("openalex_id").agg(F.min(F.struct(*cols)).alias("x")).select("openalex_id", "x.*")
+    e, i = existing.alias("e"), once.alias("i")
     both = e.join(i, F.col("e.openalex_id") == F.col("i.openalex_id"), "full_outer")
     action = F.when(F.col("e.openalex_id").isNull(), "new").when(F.col("i.openalex_id").isNull(), "kept").otherwise("updated")
     picked = [F.when(F.col("i.openalex_id").isNotNull(), F.col(f"i.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in cols]
@@ -77,9 +82,12 @@ def touched(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return j.where(F.col("__old").isNull() | ~F.col("title").eqNullSafe(F.col("__t")) | ~F.col("abstract").eqNullSafe(F.col("__a"))).drop("__t", "__a", "__old")
 
 
-def missing(new: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``new`` whose keys ``existing`` lacks, one per key."""
-    return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+def missing(new: DataFrame, existing: DataFrame, *keys: str, first: str | None = None) -> DataFrame:
+    """Rows of ``new`` whose keys ``existing`` lacks, one per key: the one that is least by ``first``, else by its other columns."""
+    rest = [c for c in new.columns if c not in keys]
+    order = [first, *(c for c in rest if c != first)] if first else rest
+    once = new.groupBy(*keys).agg(F.min(F.struct(*order)).alias("x")).select(*keys, *(f"x.{c}" for c in rest)) if rest else new.distinct()
+    return once.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def date_ladder(works: DataFrame, enough: int = RUNG_ENOUGH, rungs: tuple[str, ...] = RUNGS) -> DataFrame:

@@ -8,6 +8,7 @@ WINDOW rows. Authors are attached to a page only after its ids are ranked and cu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -88,20 +89,30 @@ def query_terms(q: str) -> list[str]:
 def bm25_scores(papers: DataFrame, corpus: DataFrame, q: str) -> DataFrame:
     """``papers`` that match a term of q in title or abstract, with their BM25 score rounded to 6 places."""
     terms, fields = query_terms(q), ("title", "abstract")
-    tf = lambda field, t: F.size(F.filter(T.tokens(F.col(field)), lambda x: x == t))
+
+    def equals(term: str) -> Callable[[Column], Column]:
+        return lambda x: x == term
+
+    def counted(rows: DataFrame, *keep: str) -> DataFrame:
+        """Length of each field and how often it has each term: every text is split into tokens once."""
+        split = rows.select(*keep, T.held(**{f"__t_{f}": T.tokens(F.col(f)) for f in fields}))
+        counts = {f"__len_{f}": F.size(f"__t_{f}") for f in fields}
+        for f in fields:
+            counts |= {f"__tf_{f}_{k}": F.size(F.filter(f"__t_{f}", equals(t))) for k, t in enumerate(terms)}
+        return split.select(*keep, T.held(**counts))
+
     stats = [F.count(F.lit(1)).alias("__n")]
     for f in fields:
-        stats.append(F.avg(F.size(T.tokens(F.col(f)))).alias(f"__avg_{f}"))
-        stats += [F.count_if(F.array_contains(T.tokens(F.col(f)), t)).alias(f"__df_{f}_{k}") for k, t in enumerate(terms)]
-    total = papers.join(F.broadcast(corpus.agg(*stats)))
+        stats.append(F.avg(f"__len_{f}").alias(f"__avg_{f}"))
+        stats += [F.count_if(F.col(f"__tf_{f}_{k}") > 0).alias(f"__df_{f}_{k}") for k in range(len(terms))]
+    total = counted(papers, *papers.columns).join(F.broadcast(counted(corpus).agg(*stats)))
     score = F.lit(0.0)
     for f in fields:
-        length = F.size(T.tokens(F.col(f)))
-        for k, t in enumerate(terms):
-            df, n = F.col(f"__df_{f}_{k}"), tf(f, t).cast("double")
+        for k in range(len(terms)):
+            df, n = F.col(f"__df_{f}_{k}"), F.col(f"__tf_{f}_{k}").cast("double")
             idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-            score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * length / F.col(f"__avg_{f}")))
-    matches = reduce(lambda a, b: a | b, [F.array_contains(T.tokens(F.col(f)), t) for f in fields for t in terms], F.lit(False))
+            score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col(f"__len_{f}") / F.col(f"__avg_{f}")))
+    matches = reduce(lambda a, b: a | b, [F.col(f"__tf_{f}_{k}") > 0 for f in fields for k in range(len(terms))], F.lit(False))
     return total.where(matches).withColumn("score", F.round(score, 6)).drop(*[x for x in total.columns if x.startswith("__")])
 
 
@@ -132,11 +143,16 @@ def query_vector(q: str, dim: int) -> list[float]:
     return [b / 255 * 2 - 1 for b in raw[:dim]]
 
 
-def hybrid_list(c: Corpus, r: Request, dim: int = 64) -> DataFrame:
+def hybrid_list(c: Corpus, r: Request, dim: int = 64, embed: Callable[[str, int], list[float]] = query_vector) -> DataFrame:
+    """Fusion of the nearest and the best-scored papers; of the latter alone if the query can't be embedded."""
     papers = filtered(c, r)
     sparse = bm25_scores(papers, c.paper, r.q or "").select("id", "score").orderBy(F.desc("score"), "id").limit(WINDOW)
+    try:
+        near = dense(papers, c.paper_embedding, embed(r.q or "", dim))
+    except Exception:
+        near = papers.sparkSession.createDataFrame([], "id long, sim double")
     return fuse(
-        ranked(dense(papers, c.paper_embedding, query_vector(r.q or "", dim)), F.desc("sim"), F.asc("id"), name="dense_rank"),
+        ranked(near, F.desc("sim"), F.asc("id"), name="dense_rank"),
         ranked(sparse, F.desc("score"), F.asc("id"), name="sparse_rank"),
     )
 

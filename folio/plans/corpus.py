@@ -55,6 +55,9 @@ class Corpus:
     def works(self) -> DataFrame:
         """Upstream records of two topics: t1 has every paper, t2 those with an even id; ``ord`` is arrival order."""
         p = self.paper
+        words = F.filter(F.split("title", " "), lambda x: x != "")
+        index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
+        writer = lambda n: F.struct(F.struct(F.concat(F.lit("https://works.example/A"), (p.id % n).cast("string")).alias("id"), F.concat(F.lit(" Author "), (p.id % n).cast("string")).alias("display_name")).alias("author"))
         base = p.select(
             F.concat(F.lit("https://works.example/"), "openalex_id").alias("id"),
             F.when(p.id % 17 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("title"))).alias("display_name"),
@@ -62,10 +65,13 @@ class Corpus:
             F.concat((2016 + p.id % 9).cast("string"), F.lit("-0"), (1 + p.id % 9).cast("string"), F.lit("-01")).alias("publication_date"),
             F.when(p.id % 5 != 0, F.col("cited_by_count")).alias("cited_by_count"),
             "doi",
-            F.when(p.id % 3 == 0, F.array(F.concat(F.lit("https://arxiv.org/abs/2101."), F.lpad((p.id % 10000).cast("string"), 5, "0")), "doi"))
+            F.when(p.id % 3 == 0, F.array(F.concat(F.lit("https://arxiv.org/abs/2101."), F.lpad((p.id % 10000).cast("string"), 5, "0"), F.when(p.id % 6 == 0, "v2").otherwise("")), "doi"))
             .when(p.id % 3 == 1, F.array(F.lit("ftp://x/y"), F.concat(F.lit("https://mirror.example/"), p.id.cast("string"))))
             .otherwise(F.array().cast("array<string>"))
             .alias("landing_pages"),
+            F.concat((2017 + p.id % 8).cast("string"), F.lit("-0"), (1 + p.id % 7).cast("string"), F.lit("-15")).alias("updated_date"),
+            index.alias("abstract_inverted_index"),
+            F.array(writer(12), writer(7)).alias("authorships"),
             p.id.alias("ord"),
         )
         return base.withColumn("topic", F.lit("t1")).union(base.where("ord % 2 = 0").withColumn("topic", F.lit("t2")))
@@ -90,8 +96,10 @@ CTES = {
     "base": """SELECT 'https://works.example/' || openalex_id AS id, CASE WHEN id % 17 = 0 THEN '  ' ELSE ' ' || title END AS display_name,
         CASE WHEN p.id % 7 = 0 THEN 0 ELSE publication_year END AS publication_year, (2016 + p.id % 9) || '-0' || (1 + p.id % 9) || '-01' AS publication_date,
         CASE WHEN p.id % 5 <> 0 THEN cited_by_count END AS cited_by_count, doi,
-        CASE WHEN p.id % 3 = 0 THEN ['https://arxiv.org/abs/2101.' || lpad((p.id % 10000)::VARCHAR, 5, '0'), doi]
-             WHEN p.id % 3 = 1 THEN ['ftp://x/y', 'https://mirror.example/' || p.id] ELSE []::VARCHAR[] END AS landing_pages, p.id AS ord FROM paper p""",
+        CASE WHEN p.id % 3 = 0 THEN ['https://arxiv.org/abs/2101.' || lpad((p.id % 10000)::VARCHAR, 5, '0') || CASE WHEN p.id % 6 = 0 THEN 'v2' ELSE '' END, doi]
+             WHEN p.id % 3 = 1 THEN ['ftp://x/y', 'https://mirror.example/' || p.id] ELSE []::VARCHAR[] END AS landing_pages,
+        (2017 + p.id % 8) || '-0' || (1 + p.id % 7) || '-15' AS updated_date, nullif(array_to_string(list_filter(string_split(title, ' '), lambda x: x <> ''), ' '), '') AS abstract,
+        'A' || (p.id % 12) || ':Author ' || (p.id % 12) || '|A' || (p.id % 7) || ':Author ' || (p.id % 7) AS authors, p.id AS ord FROM paper p""",
     "works": "SELECT *, 't1' AS topic FROM base UNION ALL SELECT *, 't2' AS topic FROM base WHERE ord % 2 = 0",
     "url_status": """SELECT url, CASE WHEN starts_with(url, 'https://mirror') AND id % 2 = 0 THEN 200 WHEN id % 11 = 0 THEN 404 WHEN id % 19 = 0 THEN 410 WHEN id % 23 = 0 THEN 503 ELSE 200 END::INTEGER AS status
         FROM (SELECT unnest([doi, 'https://mirror.example/' || id]) AS url, id FROM paper) WHERE url IS NOT NULL""",

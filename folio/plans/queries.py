@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import evaluate as E
 from folio.operators import ingest as I
+from folio.operators import runs as U
 from folio.operators import search as S
 from folio.plans.corpus import Corpus, with_views
 from folio.sources import readers as R
@@ -128,9 +130,10 @@ query("prefix_scan", with_views("SELECT id, title FROM paper WHERE starts_with(o
 
 # ---- sources ----
 WORK = "SELECT id, topic, publication_date, cited_by_count FROM works"
-for _name, _date, _order in (("src_topic_works", "2020-01-01", "cited_by_count"), ("src_updated_works", "2018-06-01", "publication_date")):
-    query(_name, with_views(f"{WORK} WHERE topic = 't2' AND publication_date >= '{_date}' ORDER BY {_order} DESC NULLS LAST, id LIMIT 200"))(
-        lambda c, d=_date, o=_order: c.works.where((F.col("topic") == "t2") & (F.col("publication_date") >= d)).orderBy(F.desc_nulls_last(o), "id").limit(200).select("id", "topic", "publication_date", "cited_by_count")
+for _name, _date, _order in (("src_topic_works", "2020-01-01", "cited_by_count"), ("src_updated_works", "2018-06-01", "updated_date")):
+    _field = "updated_date" if _order == "updated_date" else "publication_date"
+    query(_name, with_views(f"{WORK} WHERE topic = 't2' AND {_field} >= '{_date}' ORDER BY {_order} DESC NULLS LAST, id LIMIT 200"))(
+        lambda c, d=_date, o=_order, f=_field: c.works.where((F.col("topic") == "t2") & (F.col(f) >= d)).orderBy(F.desc_nulls_last(o), "id").limit(200).select("id", "topic", "publication_date", "cited_by_count")
     )
 _RUNG = " UNION ALL ".join(f"SELECT topic, '{r}' AS rung, count(*) FILTER (publication_date >= '{r}') AS n, {k} AS k FROM works GROUP BY topic" for k, r in enumerate(I.RUNGS))
 query("date_ladder", with_views("SELECT topic, coalesce(min_by(rung, k) FILTER (n >= 200), max_by(rung, k)) AS rung, coalesce(min_by(n, k) FILTER (n >= 200), max_by(n, k)) AS n FROM r GROUP BY topic", f"r AS ({_RUNG})"))(lambda c: I.date_ladder(c.works))
@@ -138,15 +141,21 @@ query("topics_fetched", with_views("SELECT topic, count(*) AS fetched FROM works
 
 # ---- ingest ----
 NORM = r"""norm AS (SELECT topic, ord, nullif(regexp_extract(id, '[^/]*$'), '') AS openalex_id, nullif(regexp_replace(display_name, '^\s+|\s+$', '', 'g'), '') AS title,
-    coalesce(nullif(publication_year, 0), substr(publication_date, 1, 4)::INTEGER) AS publication_year, coalesce(cited_by_count, 0)::BIGINT AS cited_by_count, doi FROM works)"""
-NCOLS = ("topic", "ord", "openalex_id", "title", "publication_year", "cited_by_count", "doi")
-query("normalize_work", with_views(f"SELECT {', '.join(NCOLS)} FROM norm WHERE title IS NOT NULL", NORM))(lambda c: I.normalized(c.works).where("skip is null").select(*NCOLS))
-DEDUP = "ded AS (SELECT openalex_id, first(title ORDER BY topic, ord) AS title, first(publication_year ORDER BY topic, ord) AS publication_year, first(cited_by_count ORDER BY topic, ord) AS cited_by_count, first(doi ORDER BY topic, ord) AS doi, string_agg(DISTINCT topic, '|' ORDER BY topic) AS topics FROM norm WHERE title IS NOT NULL GROUP BY openalex_id)"
-query("dedupe_cross_topic", with_views("SELECT * FROM ded", NORM, DEDUP))(lambda c: I.deduplicated(c.works))
+    coalesce(nullif(publication_year, 0), substr(publication_date, 1, 4)::INTEGER) AS publication_year, coalesce(cited_by_count, 0)::BIGINT AS cited_by_count, doi, abstract, authors FROM works)"""
+NCOLS = ("topic", "ord", "openalex_id", "title", "publication_year", "cited_by_count", "doi", "abstract")
+
+
+def author_list() -> Column:
+    return F.array_join(F.transform("authors", lambda a: F.concat(a["openalex_id"], F.lit(":"), a["name"])), "|").alias("authors")
+
+
+query("normalize_work", with_views(f"SELECT {', '.join(NCOLS)}, authors FROM norm WHERE title IS NOT NULL", NORM))(lambda c: I.normalized(c.works).where("skip is null").select(*NCOLS, author_list()))
+DEDUP = "ded AS (SELECT openalex_id, first(title ORDER BY topic, ord) AS title, first(publication_year ORDER BY topic, ord) AS publication_year, first(cited_by_count ORDER BY topic, ord) AS cited_by_count, first(doi ORDER BY topic, ord) AS doi, first(abstract ORDER BY topic, ord) AS abstract, first(authors ORDER BY topic, ord) AS authors, string_agg(DISTINCT topic, '|' ORDER BY topic) AS topics FROM norm WHERE title IS NOT NULL GROUP BY openalex_id)"
+query("dedupe_cross_topic", with_views("SELECT * FROM ded", NORM, DEDUP))(lambda c: I.deduplicated(c.works).withColumn("authors", author_list()))
 query("dlq_normalize_skip", with_views("SELECT topic, ord, openalex_id, doi, 'normalize_skip' AS reason, 'missing title' AS error_detail, 1 AS attempts, 'pending' AS status FROM norm WHERE title IS NULL", NORM))(lambda c: I.dead_letters(c.works))
-CAND = """cand AS (SELECT *, list_filter(landing_pages || [doi], lambda x: x IS NOT NULL AND (starts_with(x, 'http'))) AS raw FROM works),
+CAND = """cand AS (SELECT *, list_filter(list_transform(landing_pages || [doi], lambda x: trim(x)), lambda x: x IS NOT NULL AND (starts_with(x, 'http://') OR starts_with(x, 'https://'))) AS raw FROM works),
     cands AS (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS candidates FROM cand),
-    ordd AS (SELECT *, list_filter(candidates, lambda x: contains(lower(x), 'arxiv.org')) || list_filter(candidates, lambda x: NOT contains(lower(x), 'arxiv.org')) AS ordered FROM cands)"""
+    ordd AS (SELECT *, list_filter(candidates, lambda x: contains(x, 'arxiv.org') OR contains(x, '10.48550')) || list_filter(candidates, lambda x: NOT (contains(x, 'arxiv.org') OR contains(x, '10.48550'))) AS ordered FROM cands)"""
 query("landing_candidates", with_views("SELECT topic, ord, array_to_string(candidates, ' ') AS candidates, array_to_string(ordered, ' ') AS ordered FROM ordd", CAND))(
     lambda c: I.landing_candidates(c.works).select("topic", "ord", F.array_join("candidates", " ").alias("candidates"), F.array_join("ordered", " ").alias("ordered"))
 )
@@ -192,13 +201,53 @@ STATE = "sta AS (SELECT 'topic' || r_regionkey AS topic, CASE WHEN r_regionkey >
 
 
 def state(c: Corpus) -> DataFrame:
-    return c.table("region").select(F.concat(F.lit("topic"), F.col("r_regionkey").cast("string")).alias("topic"), F.when(F.col("r_regionkey") > 1, F.lit("2024-01-01")).alias("last_incremental_at"))
+    mark = F.when(F.col("r_regionkey") > 1, F.lit("2024-01-01"))
+    return c.table("region").where("r_regionkey <> 3").select(F.concat(F.lit("topic"), F.col("r_regionkey").cast("string")).alias("topic"), F.lit(None).cast("string").alias("last_full_ingest_at"), mark.alias("last_incremental_at"))
+
+
+def due(c: Corpus) -> DataFrame:
+    """The topics of a run: one of them has no watermark row yet."""
+    return c.table("region").where("r_regionkey >= 2").select(F.concat(F.lit("topic"), F.col("r_regionkey").cast("string")).alias("topic"))
+
+
+STATE = STATE.replace("TIMESTAMP '2024-01-01'", "'2024-01-01'").replace(" FROM region", ", NULL::VARCHAR AS last_full_ingest_at FROM region WHERE r_regionkey <> 3")
+DUE = "due AS (SELECT 'topic' || r_regionkey AS topic FROM region WHERE r_regionkey >= 2)"
+MARKS = "SELECT topic, last_full_ingest_at, {} AS last_incremental_at FROM sta"
+query("watermark_seed", with_views("SELECT topic, '2024-06-01' AS last_full_ingest_at, '2024-06-01' AS last_incremental_at FROM due UNION ALL " + MARKS.format("last_incremental_at") + " WHERE topic NOT IN (SELECT topic FROM due)", STATE, DUE))(lambda c: U.seed_watermarks(state(c), due(c), "2024-06-01"))
+query("watermark_backfill", with_views(MARKS.format("last_incremental_at") + " UNION ALL SELECT topic, NULL, '2024-06-01' FROM due WHERE topic NOT IN (SELECT topic FROM sta)", STATE, DUE))(lambda c: U.backfill_watermarks(state(c), due(c), "2024-06-01"))
+query("watermark_advance", with_views(MARKS.format("CASE WHEN topic IN (SELECT topic FROM due) THEN '2024-06-02' ELSE last_incremental_at END"), STATE, DUE))(lambda c: U.advance_watermarks(state(c), due(c), "2024-06-02"))
+
+#: Runs over the views: an empty corpus, then a stored one with later works.
+TOPICS = [("t1", "T1", "first"), ("t2", "T2", "second")]
+LADDER = f"r AS ({_RUNG}), rung AS (SELECT topic, coalesce(min_by(rung, k) FILTER (n >= 200), max_by(rung, k)) AS rung FROM r GROUP BY topic)"
+FETCH = "SELECT * EXCLUDE (place, ord), place AS ord FROM (SELECT works.*, row_number() OVER (PARTITION BY topic ORDER BY {} DESC NULLS LAST, works.id) AS place FROM works {}) WHERE place <= {}"
+NORMED = NORM.replace("FROM works)", "FROM fetched)")
+
+
+def empty(c: Corpus) -> dict[str, DataFrame]:
+    return {k: c.spark.createDataFrame([], v) for k, v in U.SCHEMAS.items()}
+
 
+def stored(c: Corpus) -> dict[str, DataFrame]:
+    """Every paper whose id leaves 0 or 1 by 4, its title shortened where it leaves 1."""
+    papers = c.paper.where("id % 4 < 2").select("id", "openalex_id", F.when(F.col("id") % 4 == 1, F.substring("title", 1, 20)).otherwise(T.strip(F.col("title"))).alias("title"), T.collapse(F.col("title")).alias("abstract"), "publication_year", "doi", "cited_by_count", F.lit(None).cast("string").alias("abstract_source"), F.lit(None).cast("string").alias("abstract_recovered_at"))
+    return empty(c) | {"paper": papers, "ingest_state": c.spark.createDataFrame([(t, None, "2023-03-01T10:00:00") for t, *_ in TOPICS], U.SCHEMAS["ingest_state"])}
 
-STATE = STATE.replace("TIMESTAMP '2024-01-01'", "'2024-01-01'")
-query("watermark_seed", with_views("SELECT topic, '2024-06-01' AS last_full_ingest_at, '2024-06-01' AS last_incremental_at FROM sta", STATE))(lambda c: state(c).select("topic", F.lit("2024-06-01").alias("last_full_ingest_at"), F.lit("2024-06-01").alias("last_incremental_at")))
-query("watermark_backfill", with_views("SELECT topic, coalesce(last_incremental_at, '2024-06-01') AS last_incremental_at FROM sta", STATE))(lambda c: state(c).select("topic", F.coalesce("last_incremental_at", F.lit("2024-06-01")).alias("last_incremental_at")))
-query("watermark_advance", with_views("SELECT topic, '2024-06-02' AS last_incremental_at FROM sta", STATE))(lambda c: state(c).select("topic", F.lit("2024-06-02").alias("last_incremental_at")))
+
+query("ingest_full", with_views("SELECT openalex_id, title, abstract, publication_year, doi, cited_by_count FROM ded", LADDER, "fetched AS (" + FETCH.format("cited_by_count", "JOIN rung USING (topic) WHERE publication_date >= rung", U.PER_TOPIC) + ")", NORMED, DEDUP))(
+    lambda c: U.apply(empty(c), U.fetch_full(c.works), TOPICS, "full")[0]["paper"].select("openalex_id", "title", "abstract", "publication_year", "doi", "cited_by_count")
+)
+query("ingest_full_links", with_views("SELECT DISTINCT openalex_id, split_part(unnest(string_split(authors, '|')), ':', 1) AS author_id FROM ded", LADDER, "fetched AS (" + FETCH.format("cited_by_count", "JOIN rung USING (topic) WHERE publication_date >= rung", U.PER_TOPIC) + ")", NORMED, DEDUP))(
+    lambda c: U.apply(empty(c), U.fetch_full(c.works), TOPICS, "full")[0]["paper_author"]
+)
+DELTA = ["fetched AS (" + FETCH.format("updated_date", "WHERE updated_date >= '2023-03-01'", U.PER_DELTA) + ")", NORMED, DEDUP]
+query("ingest_incremental", with_views("""SELECT openalex_id, title, doi, cited_by_count FROM ded UNION ALL
+    SELECT openalex_id, CASE WHEN id % 4 = 1 THEN substr(title, 1, 20) ELSE regexp_replace(title, '^\\s+|\\s+$', '', 'g') END, doi, cited_by_count FROM paper WHERE id % 4 < 2 AND openalex_id NOT IN (SELECT openalex_id FROM ded)""", *DELTA))(
+    lambda c: U.apply(stored(c), U.fetch_delta(c.works, stored(c)["ingest_state"]), TOPICS, "incremental")[0]["paper"].select("openalex_id", "title", "doi", "cited_by_count")
+)
+query("ingest_incremental_report", with_views("SELECT count(*) AS papers, count(*) FILTER (old) AS papers_updated, count(*) FILTER (NOT old) AS papers_new FROM (SELECT openalex_id IN (SELECT openalex_id FROM paper WHERE id % 4 < 2) AS old FROM ded)", *DELTA))(
+    lambda c: U.apply(stored(c), U.fetch_delta(c.works, stored(c)["ingest_state"]), TOPICS, "incremental")[2].select("papers", "papers_updated", "papers_new")
+)
 query("since_date", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS since FROM events")(lambda c: c.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("since")))
 DLQ = "dlq AS (SELECT event_id AS id, ts AS created_at, event_type AS topic, 1 + (event_id % 3)::INTEGER AS attempts, CASE WHEN event_id % 5 = 0 THEN 'retried' ELSE 'pending' END AS status FROM events)"
 
@@ -259,7 +308,7 @@ query("classify_status", with_views("SELECT url, CASE WHEN status = 200 THEN 'ok
 query("doi_audit", with_views("SELECT id, doi, status::VARCHAR AS status FROM paper JOIN url_status ON url = doi WHERE status <> 200"))(lambda c: c.paper.join(c.url_status, F.col("doi") == F.col("url")).where("status <> 200").select("id", "doi", F.col("status").cast("string").alias("status")).orderBy("status", "id"))
 query("doi_bare", with_views("SELECT id, regexp_replace(doi, '^https?://doi\\.org/', '') AS bare FROM paper"))(lambda c: c.paper.select("id", T.bare_doi(F.col("doi")).alias("bare")))
 query("doi_source", with_views("SELECT id, CASE WHEN contains(doi, '10.1007') THEN 'springer' WHEN contains(doi, '10.1016') THEN 'elsevier' ELSE 'html_generic' END AS source_tag FROM paper"))(lambda c: c.paper.select("id", T.doi_source(F.col("doi")).alias("source_tag")))
-query("arxiv_id", with_views("SELECT topic, ord, nullif(regexp_extract(landing_pages[1], '(?i)(?:arxiv\\.org/(?:abs|pdf)/|10\\.48550/arxiv\\.)(\\d{4}\\.\\d{4,5})', 1), '') AS arxiv FROM works"))(lambda c: c.works.select("topic", "ord", T.arxiv_id(F.get("landing_pages", F.lit(0))).alias("arxiv")))
+query("arxiv_id", with_views(f"SELECT topic, ord, list_filter(list_transform([doi] || landing_pages, lambda x: regexp_extract(coalesce(x, ''), '{T.ARXIV}', 1)), lambda x: x <> '')[1] AS arxiv FROM works"))(lambda c: c.works.select("topic", "ord", T.arxiv_id(F.col("doi"), F.col("landing_pages")).alias("arxiv")))
 query("strip_markup", r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM pages")(lambda c: c.table("pages").select("page_id", T.strip_markup(F.col("html")).alias("plain")))
 query("ws_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS line FROM documents")(lambda c: c.table("documents").select("doc_id", T.collapse(F.col("text")).alias("line")))
 CANDIDATES = "can AS (SELECT * FROM paper WHERE abstract IS NULL AND doi IS NOT NULL)"
@@ -280,15 +329,32 @@ query("recover_waterfall", with_views("SELECT id, found, found_source FROM rec",
 query("recover_batch", with_views("SELECT id, found AS abstract, found_source AS abstract_source FROM rec WHERE found IS NOT NULL ORDER BY id LIMIT 20", *SOURCES))(lambda c: waterfall(c).where("found is not null").orderBy("id").limit(I.RECOVERY_LIMIT).select("id", F.col("found").alias("abstract"), F.col("found_source").alias("abstract_source")))
 query("abstracts_by_source", with_views("SELECT found_source AS abstract_source, count(*) AS n FROM rec GROUP BY found_source", *SOURCES))(lambda c: waterfall(c).groupBy(F.col("found_source").alias("abstract_source")).agg(F.count(F.lit(1)).alias("n")))
 query("abstract_gap_counts", with_views("SELECT count(*) FILTER (abstract IS NULL) AS missing, count(*) FILTER (abstract IS NULL AND doi IS NOT NULL) AS recoverable FROM paper"))(lambda c: c.paper.agg(F.count_if(F.col("abstract").isNull()).alias("missing"), F.count_if(F.col("abstract").isNull() & F.col("doi").isNotNull()).alias("recoverable")))
-query("html_abstract")(lambda c: c.table("pages").select("page_id", R.html_abstract(F.col("html")).alias("abstract")))
-query("url_guard")(lambda c: c.table("pages").select("page_id", R.private_url(F.col("url")).alias("blocked")))
-query("atom_summary")(lambda c: c.paper.select("id", R.feed_summary(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><summary> Paper '), F.col("id").cast("string"), F.lit(" </summary></entry></feed>"))).alias("summary")))
+SENTENCE = "An abstract that stands on the page number {} and is long enough to be taken for one, since it has many words."
+PLACES = ('<meta name="citation_abstract" content=" {}  ">', '<meta property="og:description" content="{}"><div class="abstract author"><p>other</p></div>', '<section id="abstract"><h2>Abstract</h2><p>{}</p></section>', '<article><section class="abstract x">{}</section></article>', '<div class="c-article-section__content">{}</div>')
+
+
+def with_abstracts(c: Corpus) -> DataFrame:
+    """The pages with an abstract at one of several places, or at none that counts."""
+    said = F.concat(*(F.lit(x) if k == 0 else F.concat(F.col("page_id").cast("string"), F.lit(x)) for k, x in enumerate(SENTENCE.split("{}"))))
+    kind = F.col("page_id") % len(PLACES)
+    block = F.element_at(F.array(*(F.concat(F.lit(x.split("{}")[0]), said, F.lit(x.split("{}")[1])) for x in PLACES)), (kind + 1).cast("int"))
+    return c.table("pages").select("page_id", F.concat(block, "html").alias("html"))
+
+
+_SAID = "replace('" + SENTENCE + "', '{}', page_id::VARCHAR)"
+query("html_abstract", f"SELECT page_id, CASE page_id % 5 WHEN 4 THEN NULL WHEN 2 THEN 'Abstract ' || {_SAID} ELSE {_SAID} END AS abstract FROM pages")(lambda c: with_abstracts(c).select("page_id", R.html_abstract(F.col("html")).alias("abstract")))
+HOSTS = ("http://10.0.0.8/", "http://localhost/x", "ftp://a.b/", "http://[::1]/", "http://169.254.1.1/", "http://intranet.local/", "https://8.8.8.8/")
+query("url_guard", f"SELECT page_id, page_id % 8 < 5 AS blocked FROM pages")(
+    lambda c: c.table("pages").select("page_id", R.private_url(F.coalesce(F.get(F.array(*map(F.lit, HOSTS)), (F.col("page_id") % 8).cast("int")), F.col("url"))).alias("blocked"))
+)
+query("atom_summary", with_views("SELECT id, 'Paper ' || id AS summary FROM paper"))(lambda c: c.paper.select("id", R.feed_summary(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><summary> Paper '), F.col("id").cast("string"), F.lit(" </summary></entry></feed>"))).alias("summary")))
 
 
 @query("abstract_rebuild", r"""WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents) SELECT doc_id, nullif(array_to_string(ws, ' '), '') AS abstract FROM w""")
 def _(c):
     """Each text's inverted index (word to positions), built and read back."""
-    words = c.table("documents").select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("ws"))
+    # a document's words stay together, so neither of the two groupings shuffles
+    words = c.table("documents").repartition("doc_id").select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("ws"))
     index = words.select("doc_id", F.posexplode_outer("ws").alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
     whole = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "positions")))).alias("index"))
     return whole.select("doc_id", T.rebuilt_abstract(F.col("index")).alias("abstract"))
@@ -322,8 +388,9 @@ METRICS = [
     "pool AS (SELECT qid, count(DISTINCT id) AS pool FROM judged WHERE rel = 1 GROUP BY qid)",
     f"""raw AS (SELECT qid, mode, coalesce(max(CASE WHEN rel = 1 THEN 1e0 / rank END), 0) AS mrr, coalesce(sum(CASE WHEN rel = 1 AND rank <= {E.NDCG_K} THEN 1e0 / log2(rank + 1) END), 0) AS dcg,
         count(*) FILTER (rel = 1 AND rank <= {E.NDCG_K}) AS n10, count(*) FILTER (rel = 1) AS found FROM judged GROUP BY qid, mode)""",
-    """per AS (SELECT qid, mode, round(mrr, 6) AS mrr, round(CASE WHEN n10 > 0 THEN dcg / list_sum(list_transform(range(1, n10 + 1), lambda i: 1e0 / log2(i + 1))) ELSE 0 END, 6) AS ndcg,
-        round(coalesce(found / pool, 0), 6) AS recall FROM raw LEFT JOIN pool USING (qid))""",
+    "asked AS (SELECT unnest([" + ", ".join(f"'{q}'" for q, *_ in E.QRELS) + "]) AS qid), modes AS (SELECT unnest(['legacy', 'ranked', 'hybrid']) AS mode)",
+    """per AS (SELECT qid, mode, round(coalesce(mrr, 0), 6) AS mrr, round(CASE WHEN n10 > 0 THEN dcg / list_sum(list_transform(range(1, n10 + 1), lambda i: 1e0 / log2(i + 1))) ELSE 0 END, 6) AS ndcg,
+        round(coalesce(found / pool, 0), 6) AS recall FROM (SELECT qid, mode FROM asked, modes) LEFT JOIN raw USING (qid, mode) LEFT JOIN pool USING (qid))""",
     "metrics AS (SELECT *, (ndcg = max(ndcg) OVER (PARTITION BY qid))::INTEGER AS win FROM per)",
 ]
 _res = lambda c: E.relevance(E.runs(c))
@@ -331,8 +398,10 @@ query("eval_relevance", with_views("SELECT * FROM judged", *JUDGED))(_res)
 for _metric in ("mrr", "ndcg", "recall", "win"):
     query({"recall": "eval_pooled_recall", "win": "eval_wins"}.get(_metric, f"eval_{_metric}"), with_views(f"SELECT qid, mode, {_metric} FROM metrics", *METRICS))(lambda c, m=_metric: E.per_query(_res(c)).select("qid", "mode", m))
 query("eval_scorecard", with_views("SELECT mode, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, sum(win)::BIGINT AS wins FROM metrics GROUP BY mode", *METRICS))(lambda c: E.scorecard(E.per_query(_res(c))))
-query("eval_degrade", with_views("SELECT qid, count(DISTINCT ids) = 1 AS degraded FROM (SELECT qid, mode, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM runs GROUP BY qid, mode) GROUP BY qid", *JUDGED[:1]))(lambda c: E.degraded(E.runs(c)))
-query("qrels_load")(lambda c: E.qrels(c.spark))
+query("eval_degrade", with_views("SELECT qid, count(DISTINCT coalesce(ids, '')) = 1 AS degraded FROM (SELECT qid, mode FROM asked, modes) LEFT JOIN (SELECT qid, mode, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM runs GROUP BY qid, mode) USING (qid, mode) GROUP BY qid", *METRICS[:-2]))(lambda c: E.degraded(E.runs(c)))
+query("qrels_load", "SELECT * FROM (VALUES ('q1', 'this from', 'this', NULL::INTEGER, NULL), ('q2', 'with', 'with|that', 2020, NULL), ('q3', 'que', 'que|para', NULL, 'Supplier')) AS t(qid, q, relevant, year, author)")(
+    lambda c: R.read_qrels(c.spark, f"file://{Path(__file__).with_name('qrels.jsonl')}").select("qid", "q", F.array_join("relevant_substrings", "|").alias("relevant"), "year", "author")
+)
 
 # ---- lists, limits and page arithmetic ----
 LISTS = "li AS (SELECT user_id, list(DISTINCT event_id % 50 ORDER BY event_id % 50) AS a, [3, 7, 3, 60]::BIGINT[] AS b FROM events GROUP BY user_id)"
@@ -353,14 +422,19 @@ query("history_mru", "SELECT user_id, item, rank FROM (SELECT user_id, item, row
     lambda c: I.latest_first(c.table("events").select("user_id", (F.col("event_id") % 40).alias("item"), "ts"), "user_id", "item", "ts").select("user_id", "item", "rank")
 )
 query("debounce", "SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR (epoch_us(nxt) - epoch_us(ts)) / 1000.0 >= 300")(lambda c: L.debounced(c.table("events"), "user_id", "ts", 300).select("event_id"))
-query("rate_limit")(lambda c: L.rate_limited(c.table("events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("hit"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")), 1))
+LIMIT = 2
+query("rate_limit", f"""WITH RECURSIVE h AS (SELECT user_id::VARCHAR AS key, event_id AS hit, epoch_us(ts) / 1e6::DOUBLE AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT key, hit, ts, n, [ts] AS log, true AS admitted, NULL::DOUBLE AS retry_after FROM h WHERE n = 1
+    UNION ALL SELECT key, hit, ts, n, CASE WHEN len(f) < {LIMIT} THEN f || [ts] ELSE f END, len(f) < {LIMIT}, CASE WHEN len(f) >= {LIMIT} THEN round(f[1] + 60 - ts, 6) END
+    FROM (SELECT h.*, list_filter(r.log, lambda t: t > h.ts - 60) AS f FROM r JOIN h ON h.key = r.key AND h.n = r.n + 1))
+  SELECT key, hit, ts, admitted, retry_after FROM r""")(lambda c: L.rate_limited(c.table("events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("hit"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")), LIMIT))
 query("page_math", with_views("SELECT id, greatest(1, ceil(id / 20.0))::BIGINT AS pages, lpad((id % 10000)::VARCHAR, 4, '0') AS padded, (id % 7) * 20 + 1 AS first_rank FROM paper"))(
     lambda c: c.paper.select("id", F.greatest(F.lit(1), F.ceil(F.col("id") / 20)).cast("long").alias("pages"), F.lpad((F.col("id") % 10000).cast("string"), 4, "0").alias("padded"), ((F.col("id") % 7) * 20 + 1).alias("first_rank"))
 )
 query("scope_latest", with_views("SELECT id, round((id * 137.508e0) % 360, 6) AS angle, round(0.3e0 + (idx * 0.16e0) % 0.62e0, 6) AS radius FROM (SELECT id, row_number() OVER (ORDER BY publication_year DESC, id DESC) - 1 AS idx FROM paper) WHERE idx < 12"))(
     lambda c: S.ranked(c.paper.orderBy(F.desc("publication_year"), F.desc("id")).limit(12), F.desc("publication_year"), F.desc("id"), name="idx").select("id", F.round((F.col("id") * 137.508) % 360, 6).alias("angle"), F.round(0.3 + ((F.col("idx") - 1) * 0.16) % 0.62, 6).alias("radius"))
 )
-query("backoff_schedule", "SELECT r_regionkey AS failures, least(300 * pow(2, least(r_regionkey + 1, 5)), 3600)::DOUBLE AS wait_s FROM region")(lambda c: c.table("region").select(F.col("r_regionkey").alias("failures"), F.least(300 * F.pow(F.lit(2.0), F.least(F.col("r_regionkey") + 1, F.lit(5))), F.lit(3600.0)).alias("wait_s")))
+query("backoff_schedule", "SELECT r_regionkey::BIGINT AS failures, least(300 * pow(2, least(r_regionkey + 1, 5)), 3600)::DOUBLE AS wait_s FROM region")(lambda c: c.spark.createDataFrame([(r, float(U.retry_wait(r + 1))) for r in range(5)], "failures long, wait_s double"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import random
+import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timezone
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
@@ -15,6 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions.text import ARXIV
+
+#: An upstream record.
+WORK = "id string, display_name string, publication_year int, publication_date string, updated_date string, abstract_inverted_index map<string,array<int>>, cited_by_count long, doi string, authorships array<struct<author:struct<id:string,display_name:string>>>, locations array<struct<landing_page_url:string>>"
 RETRYABLE = {429, 502, 503, 504}
 PAGE_SIZE, ATTEMPTS = 100, 3
 
@@ -32,14 +40,113 @@ def retry_after(headers: dict, now: float | None = None) -> float | None:
         seconds = float(int(raw.strip()))
     except ValueError:
         try:
-            seconds = parsedate_to_datetime(raw).timestamp() - (time.time() if now is None else now)
+            at = parsedate_to_datetime(raw)
+            at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+            seconds = at.timestamp() - (time.time() if now is None else now)
         except (TypeError, ValueError):
             return None
     return min(60.0, max(0.0, seconds))
 
 
-def backoff(attempt: int, asked: float | None, base: float = 1.0, cap: float = 30.0, jitter: float = 0.0) -> float:
-    return min(cap, max(base * 2**attempt, asked or 0.0) + jitter)
+def backoff(attempt: int, asked: float | None, base: float = 1.0, cap: float = 30.0, jitter: float | None = None) -> float:
+    """Seconds to wait before a retry, with up to a second of jitter."""
+    return min(cap, max(base * 2**attempt, asked or 0.0) + (random.random() if jitter is None else jitter))
+
+
+def retryable(error: BaseException) -> bool:
+    """Whether a fetch may be tried again after an exception: timeouts and refused connections."""
+    return isinstance(error, (Unavailable, TimeoutError, ConnectionError))
+
+
+def fetch_or_none(get: Callable[[str, dict], tuple[int, dict, str]], path: str, sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """Body of a GET, or None after its last retry, for any other status and for any failure."""
+    try:
+        return fetch(get, path, {}, sleep)
+    except Exception:
+        return None
+
+
+def probe(get: Callable[[str, dict], tuple[int, dict, str]], url: str) -> str:
+    """ok, dead or unknown: the state of a link. Urls that must not be fetched and failures are unknown."""
+    if is_private_url(url):
+        return "unknown"
+    try:
+        status = get(url, {})[0]
+    except Exception:
+        return "unknown"
+    return "ok" if status == 200 else "dead" if status in (404, 410) else "unknown"
+
+
+def crossref_abstract(get, doi: str, sleep=time.sleep) -> str | None:
+    """Abstract without markup that the metadata service has for a doi; none for preprint dois."""
+    bare = re.sub("^https?://doi\\.org/", "", (doi or "").strip()).strip()
+    if not bare or bare.startswith("10.48550"):
+        return None
+    try:
+        raw = json.loads(fetch_or_none(get, f"https://api.crossref.org/works/{bare}", sleep) or "{}").get("message", {}).get("abstract")
+        return re.sub("<[^>]+>", "", raw or "").strip() or None
+    except (ValueError, AttributeError, TypeError):
+        return None
+
+
+def arxiv_abstract(get, doi: str, pages: list[str] | None = None, sleep=time.sleep) -> str | None:
+    """Summary of the preprint that the doi or a landing page names."""
+    found = (re.search(ARXIV, x or "") for x in (doi, *(pages or ())))
+    number = next((m[1] for m in found if m), None)
+    return summary_of_feed(fetch_or_none(get, f"https://export.arxiv.org/api/query?id_list={number}", sleep)) if number else None
+
+
+def page_abstract(get, doi: str, sleep=time.sleep) -> str | None:
+    """Abstract on the page that a doi leads to."""
+    bare = re.sub("^https?://doi\\.org/", "", (doi or "").strip()).strip()
+    return abstract_of_html(fetch_or_none(get, f"https://doi.org/{bare}", sleep)) if bare else None
+
+
+def recover(get, doi: str | None, pages: list[str] | None = None, sleep=time.sleep) -> tuple[str | None, str | None]:
+    """(abstract, source) from the first source that has one: metadata service, preprint server, publisher's page."""
+    own = (doi or "").strip()
+    if not own:
+        return None, None
+    low = own.lower()
+    publisher = "springer" if "10.1007" in low else "elsevier" if "10.1016" in low else "html_generic"
+    for name, found in (("crossref", lambda: crossref_abstract(get, own, sleep)), ("arxiv", lambda: arxiv_abstract(get, own, pages, sleep)), (publisher, lambda: page_abstract(get, own, sleep))):
+        if text := found():
+            return text, name
+    return None, None
+
+
+def recovered_abstracts(papers: DataFrame, get) -> DataFrame:
+    """(id, abstract, abstract_source) of papers (id, doi) for which a source has an abstract; ``get`` runs in the tasks."""
+    kind = papers.schema["id"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(i, *recover(get, doi)) for i, doi in zip(part["id"], part["doi"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["id", "abstract", "abstract_source"])
+
+    return papers.select("id", "doi").mapInPandas(run, f"id {kind}, abstract string, abstract_source string")
+
+
+def probed(urls: DataFrame, get, threads: int = 8) -> DataFrame:
+    """(url, state) of the distinct urls, ``threads`` at a time in each task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(threads) as pool:
+            for part in parts:
+                yield pd.DataFrame({"url": part["url"], "state": list(pool.map(lambda u: probe(get, u), part["url"]))})
+
+    return urls.select("url").where("url is not null").distinct().mapInPandas(run, "url string, state string")
+
+
+def works(spark: SparkSession, get, topic: str, since: str, most: int, updated: bool = False, sleep=time.sleep) -> DataFrame:
+    """Upstream records of a topic from a date on (of publication, or of change), at most ``most``, as rows with ``ord``.
+
+    One cursor leads through the pages, so the driver reads them; ``most`` bounds what it holds.
+    """
+    params = {"filter": f"topics.id:{topic},from_{'updated' if updated else 'publication'}_date:{since}", "sort": "updated_date:desc" if updated else "cited_by_count:desc"}
+    lines = [(json.dumps(r), k) for k, r in enumerate(pages(get, "/works", params, most, sleep))]
+    raw = spark.createDataFrame(lines, "line string, ord long")
+    return raw.select(F.from_json("line", WORK).alias("w"), "ord").select("w.*", "ord").withColumn("landing_pages", F.transform("locations", lambda x: x["landing_page_url"]))
 
 
 def fetch(get: Callable[[str, dict], tuple[int, dict, str]], path: str, params: dict, sleep: Callable[[float], None] = time.sleep, also: frozenset[int] = frozenset({500})) -> str:
@@ -48,8 +155,8 @@ def fetch(get: Callable[[str, dict], tuple[int, dict, str]], path: str, params:
         last = attempt == ATTEMPTS - 1
         try:
             status, headers, body = get(path, params)
-        except Unavailable:
-            if last:
+        except Exception as error:
+            if last or not retryable(error):
                 raise
             sleep(backoff(attempt, None))
             continue
@@ -77,18 +184,19 @@ def pages(get, path: str, params: dict, most: int, sleep=time.sleep) -> Iterator
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """Relevance judgements from JSON lines; blank, broken and incomplete rows are left out."""
     schema = "qid string, q string, relevant_substrings array<string>, year int, author string, _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).cache()  # required to ask for the broken rows alone
+    lines = spark.read.text(path).select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("x"))
+    rows = lines.select("x.*")
     return rows.where("_corrupt_record is null and qid is not null and q is not null and relevant_substrings is not null").drop("_corrupt_record")
 
 
 def is_private_url(url: str | None) -> bool:
-    """Whether a url must not be fetched: not http(s), no host, local names, or a literal of a non-public address."""
+    """Whether a url must not be fetched: not http(s), no host, this machine's name, or a literal of a non-public address."""
     try:
         parts = urlsplit(url or "")
-        host = (parts.hostname or "").lower().rstrip(".")
+        host = (parts.hostname or "").strip().lower()
     except ValueError:
         return True
-    if parts.scheme not in ("http", "https") or not host or host == "localhost" or host.endswith((".localhost", ".local", ".internal")):
+    if parts.scheme not in ("http", "https") or host in ("", "localhost", "0.0.0.0", "::1"):
         return True
     try:
         address = ipaddress.ip_address(host)
@@ -97,35 +205,47 @@ def is_private_url(url: str | None) -> bool:
     return address.is_private or address.is_loopback or address.is_link_local or address.is_reserved or address.is_multicast or address.is_unspecified
 
 
-#: Fixed values of the extraction: meta names with the least length of their content, then element selectors likewise.
-METAS = (("citation_abstract", 1), ("dc.Description", 50), ("dc.description", 50), ("og:description", 50), ("description", 100))
+#: Fixed values of the extraction: meta attributes and names with the least length of their content; then
+#: selectors in order, with the least length of the element's text.
+METAS = (("name", "citation_abstract", 50), ("name", "dc.Description", 50), ("name", "dc.description", 50), ("property", "og:description", 50), ("name", "description", 100))
 SECTIONS = (
-    ("div", "id", "Abs1-content", 50), ("section", "data-title", "Abstract", 50), ("div", "class", "c-article-section__content", 50), ("section", "class", "Abstract", 50),
-    ("div", "class", "abstract author", 50), ("div", "id", "abstracts", 50), ("div", "class", "Abstracts", 50), ("div", "class", "abstract-content", 50),
-    ("div", "class", "abstract", 80), ("section", "class", "abstract", 80),
+    ("#Abs1-content", 50), ("#Abs1-section", 50), ("section#Abs1", 50), ("div#Abs1-section", 50),
+    ("div.abstract.author", 50), ("section#abstract", 50), ("div#abstracts", 50), ("div.abstract", 50),
+    ("section.abstract", 80), ("article section.abstract", 80),
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+def _fits(selector: str, tag: str, own: dict[str, str], above: list[str]) -> bool:
+    """Whether an element, below the open elements ``above``, is what ``[ancestor ]name[#id][.class...]`` selects."""
+    *outer, last = selector.split(" ")
+    name, *marks = re.split("(?=[#.])", last)
+    return (
+        all(x in above for x in outer) and name in ("", tag)
+        and all(own.get("id") == m[1:] if m[0] == "#" else m[1:] in own.get("class", "").split() for m in marks)
+    )
+
+
 class _Page(HTMLParser):
+    """The first meta tag of each name, and the text of the first element of each selector."""
+
     def __init__(self) -> None:
         super().__init__()
-        self.metas: dict[str, str] = {}
-        self.found: dict[int, list[str]] = {}
-        self.open: list[tuple[str, list[int]]] = []
-        self.done: set[int] = set()
+        self.metas: dict[tuple[str, str], str] = {}
+        self.found: dict[str, list[str]] = {}
+        self.open: list[tuple[str, list[str]]] = []
+        self.done: set[str] = set()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         own = {k: v or "" for k, v in attrs}
-        if tag == "meta" and (name := own.get("name") or own.get("property")):
-            self.metas.setdefault(name, own.get("content", ""))
+        if tag == "meta":
+            for key in ("name", "property"):
+                self.metas.setdefault((key, own.get(key, "")), own.get("content", ""))
         if tag in VOID:
             return
-        starts = []
-        for k, (element, key, value, _) in enumerate(SECTIONS):
-            if tag == element and k not in self.found and (set(value.split()) <= set(own.get(key, "").split()) if key == "class" else own.get(key) == value):
-                self.found[k] = []
-                starts.append(k)
+        above = [t for t, _ in self.open]
+        starts = [x for x, _ in SECTIONS if x not in self.found and _fits(x, tag, own, above)]
+        self.found |= {x: [] for x in starts}
         self.open.append((tag, starts))
 
     def handle_endtag(self, tag: str) -> None:
@@ -137,8 +257,8 @@ class _Page(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        for k, pieces in self.found.items():
-            if k not in self.done:
+        for selector, pieces in self.found.items():
+            if selector not in self.done:
                 pieces.append(data)
 
 
@@ -147,11 +267,11 @@ def abstract_of_html(html: str | None) -> str | None:
     page = _Page()
     page.feed(html or "")
     clean = lambda x: " ".join(x.split())
-    for name, least in METAS:
-        if len(text := clean(page.metas.get(name, ""))) >= least:
+    for key, name, least in METAS:
+        if len(text := clean(page.metas.get((key, name), ""))) >= least:
             return text
-    for k, (*_, least) in enumerate(SECTIONS):
-        if len(text := clean(" ".join(page.found.get(k, [])))) >= least:
+    for selector, least in SECTIONS:
+        if len(text := clean(" ".join(page.found.get(selector, [])))) >= least:
             return text
     return None
 
