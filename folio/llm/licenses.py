@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import held
 
-SHINGLE = 5
+SHINGLE, BROADCAST = 5, 500_000
 
 #: Notices that are looked for: fixed texts of public licenses.
 TEMPLATES = {
@@ -138,8 +138,11 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
     found = own.select("*", held({f"p{k}": places(k) for k in sizes})).where(" or ".join(f"size(p{k}) > 0" for k in sizes))
     found = found.select("uid", "doc_id", F.explode(F.concat(*(windows(*c) for c in classes))).alias("x")).select("uid", "doc_id", "x.*")
     banded = found.select("*", F.posexplode(F.transform(signature(F.col("hashes"), n), lambda b: b["least"])).alias("band", "least"))
-    index = templates.select("license_id", "size", "span", F.col("hashes").alias("template"), F.posexplode(F.transform("signature", lambda b: b["least"])).alias("band", "least"))
-    met = banded.join(index, ["size", "span", "band", "least"]).dropDuplicates(["uid", "size", "span", "window", "license_id"])
+    index = templates.select("license_id", "size", "span", F.posexplode(F.transform("signature", lambda b: b["least"])).alias("band", "least"))
+    # a row of some 50 bytes per template and band; of more than BROADCAST, windows are shuffled to them
+    few = F.broadcast if n * len(rows) <= BROADCAST else (lambda df: df)
+    met = banded.join(few(index), ["size", "span", "band", "least"]).drop("band", "least").dropDuplicates(["uid", "size", "span", "window", "license_id"])
+    met = met.join(templates.select("license_id", F.col("hashes").alias("template")), "license_id")
     share = F.size(F.array_intersect("hashes", "template")) / F.size("template")
     at = F.array_min(F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains("template", h), i)), lambda i: i.isNotNull()))
     matches = met.withColumn("containment", share).where(F.col("containment") >= containment).withColumn("first_word", F.col("window") * F.col("span") + at)
