@@ -188,9 +188,13 @@ def to_audio(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:
-            for batch in small(whole, limit=2_000_000):
+            for batch in small(whole, limit=8_000_000):
                 both = [payload_of(x) for x in batch.column("text").to_pylist()]
-                media = [wav(CODECS[zlib.crc32(p) % len(CODECS)], p) for _, p in both]
+                codecs = [zlib.crc32(p) % len(CODECS) for _, p in both]
+                # files of one codec stand together: they compress better
+                order = sorted(range(len(both)), key=codecs.__getitem__)
+                batch, both = batch.take(pa.array(order, pa.int64())), [both[k] for k in order]
+                media = [wav(CODECS[codecs[k]], p) for k, (_, p) in zip(order, both, strict=True)]
                 pcm = pa.array((x.astype("<i2").tobytes() for x in expand(media)), pa.binary())
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([n for n, _ in both], pa.int64()), "media": pa.array(media, pa.binary()), "rate": pa.array([TO_RATE] * len(media), pa.int32()), "pcm": pcm})
 
@@ -222,4 +226,4 @@ def digests(audio: DataFrame) -> DataFrame:
 
 def op8(docs: DataFrame) -> DataFrame:
     """Store every text's payload as media with its resampled PCM in the shared folder, read both back, and digest what was read."""
-    return digests(materialize(to_audio(docs), "audio", **{"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 8 << 20}))
+    return digests(materialize(to_audio(docs), "audio", **{"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20, "parquet.block.size": 32 << 20, "parquet.enable.dictionary": False}))
