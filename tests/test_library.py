@@ -147,7 +147,7 @@ def work(k, topic="t1", title=None, updated="2024-01-05", names=("a", "b"), **mo
 def test_full_and_incremental_runs(spark, tmp_path):
     store = U.Store(spark, str(tmp_path / "store"))
     make = lambda rows: spark.createDataFrame(rows, WORKS)
-    first = [work(k) for k in range(8)] + [work(0, "t2"), work(9, "t2", title="  "), work(10, "t2", publication_year=None, publication_date=""), work(11, names=("", "a"))]
+    first = [work(k) for k in range(8)] + [work(0, "t2"), work(9, "t2", title="  "), work(10, "t2", publication_year=None, publication_date="n.d."), work(11, names=("", "a"))]
     with pytest.raises(ValueError):
         U.run_incremental(store, make(first), TOPICS, "2024-01-01T00:00:00")
     with pytest.raises(ValueError):
