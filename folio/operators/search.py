@@ -86,34 +86,54 @@ def query_terms(q: str) -> list[str]:
     return list(dict.fromkeys(regex.findall(r"[\p{L}\p{N}]+", q.lower())))
 
 
-def bm25_scores(papers: DataFrame, corpus: DataFrame, q: str) -> DataFrame:
-    """``papers`` that match a term of q in title or abstract, with their BM25 score rounded to 6 places."""
-    terms, fields = query_terms(q), ("title", "abstract")
+FIELDS = ("title", "abstract")
+
+
+def _equals(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
 
-    def equals(term: str) -> Callable[[Column], Column]:
-        return lambda x: x == term
+def with_counts(papers: DataFrame, corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """``papers`` with what BM25 needs: each field's length and how often it has each term, and one row of
+    statistics over ``corpus``. Every text is split into tokens once, for all terms."""
 
     def counted(rows: DataFrame, *keep: str) -> DataFrame:
-        """Length of each field and how often it has each term: every text is split into tokens once."""
-        split = rows.select(*keep, T.held(**{f"__t_{f}": T.tokens(F.col(f)) for f in fields}))
-        counts = {f"__len_{f}": F.size(f"__t_{f}") for f in fields}
-        for f in fields:
-            counts |= {f"__tf_{f}_{k}": F.size(F.filter(f"__t_{f}", equals(t))) for k, t in enumerate(terms)}
+        split = rows.select(*keep, T.held(**{f"__t_{f}": T.tokens(F.col(f)) for f in FIELDS}))
+        counts = {f"__len_{f}": F.size(f"__t_{f}") for f in FIELDS}
+        counts |= {f"__tf_{f}_{k}": F.size(F.filter(f"__t_{f}", _equals(t))) for f in FIELDS for k, t in enumerate(terms)}
         return split.select(*keep, T.held(**counts))
 
     stats = [F.count(F.lit(1)).alias("__n")]
-    for f in fields:
+    for f in FIELDS:
         stats.append(F.avg(f"__len_{f}").alias(f"__avg_{f}"))
         stats += [F.count_if(F.col(f"__tf_{f}_{k}") > 0).alias(f"__df_{f}_{k}") for k in range(len(terms))]
-    total = counted(papers, *papers.columns).join(F.broadcast(counted(corpus).agg(*stats)))
-    score = F.lit(0.0)
-    for f in fields:
-        for k in range(len(terms)):
+    return counted(papers, *papers.columns).join(F.broadcast(counted(corpus).agg(*stats)))
+
+
+def score_of(terms: list[str], chosen: list[str]) -> Column:
+    """BM25 score, rounded to 6 places, for some of the counted terms; null for a paper that has none of them."""
+    score, hit = F.lit(0.0), F.lit(False)
+    for f in FIELDS:
+        for k in (terms.index(t) for t in chosen):
             df, n = F.col(f"__df_{f}_{k}"), F.col(f"__tf_{f}_{k}").cast("double")
             idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
             score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col(f"__len_{f}") / F.col(f"__avg_{f}")))
-    matches = reduce(lambda a, b: a | b, [F.col(f"__tf_{f}_{k}") > 0 for f in fields for k in range(len(terms))], F.lit(False))
-    return total.where(matches).withColumn("score", F.round(score, 6)).drop(*[x for x in total.columns if x.startswith("__")])
+            hit = hit | (n > 0)
+    return F.when(hit, F.round(score, 6))
+
+
+def bm25_many(papers: DataFrame, corpus: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """(columns of ``papers``, qid, score): the papers that match each query, in one pass over the texts."""
+    chosen = {qid: query_terms(q) for qid, q in queries.items()}
+    terms = list(dict.fromkeys(t for own in chosen.values() for t in own))
+    rows = F.array(*(F.struct(F.lit(qid).alias("qid"), score_of(terms, own).alias("score")) for qid, own in chosen.items()))
+    found = with_counts(papers, corpus, terms).select(*papers.columns, F.explode(rows).alias("__x")).select(*papers.columns, "__x.*")
+    return found.where("score is not null")
+
+
+def bm25_scores(papers: DataFrame, corpus: DataFrame, q: str) -> DataFrame:
+    """``papers`` that match a term of q in title or abstract, with their BM25 score rounded to 6 places."""
+    return bm25_many(papers, corpus, {"": q}).drop("qid")
 
 
 def dense(papers: DataFrame, vectors: DataFrame, vector: list[float]) -> DataFrame:
@@ -128,12 +148,20 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def rrf() -> Column:
+    """Reciprocal rank fusion of dense_rank and sparse_rank, rounded to 12 places."""
+    part = lambda c: F.coalesce(1 / (RRF_K + F.col(c)), F.lit(0.0))
+    return F.round(part("dense_rank") + part("sparse_rank"), 12)
+
+
+def fused_order() -> tuple[Column, ...]:
+    return F.desc("rrf"), F.asc_nulls_last("dense_rank"), F.asc("sparse_rank")
+
+
 def fuse(dense_list: DataFrame, sparse_list: DataFrame) -> DataFrame:
     """(id, dense_rank, sparse_rank, rrf, rank) of both lists' union by reciprocal rank fusion; ties keep dense order, then sparse order."""
     both = dense_list.select("id", "dense_rank").join(sparse_list.select("id", "sparse_rank"), "id", "full_outer")
-    part = lambda c: F.coalesce(1 / (RRF_K + F.col(c)), F.lit(0.0))
-    both = both.withColumn("rrf", F.round(part("dense_rank") + part("sparse_rank"), 12))
-    return ranked(both, F.desc("rrf"), F.asc_nulls_last("dense_rank"), F.asc("sparse_rank"))
+    return ranked(both.withColumn("rrf", rrf()), *fused_order())
 
 
 def query_vector(q: str, dim: int) -> list[float]:
