@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 from .tokens import small
 
-WIDE, KEEP = 64, 150_000
+WIDE, KEEP = 64, 400_000
 FREE = np.int64(1) << 62
 
 
