@@ -239,7 +239,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(node, grams) of the texts whose hash ``raw`` is in ``chosen``, each once."""
+    """(node, grams) of the texts whose hash ``raw`` is in ``chosen``, each once.
+
+    Equal texts are merged by each task before they are dealt by their hash, so a large group of them meets nowhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -248,7 +251,7 @@ def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.record_batch({"node": pa.array([n for n, _ in both], pa.int64()), "grams": pa.array([g.view(np.int64) for _, g in both], pa.list_(pa.int64()))})
 
     own = id_and_text(docs)
-    texts = own.select(_row(own).alias("raw"), "text").join(chosen.hint("merge"), "raw", "left_semi").dropDuplicates(["raw"])
+    texts = own.select(_row(own).alias("raw"), "text").dropDuplicates(["raw"]).join(chosen.hint("merge"), "raw", "left_semi")
     return texts.select("text").mapInArrow(run, "node long, grams array<long>")
 
 
@@ -295,8 +298,10 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     a bucket of more than HOT texts that nothing else links, it must share two (missed: 1 in 2,500).
     """
     own = materialize(_signatures(docs), "signatures")
-    roots = own.select("doc_id", "raw", "node").join(_copies(docs, own, distance).hint("merge"), "node", "left").select("doc_id", "raw", F.coalesce("root", "node").alias("root"))
-    least = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("h"))
+    # the least row of each node first: equal texts are merged by each task, before anything is dealt by node
+    firsts = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("h"))
+    roots = firsts.join(_copies(docs, own, distance).hint("merge"), "node", "left").select(F.coalesce("root", "node").alias("root"), "h")
+    least = roots.groupBy("root").agg(F.min("h").alias("h"))
     head = materialize(least.select(F.col("h.doc_id").alias("__id"), F.col("h.raw").alias("__raw")), "heads")
     is_head = lambda rows, other: rows["doc_id"].eqNullSafe(other["__id"]) & (_row(rows) == other["__raw"])
     kept = docs.join(head.hint("merge"), is_head(docs, head), "left_semi")
