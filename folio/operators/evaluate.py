@@ -28,7 +28,7 @@ def runs(c: Corpus, qrels=QRELS, dim: int = 64) -> DataFrame:
     newest = (F.desc("publication_year"), F.desc("id"))
     said = F.explode(F.array_compact(F.array(*(F.when(S.substring_match(q), F.lit(qid)) for qid, q in queries.items())))).alias("qid")
     legacy = best(c.paper.select("id", "title", "publication_year", said), RECALL_K, *newest)
-    scores = S.bm25_many(c.paper, c.paper, queries)
+    scores = S.sparse(c, c.paper, queries)
     ranked = best(scores, RECALL_K, F.desc("score"), *newest)
     sparse = best(scores.select("qid", "id", "score"), S.WINDOW, F.desc("score"), F.asc("id"), name="sparse_rank")
     probes = F.explode(F.array(*(F.struct(F.lit(qid).alias("qid"), F.array(*map(F.lit, S.query_vector(q, dim))).alias("v")) for qid, q in queries.items()))).alias("p")

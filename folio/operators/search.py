@@ -2,8 +2,8 @@
 
 Filters always come before ranking. BM25 needs one row of statistics (documents, average field
 lengths, document frequency of each query term), counted over the unfiltered corpus and broadcast;
-term frequencies are counted inside each row, so scoring shuffles nothing. Top-k lists are at most
-WINDOW rows. Authors are attached to a page only after its ids are ranked and cut.
+term frequencies are counted inside each row, so scoring shuffles nothing. A corpus with a stored index (see ``index``) is
+scored from the postings of the query's terms instead. Top-k lists are at most WINDOW rows. Authors are attached to a page only after its ids are ranked and cut.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def score_of(terms: list[str], chosen: list[str]) -> Column:
         for k in (terms.index(t) for t in chosen):
             df, n = F.col(f"__df_{f}_{k}"), F.col(f"__tf_{f}_{k}").cast("double")
             idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-            score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col(f"__len_{f}") / F.col(f"__avg_{f}")))
+            length = F.coalesce(F.try_divide(F.col(f"__len_{f}"), F.col(f"__avg_{f}")), F.lit(0.0))  # no paper has a token there
+            score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * length))
             hit = hit | (n > 0)
     return F.when(hit, F.round(score, 6))
 
@@ -126,9 +127,18 @@ def bm25_many(papers: DataFrame, corpus: DataFrame, queries: dict[str, str]) ->
     """(columns of ``papers``, qid, score): the papers that match each query, in one pass over the texts."""
     chosen = {qid: query_terms(q) for qid, q in queries.items()}
     terms = list(dict.fromkeys(t for own in chosen.values() for t in own))
+    return scored(with_counts(papers, corpus, terms), papers.columns, terms, chosen)
+
+
+def scored(counted: DataFrame, columns: list[str], terms: list[str], chosen: dict[str, list[str]]) -> DataFrame:
+    """(``columns``, qid, score) of the papers that have a term of each query, from rows with all counts of ``terms``."""
     rows = F.array(*(F.struct(F.lit(qid).alias("qid"), score_of(terms, own).alias("score")) for qid, own in chosen.items()))
-    found = with_counts(papers, corpus, terms).select(*papers.columns, F.explode(rows).alias("__x")).select(*papers.columns, "__x.*")
-    return found.where("score is not null")
+    return counted.select(*columns, F.explode(rows).alias("__x")).select(*columns, "__x.*").where("score is not null")
+
+
+def sparse(c: Corpus, papers: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """``bm25_many`` over the corpus, from its stored index where it has one."""
+    return c.index.bm25_many(papers, queries) if c.index else bm25_many(papers, c.paper, queries)
 
 
 def bm25_scores(papers: DataFrame, corpus: DataFrame, q: str) -> DataFrame:
@@ -174,14 +184,14 @@ def query_vector(q: str, dim: int) -> list[float]:
 def hybrid_list(c: Corpus, r: Request, dim: int = 64, embed: Callable[[str, int], list[float]] = query_vector) -> DataFrame:
     """Fusion of the nearest and the best-scored papers; of the latter alone if the query can't be embedded."""
     papers = filtered(c, r)
-    sparse = bm25_scores(papers, c.paper, r.q or "").select("id", "score").orderBy(F.desc("score"), "id").limit(WINDOW)
+    best = sparse(c, papers, {"": r.q or ""}).select("id", "score").orderBy(F.desc("score"), "id").limit(WINDOW)
     try:
         near = dense(papers, c.paper_embedding, embed(r.q or "", dim))
     except Exception:
         near = papers.sparkSession.createDataFrame([], "id long, sim double")
     return fuse(
         ranked(near, F.desc("sim"), F.asc("id"), name="dense_rank"),
-        ranked(sparse, F.desc("score"), F.asc("id"), name="sparse_rank"),
+        ranked(best, F.desc("score"), F.asc("id"), name="sparse_rank"),
     )
 
 
@@ -192,7 +202,7 @@ def matches(c: Corpus, r: Request) -> DataFrame:
         return c.paper.join(hybrid_list(c, r).select("id", "rank", "rrf"), "id")
     papers = filtered(c, r)
     if r.mode == "ranked":
-        return bm25_scores(papers, c.paper, r.q or "")
+        return sparse(c, papers, {"": r.q or ""}).drop("qid")
     return papers.where(substring_match(r.q)) if r.q else papers
 
 

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from folio.operators.index import Index
+
 
 class Corpus:
-    """Lazy views of one input folder. Every view is a plan; nothing is read before an action."""
+    """Lazy views of one input folder. Every view is a plan; nothing is read before an action.
+
+    ``index``, if set, is a stored search index of ``paper`` that BM25 reads instead of the texts.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, index: Index | None = None):
+        self.spark, self.sf_dir, self.index = spark, sf_dir, index
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import evaluate as E
+from folio.operators import index as X
 from folio.operators import ingest as I
 from folio.operators import runs as U
 from folio.operators import search as S
@@ -119,6 +120,18 @@ query("rrf_fuse", with_views("SELECT * FROM fused", *FUSED))(lambda c: S.hybrid_
 for _page in (1, 2):
     query(f"search_hybrid{'_page2' if _page == 2 else ''}", with_views(f"SELECT p.id, title, publication_year, {AUTHORS} FROM paper p JOIN fused USING (id) WHERE rank BETWEEN {20 * _page - 19} AND {20 * _page}", *FUSED))(lambda c, n=_page: S.page(c, S.Request(q=Q, mode="hybrid", page=n)))
 query("search_hybrid_total", with_views("SELECT count(*) AS total FROM fused", *FUSED))(lambda c: S.total(c, HYBRID))
+
+
+def indexed(c: Corpus) -> Corpus:
+    """The corpus with a search index, which is built here; callers that search often keep it."""
+    return Corpus(c.spark, c.sf_dir, X.build(c.paper, X.new_path(c.spark)))
+
+
+query("search_indexed", SQL["search_ranked"])(lambda c: S.matches(indexed(c), RANKED).orderBy(F.desc("score"), F.desc("publication_year"), F.desc("id")).limit(20).select("id", "publication_year", "score"))
+query("search_indexed_hybrid", SQL["search_hybrid"])(lambda c: S.page(indexed(c), HYBRID))
+query("index_postings", with_views(" UNION ALL ".join(f"SELECT '{f}' AS field, id, w AS term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, unnest({t}) AS w, len({t}) AS n FROM tok) GROUP BY id, w" for f, t in (("title", "t1"), ("abstract", "t2"))), *bm25_ctes(Q)[:1]))(
+    lambda c: indexed(c).index.postings.select(F.element_at(F.array(*map(F.lit, S.FIELDS)), F.col("field") + 1).alias("field"), "id", "term", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"))
+)
 query("similar_papers", with_views("""SELECT id, title, round(sim, 4) AS score FROM (SELECT o.paper_id AS id, round(list_cosine_similarity(o.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS sim
     FROM paper_embedding s JOIN paper_embedding o ON o.paper_id <> s.paper_id WHERE s.paper_id = 7 ORDER BY sim DESC, id LIMIT 5) JOIN paper USING (id) WHERE sim > 0"""))(lambda c: S.similar(c, 7))
 query("cosine_pairs", with_views("SELECT a.paper_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM paper_embedding a JOIN paper_embedding b ON b.paper_id = a.paper_id + 1"))(
@@ -398,6 +411,7 @@ query("eval_relevance", with_views("SELECT * FROM judged", *JUDGED))(_res)
 for _metric in ("mrr", "ndcg", "recall", "win"):
     query({"recall": "eval_pooled_recall", "win": "eval_wins"}.get(_metric, f"eval_{_metric}"), with_views(f"SELECT qid, mode, {_metric} FROM metrics", *METRICS))(lambda c, m=_metric: E.per_query(_res(c)).select("qid", "mode", m))
 query("eval_scorecard", with_views("SELECT mode, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, sum(win)::BIGINT AS wins FROM metrics GROUP BY mode", *METRICS))(lambda c: E.scorecard(E.per_query(_res(c))))
+query("eval_indexed", SQL["eval_scorecard"])(lambda c: E.scorecard(E.per_query(_res(indexed(c)))))
 query("eval_degrade", with_views("SELECT qid, count(DISTINCT coalesce(ids, '')) = 1 AS degraded FROM (SELECT qid, mode FROM asked, modes) LEFT JOIN (SELECT qid, mode, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM runs GROUP BY qid, mode) USING (qid, mode) GROUP BY qid", *METRICS[:-2]))(lambda c: E.degraded(E.runs(c)))
 query("qrels_load", "SELECT * FROM (VALUES ('q1', 'this from', 'this', NULL::INTEGER, NULL), ('q2', 'with', 'with|that', 2020, NULL), ('q3', 'que', 'que|para', NULL, 'Supplier')) AS t(qid, q, relevant, year, author)")(
     lambda c: R.read_qrels(c.spark, f"file://{Path(__file__).with_name('qrels.jsonl')}").select("qid", "q", F.array_join("relevant_substrings", "|").alias("relevant"), "year", "author")
