@@ -226,4 +226,4 @@ def digests(audio: DataFrame) -> DataFrame:
 
 def op8(docs: DataFrame) -> DataFrame:
     """Store every text's payload as media with its resampled PCM in the shared folder, read both back, and digest what was read."""
-    return digests(materialize(to_audio(docs), "audio", **{"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20, "parquet.block.size": 32 << 20, "parquet.enable.dictionary": False}))
+    return digests(materialize(to_audio(docs), "audio", **{"parquet.compression.codec.zstd.level": 12, "parquet.page.size": 4 << 20, "parquet.block.size": 32 << 20, "parquet.enable.dictionary": False}))
