@@ -593,3 +593,24 @@ def test_sketches_rule_out_no_similar_texts(spark):
     kept = {r.k for r in spark.createDataFrame(rows, "k long, a array<long>, b array<long>").where(simhash.alike(F.col("a"), F.col("b"))).collect()}
     assert all(k in kept for k, s in enumerate(share) if s >= 0.8)
     assert sum(k in kept for k, s in enumerate(share) if s < 0.7) < 0.1 * sum(s < 0.7 for s in share) and sum(s < 0.7 for s in share) > 30
+
+
+def test_deduplicated_finds_every_similar_pair_of_a_corpus(spark):
+    """All documents: every pair of five-word Jaccard 0.8 or more, found over all runs, ends in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.range(300).selectExpr("id + 100000", "'the same ten words of a text that many rows have'"))  # a third of the rows or so
+    rows = {r.doc_id: set(simhash._grams(r.text or "")[1].tolist()) for r in docs.collect()}
+    of_run, shared = {}, {}
+    for k, runs in rows.items():
+        for run in runs:
+            of_run.setdefault(run, []).append(k)
+    for same in of_run.values():
+        for i, a in enumerate(same):
+            for b in same[:i]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b), n in shared.items() if 10 * n >= 8 * (len(rows[a]) + len(rows[b]) - n)]
+    own = simhash.materialize(simhash._signatures(docs), "signatures")
+    found = own.select("doc_id", "node").join(simhash._copies(docs, own, simhash.DISTANCE), "node", "left").selectExpr("doc_id", "coalesce(root, node) AS root")
+    root = {r.doc_id: r.root for r in found.collect()}
+    assert len(pairs) > 300 * 299 // 2 and all(root[a] == root[b] for a, b in pairs)
+    assert [r.doc_id for r in simhash.deduplicated(docs).where("doc_id >= 100000").collect()] == [100000]
