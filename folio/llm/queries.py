@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, licenses, packing, quality, sharding, simhash, telephony, token_files, toxicity, url_filter
+from . import byte_bpe, centroids, filter_audit, licenses, packing, quality, sharding, simhash, telephony, token_files, toxicity, url_filter
 from .common import documents
 from .tokens import vocabulary
 
@@ -34,8 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": lambda spark, sf_dir: telephony.op8(documents(spark, sf_dir)),
         "op9_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir), vocabulary(words)),
         "op10_url_filters": lambda spark, sf_dir: url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")),
+        "op11_centroid_clustering": lambda spark, sf_dir: centroids.op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op12_filter_interaction_audit": lambda spark, sf_dir: filter_audit.audit(documents(spark, sf_dir), _labels(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op3_license_scans": licenses.ORACLE, "op10_url_filters": url_filter.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op3_license_scans": licenses.ORACLE, "op10_url_filters": url_filter.ORACLE, "op11_centroid_clustering": centroids.ORACLE, "op12_filter_interaction_audit": filter_audit.ORACLE}
