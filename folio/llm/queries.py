@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, centroids, filter_audit, licenses, packing, quality, sharding, simhash, telephony, token_files, toxicity, url_filter
+from . import byte_bpe, centroids, filter_audit, licenses, packing, quality, sharding, simhash, suffix_tree, telephony, token_files, toxicity, url_filter
 from .common import documents
 from .tokens import vocabulary
 
@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filters": lambda spark, sf_dir: url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op11_centroid_clustering": lambda spark, sf_dir: centroids.op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op12_filter_interaction_audit": lambda spark, sf_dir: filter_audit.audit(documents(spark, sf_dir), _labels(spark, sf_dir)),
+        "op13_lm_scoring": lambda spark, sf_dir: suffix_tree.scores(documents(spark, sf_dir)),
     }
 
 
