@@ -43,6 +43,8 @@ FOLDS, HELD_OUT = 7, 2
 END = "\n"
 #: Constants of the SplitMix64 generator.
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
+#: Bits by which a context's next tokens are told apart: a million of them meet with a chance of 1 in 500.
+NEXT = np.uint64((1 << 48) - 1)
 ASKED = "cell long, chunk long, wide long, heads int, runs int, contexts binary, fan binary, seen binary, next binary, times binary, prior binary"
 ANSWER = "chunk long, depth int, cell long, wide long, counts binary, n long, gain double"
 
@@ -53,11 +55,11 @@ class Rules:
     nats a token; bytes of a chunk's texts; runs of a cell; occurrences from which a context is spread."""
 
     depth: int = 2
-    least: tuple[int, ...] = (8, 16)
+    least: tuple[int, ...] = (10, 24)
     gain: float = 0.01
     chunk: int = 8 << 20
     cell: int = 1 << 19
-    wide: int = 1 << 20
+    wide: int = 1 << 22
 
 
 def pseudo(seen: np.ndarray) -> np.ndarray:
@@ -94,9 +96,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     owner = np.repeat(np.arange(len(lengths)), lengths)[full.to_numpy(zero_copy_only=False)]
     coded = split.flatten().filter(full).dictionary_encode()
     sizes = np.bincount(owner, minlength=len(lengths))
+    # frequent words get small numbers, which take less room
+    number = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(number, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(1, len(order) + 1)
     ids = np.zeros(len(owner) + len(sizes), np.int32)
-    ids[np.arange(len(owner)) + owner] = coded.indices.to_numpy() + 1
-    return ids, sizes + 1, [END, *coded.dictionary.to_pylist()]
+    ids[np.arange(len(owner)) + owner] = rank[number]
+    return ids, sizes + 1, [END, *coded.dictionary.take(pa.array(order)).to_pylist()]
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -133,7 +140,11 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's tokens and what the cells said about them: ``count`` and ``p`` of every token, after ``depth`` rounds."""
+    """A chunk's tokens and what the cells said about them: ``p`` of every token, after ``depth`` rounds.
+
+    Contexts and runs are numbered inside the chunk: a context of one token is a word's number, a longer one the
+    number of the run (a context and its next token) that it is.
+    """
 
     def __init__(self, row: dict, answers: list[dict], cells: int, totals: tuple[int, int], rules: Rules):
         self.rules, self.cells, self.totals = rules, cells, totals
@@ -141,72 +152,82 @@ class Chunk:
         self.ids = unpacked(row["ids"], np.int32, int(self.sizes.sum()))
         self.words = np.frombuffer(row["words"], np.uint64)
         self.learnt = np.repeat(self.trains, self.sizes)
-        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.hashes = self.words[self.ids]
-        # the token before: an end before the first
-        self.before = np.where(self.at > 0, np.roll(self.hashes, 1), self.words[0])
-        self.context = self.before
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.depth = -1
-        said: dict[int, list[dict]] = {}
-        for x in sorted(answers, key=lambda x: (x["depth"], x["cell"])):
-            said.setdefault(x["depth"], []).append(x)
+        said: dict[int, dict[int, dict]] = {}
+        for x in answers:
+            said.setdefault(x["depth"], {})[x["cell"]] = x
         if 0 in said:
             order, cell = self.root()
-            counts = np.empty(len(order), np.int64)
-            counts[order] = self._read(said[0], cell)
-            self.known = counts
-            self.count, self.depth = counts[self.ids], 0
+            self.known = np.empty(len(order), np.int64)
+            self.known[order] = self._read(said[0], cell)
             n, v = totals
-            self.p = (self.count + 1) / (n + v + 1)
-            self.seen = np.where(self.at > 0, np.roll(self.count, 1), counts[0])
+            self.p = (self.known[self.ids] + 1) / (n + v + 1)
+            # the token before, an end before the first
+            self.context = np.roll(self.ids, 1)
+            self.context[self.starts] = 0
+            self.hashes, self.seen, self.depth = self.words, self.known, 0
         for depth in range(1, max(said, default=0) + 1):
-            self._take(depth, said.get(depth, []))
+            self._take(said.get(depth, {}))
 
-    def _read(self, answers: list[dict], cell: np.ndarray) -> np.ndarray:
-        """The cells' numbers in the order asked: ``cell`` of each, ascending."""
-        sizes = np.unique(cell, return_counts=True)[1]
-        told = [unpacked(x["counts"], np.int64, n) + x["node"] for x, n in zip(answers, sizes.tolist(), strict=True)]
+    def _read(self, answers: dict[int, dict], cell: np.ndarray) -> np.ndarray:
+        """The cells' numbers in the order asked: by stretches of equal ``cell``."""
+        told = [unpacked(answers[c]["counts"], np.int64, b - a) + answers[c]["node"] for c, a, b in _slices(cell)]
         return np.concatenate([np.zeros(0, np.int64), *told])
 
+    def _cell(self, hashes: np.ndarray) -> np.ndarray:
+        """Cell of a hash; it ascends with the hash."""
+        return ((hashes >> np.uint64(32)) * np.uint64(self.cells) >> np.uint64(32)).astype(np.int64)
+
     def root(self) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the chunk's words in the order in which they are asked for, their cells)."""
-        cell = (self.words % np.uint64(self.cells)).astype(np.int64)
-        order = np.lexsort((self.words, cell))
-        return order, cell[order]
+        order = np.argsort(self.words)
+        return order, self._cell(self.words[order])
 
     def runs(self) -> dict[str, np.ndarray]:
-        """Distinct (context, next token) of the next depth whose context is seen often enough, in the order asked:
-        ``first`` and ``of``: a token of each and the run of each token of ``rows``; ``cell``, ``wide``."""
-        rows = np.flatnonzero((self.seen >= self.rules.least[self.depth]) & (self.at >= self.depth))
-        key = mixed(self.context[rows], self.hashes[rows])
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        first = rows[first]
-        context, seen, word = self.context[first], self.seen[first], self.hashes[first]
-        cell = (context % np.uint64(self.cells)).astype(np.int64)
-        wide = seen > self.rules.wide
-        part = word[wide] % (-(-seen[wide] // self.rules.wide)).astype(np.uint64)
-        cell[wide] = -1 - (mixed(context[wide], part) >> np.uint64(1)).astype(np.int64)
-        order = np.lexsort((word, context, cell))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return {"rows": rows, "first": first[order], "of": place[of], "cell": cell[order], "wide": wide[order]}
-
-    def _take(self, depth: int, answers: list[dict]) -> None:
+        """Distinct runs of the next depth whose context is seen often enough, in the order asked: ``context``, ``word``,
+        ``cell``, ``wide`` and ``token`` (one of its tokens) of each; ``rows`` and ``of``: tokens and the runs they end."""
+        ready = np.flatnonzero(self.seen >= self.rules.least[self.depth])
+        wide = self.seen[ready] > self.rules.wide
+        sort = lambda some: some[np.argsort(self.hashes[some])]
+        cold, spread = sort(ready[~wide]), sort(ready[wide])
+        parts = -(-self.seen[spread] // self.rules.wide)
+        # places of contexts, and of the parts of wide ones after them
+        owner = np.concatenate([cold, np.repeat(spread, parts)]).astype(np.int64)
+        base = np.full(len(self.seen) + 1, -1, np.int64)
+        base[cold] = np.arange(len(cold))
+        base[spread] = len(cold) + np.cumsum(parts) - parts
+        cell = self._cell(self.hashes[owner])
+        part = np.arange(len(owner) - len(cold)) - (base[owner[len(cold) :]] - len(cold))
+        cell[len(cold) :] = -1 - (mixed(self.hashes[owner[len(cold) :]], part.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        place = base[self.context]
+        rows = np.flatnonzero(place >= 0)
+        place, word = place[rows], self.ids[rows]
+        if len(spread):
+            split = np.ones(len(base), np.uint64)
+            split[spread] = parts
+            place = place + (self.words[word] % split[self.context[rows]]).astype(np.int64)
+        found, of = np.unique(place * len(self.words) + word, return_inverse=True)
+        token = np.empty(len(found), np.int64)
+        token[of] = rows
+        place, word = np.divmod(found, len(self.words))
+        return {"rows": rows, "of": of, "token": token, "context": owner[place], "word": word, "cell": cell[place], "wide": place >= len(cold)}
+
+    def _take(self, answers: dict[int, dict]) -> None:
         asked = self.runs()
         told = self._read(answers, asked["cell"])
         rows, of = asked["rows"], asked["of"]
-        count = np.zeros(len(self.ids), np.int64)
-        count[rows] = told[of] >> 1
-        node = rows[told[of] & 1 == 1]
-        more = pseudo(self.seen[node])
-        self.p[node] = (count[node] + more * self.p[node]) / (self.seen[node] + more)
-        self._deepen(depth, count)
-
-    def _deepen(self, depth: int, count: np.ndarray) -> None:
-        # the next context has one more token in front; its occurrences are those of this run one token earlier
-        self.context = mixed(self.context, np.where(self.at > depth, np.roll(self.hashes, depth + 1), self.words[0]))
-        self.seen = np.where(self.at >= depth, np.roll(count, 1), 0)
-        self.count, self.depth = count, depth
+        count, node = told >> 1, (told & 1 == 1)[of]
+        run, token = of[node], rows[node]
+        seen = self.seen[asked["context"]]
+        more = pseudo(seen)
+        self.p[token] = (count[run] + more[run] * self.p[token]) / (seen[run] + more[run])
+        # a run is the context of the token after it; the last of a text is none
+        context = np.full(len(self.ids), -1, np.int64)
+        context[rows] = of
+        self.context = np.roll(context, 1)
+        self.context[self.starts] = -1
+        self.hashes, self.seen, self.depth = mixed(self.hashes[asked["context"]], self.words[asked["word"]]), count, self.depth + 1
 
 
 # ---- questions and answers ----
@@ -225,7 +246,9 @@ def _arrow(schema: str) -> pa.Schema:
 
 def _slices(cell: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(cell, begin, end) of each stretch of equal cells."""
-    begins = np.flatnonzero(np.r_[True, np.diff(cell) != 0]) if len(cell) else np.zeros(0, np.int64)
+    if not len(cell):
+        return
+    begins = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
     yield from zip(cell[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(cell)], strict=True)
 
 
@@ -239,12 +262,12 @@ def ask(number: int, chunk: Chunk) -> pa.Table:
             out.append(_request(number, c, None, none, none, none, chunk.words[order[a:b]], times[order[a:b]], none))
         return _table(out, _arrow(ASKED))
     x = chunk.runs()
-    times = np.bincount(x["of"][chunk.learnt[x["rows"]]], minlength=len(x["first"]))
-    context, first = chunk.context[x["first"]], x["first"]
+    times = np.bincount(x["of"][chunk.learnt[x["rows"]]], minlength=len(x["token"]))
     for c, a, b in _slices(x["cell"]):
-        begins = a + np.flatnonzero(np.r_[True, np.diff(context[a:b]) != 0])
-        wide = int(context[a].view(np.int64)) if x["wide"][a] else None
-        out.append(_request(number, c, wide, context[begins], np.diff(np.r_[begins, b]), chunk.seen[first[begins]], chunk.hashes[first[a:b]], times[a:b], chunk.p[first[a:b]].astype(np.float32)))
+        begins = a + np.flatnonzero(np.r_[True, np.diff(x["context"][a:b]) != 0])
+        heads = x["context"][begins]
+        wide = int(chunk.hashes[heads[0]].view(np.int64)) if x["wide"][a] else None
+        out.append(_request(number, c, wide, chunk.hashes[heads], np.diff(np.r_[begins, b]), chunk.seen[heads], chunk.words[x["word"][a:b]] & NEXT, times[a:b], chunk.p[x["token"][a:b]].astype(np.float32)))
     return _table(out, _arrow(ASKED))
 
 
@@ -255,26 +278,26 @@ def answered(asked: pa.Table, depth: int, rules: Rules) -> pa.Table:
     read = lambda name, kind, of: np.concatenate([unpacked(r[name], kind, r[of]) for r in rows])
     following, times = read("next", np.uint64, "runs"), read("times", np.int64, "runs")
     ends, cell, wide = np.cumsum([r["runs"] for r in rows])[:-1], rows[0]["cell"], rows[0]["wide"]
-    fan = np.zeros(0, np.int64)
     if depth:
-        fan = read("fan", np.int64, "heads")
-        context = np.repeat(read("contexts", np.uint64, "heads"), fan)
-        following = mixed(context, following)
-    _, first, of = np.unique(following, return_index=True, return_inverse=True)
+        contexts, head = np.unique(read("contexts", np.uint64, "heads"), return_inverse=True)
+        fan, occurs = read("fan", np.int64, "heads"), np.empty(len(contexts), np.int64)
+        occurs[head] = read("seen", np.int64, "heads")
+        head = np.repeat(head, fan)
+        following = mixed(contexts[head], following)
+    found, of = np.unique(following, return_inverse=True)
     n = np.bincount(of, weights=times).astype(np.int64)
-    last: tuple = (None, depth, cell, wide, None, int((n > 0).sum()), None)
+    last: tuple | None = (None, depth, cell, wide, None, int((n > 0).sum()), None)
     told = n
     if depth:
-        seen = np.repeat(read("seen", np.int64, "heads"), fan)[first].astype(np.float64)
-        prior = read("prior", np.float32, "runs")[first].astype(np.float64)
+        own, prior = np.empty(len(found), np.int64), np.empty(len(found))
+        own[of], prior[of] = head, read("prior", np.float32, "runs")
+        seen = occurs[own].astype(np.float64)
         more = pseudo(seen)
         # of each occurrence, the context's distribution without it against its suffix's
-        out = np.log((np.maximum(n - 1, 0) + more * prior) / (seen - 1 + more) / prior)
-        heads, head = np.unique(context[first], return_inverse=True)
-        gain = np.bincount(head, weights=n * out, minlength=len(heads))
-        node = gain >= rules.gain * np.maximum.reduceat(seen[np.argsort(head, kind="stable")], np.r_[0, np.cumsum(np.bincount(head))[:-1]])
-        last = (None, depth, cell, wide, None, int(seen[0]), float(gain[0])) if wide is not None else None
-        told = 2 * n + (node[head] if wide is None else 0)
+        ratio = np.log((np.maximum(n - 1, 0) + more * prior) / (seen - 1 + more) / prior)
+        gain = np.bincount(own, weights=n * ratio, minlength=len(contexts))
+        last = (None, depth, cell, wide, None, int(occurs[0]), float(gain[0])) if wide is not None else None
+        told = 2 * n + ((gain >= rules.gain * occurs)[own] if wide is None else 0)
     out = [(r["chunk"], depth, cell, wide, packed(x), None, None) for r, x in zip(rows, np.split(told[of], ends), strict=True)]
     return _table([*out, last] if last else out, _arrow(ANSWER))
 
@@ -287,12 +310,11 @@ def teller(depth: int, rules: Rules) -> Callable[[pa.Table], pa.Table]:
 
 
 def scored(number: int, chunk: Chunk, doc_ids: pa.Array) -> pa.Table:
-    starts = np.cumsum(chunk.sizes) - chunk.sizes
-    total = lambda x: np.add.reduceat(x, starts)
+    total = lambda x: np.add.reduceat(x, chunk.starts)
     word = chunk.known[chunk.ids]
     n, v = chunk.totals
     base = np.log10((word + 1) / (n + v + 1))
-    return pa.table({"doc_id": doc_ids, "held_out": pa.array(~chunk.trains), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(total((word > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(starts), n, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(chunk.p)))})
+    return pa.table({"doc_id": doc_ids, "held_out": pa.array(~chunk.trains), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(total((word > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(chunk.starts), n, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(chunk.p)))})
 
 
 def scores(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
