@@ -88,17 +88,22 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def gapless(rows: DataFrame, group: str, uid: str, name: str, groups: int) -> DataFrame:
+def gapless(rows: DataFrame, group: str, uid: str, name: str, groups: int | list[int]) -> DataFrame:
     """Number the rows of each group from 0 without gaps in the new column ``name``.
 
-    ``uid`` tells rows apart; ``rows`` is a stored table, so that it stays the same when a task is repeated.
-    A hash of it deals every group over many cells, however many rows or repeated keys the group has.
-    Rows are numbered inside their cell; the cells' counts, at most CELLS + 16 * ``groups`` rows
-    whatever the data's size, give each cell's offset, so no task ever holds a whole group.
+    ``groups`` is their number, or the rows of each where groups are called 0, 1, ... ``uid`` tells rows
+    apart; ``rows`` is a stored table, so that it stays the same when a task is repeated. A hash of it deals
+    every group over many cells, as many as its share of all rows asks for where that is known, however many
+    repeated keys it has. Rows are numbered inside their cell; the cells' counts, at most CELLS + 16 rows a
+    group whatever the data's size, give each cell's offset, so no task ever holds a whole group.
     """
-    cells = max(16, CELLS // max(1, groups))
+    if isinstance(groups, list):
+        each = [16 + CELLS * n // max(1, sum(groups)) for n in groups]
+        cells = F.get(F.array(*map(F.lit, each)), F.col(group))
+    else:
+        cells = F.lit(max(16, CELLS // max(1, groups)))
     cell = [group, "__cell"]
-    local = rows.withColumn("__cell", F.pmod(F.xxhash64(uid), F.lit(cells)).cast("int"))
+    local = rows.withColumn("__cell", F.pmod(F.xxhash64(uid), cells).cast("int"))
     counts = local.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -1,7 +1,7 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
 A document's ids are cut into full sequences and one rest of 1 to ``length`` - 1 ids. The rests'
-histogram over ``CLASSES`` length classes (rounded up) is a cutting-stock problem: a linear
+histogram over at most ``CLASSES`` length classes (rounded up) is a cutting-stock problem: a linear
 program over patterns (how many rests of each class share a sequence), whose columns a knapsack
 dynamic program prices from the dual values. The rounded solution is laid over the rests ranked
 inside their class: every rank maps to a pattern, a sequence and a place by arithmetic.
@@ -192,19 +192,16 @@ def pack(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH) -> Data
     """One row per piece with its sequence_id and offset; sequences hold at most ``length`` ids."""
     cut = materialize(pieces(docs, path, end, length), "pieces")
     size = F.col("length")
-    # class 0 holds full pieces, class c rests of up to c * grain ids
-    grain = max((g for g in range(1, length // CLASSES + 1) if length % g == 0), default=1)
-    cut = cut.withColumn("class", F.when(size == length, 0).otherwise(F.ceil(size / grain)).cast("int"))
-    top = -(-length // grain)
-    demand = np.zeros(top, np.int64)
-    full = 0
+    # class 0 holds full pieces, class c rests of up to c * grain ids, and a sequence has room for length // grain
+    # grains; longer rests than that, short of the length by less than a grain, fill a sequence each like full pieces
+    grain = -(-length // CLASSES)
+    top = length // grain
+    cut = cut.withColumn("class", F.when((size == length) | (F.ceil(size / grain) > top), 0).otherwise(F.ceil(size / grain)).cast("int"))
+    counts = np.zeros(top + 1, np.int64)
     for c, n in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():  # at most top + 1 rows
-        if c:
-            demand[c - 1] = n
-        else:
-            full = n
-    table, packed = layout(patterns(demand, length // grain))
-    ranked = gapless(cut, "class", "uid", "rank", top + 1)
+        counts[c] = n
+    table, packed = layout(patterns(counts[1:], length // grain))
+    ranked = gapless(cut, "class", "uid", "rank", counts.tolist())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.searchsorted(table[:, 0], np.arange(top + 1))

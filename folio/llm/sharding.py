@@ -4,17 +4,21 @@ No ring table is kept; when shards are appended, a key stays or moves into a new
 the necessary fraction moves. The dealt rows (keys, sizes and checksums, no texts) are stored once
 before their slots are numbered.
 
-Cases: a null key hashes as -1. Rows that repeat a key go to the same shard and get slots of their
-own, dealt over many tasks. Null text counts as empty: size 1, checksum 0. Other columns of any name
+Cases: a null key hashes as -1; an integer key of any width is itself, any other key its xxhash64, so a key's
+shard depends on nothing else in its table. Rows that repeat a key go to the same shard and get slots of their
+own, dealt over many tasks. Null text counts as empty: size 1, checksum 0. Very long texts count whole. Other columns of any name
 are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .common import gapless, materialize
 
@@ -36,16 +40,24 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
+def key_of(docs: DataFrame, key: str) -> Column:
+    """What a key is dealt by: a long without nulls."""
+    whole = isinstance(docs.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType))
+    return F.coalesce(F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.lit(-1).cast("long"))
+
+
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; slots number each shard's rows from 0 without gaps."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["doc_id", "size", "text_crc32", "uid"]
 
-    @F.pandas_udf("struct<shard int, grown_shard int>")
-    def dealt(keys: pd.Series) -> pd.DataFrame:
-        k = keys.fillna(-1).to_numpy().astype(np.int64)
-        return pd.DataFrame({"shard": jump(k, shards).astype(np.int32), "grown_shard": jump(k, shards + 1).astype(np.int32)})
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("k").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(jump(k, shards), pa.int32()), pa.array(jump(k, shards + 1), pa.int32())], [*names, "shard", "grown_shard"])
 
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
-    stored = materialize(rows.withColumn("to", dealt(F.col("doc_id").cast("long"))), "dealt")
-    placed = gapless(stored.select("doc_id", "size", "text_crc32", "uid", "to.shard", "to.grown_shard"), "shard", "uid", "slot", shards)
+    rows = docs.select(F.col(key).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"), key_of(docs, key).alias("k"))
+    stored = materialize(rows.mapInArrow(dealt, f"doc_id {kind}, size long, text_crc32 long, uid long, shard int, grown_shard int"), "dealt")
+    placed = gapless(stored, "shard", "uid", "slot", shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

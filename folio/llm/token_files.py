@@ -7,7 +7,8 @@ highest bit first) and ``checkpoints`` (bit offset of every STEP-th id). Codes a
 ordered by (length, id), so lengths alone give them.
 
 Cases: null text is an empty text (only the end id). Null doc_ids sort first. Rows that repeat a
-doc_id are kept, ordered by text. An empty table gives an empty folder and an empty result.
+doc_id are kept, ordered by text. A very long text is one block, whose codes may take up to 2 to the 31 bits
+(some 150 million ids); beyond that writing fails. Other columns of any name are not read. An empty table gives an empty folder and an empty result.
 """
 
 from __future__ import annotations
@@ -85,6 +86,7 @@ class Codes:
         out = np.zeros(size, np.int64)
         for lane in range(4):
             out += np.bincount(first + lane, weights=word >> (24 - 8 * lane) & 255, minlength=size)[:size].astype(np.int64)
+        assert size < 1 << 28, "a document of more than 2 ** 31 bits of codes"
         return out[: size - 4 if size else 0].astype(np.uint8).tobytes(), begins[::STEP].astype(np.int32)
 
     def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
@@ -153,16 +155,17 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> None:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, part, start = Codes(*shared.value), None, 0
+        codes, part, start, id_type = Codes(*shared.value), None, 0, pa.int64()
         held: list[tuple[pa.Scalar, np.ndarray]] = []
         size = 0
 
         def block() -> pa.RecordBatch:
             payload, checkpoints = codes.encode(np.concatenate([x for _, x in held]))
-            row = {"part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()), "doc_ids": pa.array([[d for d, _ in held]]), "lengths": pa.array([[len(x) for _, x in held]], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary()), "checkpoints": pa.array([checkpoints.tolist()], pa.list_(pa.int32()))}
+            row = {"part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()), "doc_ids": pa.array([[d for d, _ in held]], pa.list_(id_type)), "lengths": pa.array([[len(x) for _, x in held]], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary()), "checkpoints": pa.array([checkpoints.tolist()], pa.list_(pa.int32()))}
             return pa.record_batch(row)
 
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             for p, at, doc_id, raw in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 # a task may begin inside a part and go on at any other place
                 if held and (p != part or at != start + size or size >= BLOCK):

@@ -106,7 +106,9 @@ class Model:
             try:
                 score = known[word]
             except KeyError:
-                score = known[word] = self.word_score(word)
+                score = self.word_score(word)
+                if len(word) <= LONGEST:
+                    known[word] = score
             if score is not None:
                 hits.append((k, score))
         return segments(hits, self.other), len(words)
@@ -123,6 +125,10 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * evidence + self.shift))))
 
 
+#: Longer words are scored each time they come, so that a worker's memory is bounded in bytes.
+LONGEST = 64
+
+
 def _bounded(known: dict) -> dict:
     return {} if len(known) > 200_000 else known
 

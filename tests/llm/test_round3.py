@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import centroids, filter_audit, suffix_tree
+from folio.llm import centroids, filter_audit, packing, sharding, suffix_tree, token_files, url_filter
+from folio.llm.tokens import vocabulary
 
 RNG = np.random.default_rng(5)
 
@@ -189,7 +190,7 @@ def tree_scores(rows, rules):
         base = sum(math.log10((single[w] + 1) / (n + v + 1)) for w in ws)
         score = sum(math.log10(p(tuple(path[max(0, k - rules.depth) : k]), path[k])) for k in range(1, len(path)))
         out.append((i, not train, len(ws), sum(w in single for w in ws), n, round(base, 5), round(score, 5)))
-    return sorted(out, key=str), nodes
+    return sorted(out, key=str), nodes, p
 
 
 def texts(n):
@@ -213,7 +214,7 @@ def test_suffix_tree(spark, rules):
     rows = [*texts(150), *ODD]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"chunk": F.lit("c"), "cell": F.lit(1), "trains": F.lit(None)}).repartition(3)
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in suffix_tree.scores(df, rules).collect()), key=str)
-    want, nodes = tree_scores(rows, rules)
+    want, nodes, _ = tree_scores(rows, rules)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-6)
     assert {len(c) for c in nodes} == set(range(1, rules.depth + 1))
@@ -227,22 +228,96 @@ def test_suffix_tree_of_nothing(spark):
     assert row.asDict() == {"doc_id": row.doc_id, "held_out": True, "n_tokens": 4, "n_known": 0, "train_tokens": 0, "base_score": 0.0, "score": 0.0}
 
 
-def test_distributions_sum_to_one(spark):
-    """The state's distribution over all known words and one unseen one."""
+def test_distributions_sum_to_one():
+    """Every node's distribution over the known words and one unseen one, in the definition that the operator equals."""
     rows = texts(60)
-    want, nodes = tree_scores(rows, RULES)
-    assert nodes
-    trained = " ".join(t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2).lower().split()
-    known = sorted(set(trained))
-    # one text a word: what follows "w1 <word>" differs from "w1" only by the last factors
-    held = [k for k in range(1000, 9000) if zlib.crc32(str(k).encode()) % 7 == 2]
-    probes = [(held[0], "w1"), *((held[k + 1], f"w1 {w}") for k, w in enumerate([*known, "neverseen"]))]
-    out = {r.doc_id: r.score for r in suffix_tree.scores(spark.createDataFrame(rows + probes, "doc_id long, text string"), RULES).collect()}
-    model, _ = tree_scores(rows + probes, RULES)
-    assert np.allclose([out[i] for i, *_ in model if i in out], [s for i, *_, s in model if i in out], rtol=1e-6)
+    _, nodes, p = tree_scores(rows, RULES)
+    known = {w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.lower().split(), "\n"]}
+    assert nodes and all(abs(sum(p(c, w) for w in [*known, "never seen"]) - 1) < 1e-9 for c in [(), *nodes])
 
 
 def test_model_beats_single_words_on_held_out_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one = suffix_tree.scores(d).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
     assert one[0] > one[1] + 0.1 * one[2]
+
+
+# ---- keys, ids, lengths and expressions of any kind ----
+def test_a_key_has_one_shard_whatever_stands_beside_it(spark):
+    big = [1152921504606846977, (1 << 63) - 1, -(1 << 63), (1 << 53) + 1, None, 7]
+    out = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard(spark.createDataFrame([(k, "t") for k in big], "doc_id long, text string").coalesce(1)).collect()}
+    for k in big:
+        alone = [int(sharding.jump(np.array([-1 if k is None else k], np.int64), n)[0]) for n in (16, 17)]
+        assert out[k] == tuple(alone)
+    kinds = {"string": ["a", "7", "", None], "int": [1, None, 7], "double": [0.5, None], "date": [None]}
+    for kind, keys in kinds.items():
+        rows = sharding.shard(spark.createDataFrame([(k, "t") for k in keys] * 2, f"doc_id {kind}, text string")).collect()
+        by = defaultdict(set)
+        for r in rows:
+            by[r.doc_id].add((r.shard, r.grown_shard))
+        assert len(rows) == 2 * len(keys) and all(len(x) == 1 for x in by.values()) and all(g in (s, 16) for x in by.values() for s, g in x)
+        if kind == "int":
+            assert by[7] == {out[7]}
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "bigint", "smallint"])
+def test_token_files_of_ids_of_any_type(spark, kind):
+    ids = [None, 3, 1, 2, 2] if kind != "string" else [None, "c", "a", "b", "b"]
+    rows = [(i, f"some text number {k}") for k, i in enumerate(ids)]
+    out = token_files.op5(spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("part", F.lit(1)), vocabulary("word_bpe_49k.json"))
+    assert out.schema["doc_id"].dataType.simpleString() == kind
+    got = sorted(out.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda x: (x is not None, x or 0 if kind != "string" else x or ""))
+    assert [r.start for r in got] == list(np.cumsum([0, *(r.n_tokens for r in got[:-1])]))
+
+
+@pytest.mark.parametrize("length", [1, 7, 257, 1009, 2039, 4099])
+def test_sequences_of_any_length(spark, length):
+    import time
+
+    rows = [(k, " ".join(["word"] * int(n))) for k, n in enumerate(RNG.integers(0, 3 * min(length, 900), 150))]
+    began = time.time()
+    packing.patterns(RNG.integers(0, 500, length // -(-length // packing.CLASSES)), length // -(-length // packing.CLASSES))
+    assert time.time() - began < 10
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), length=length).collect()
+    sequences, docs = defaultdict(list), defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        docs[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    for own in sequences.values():
+        own.sort()
+        assert [a for a, _ in own] == list(np.cumsum([0, *(n for _, n in own[:-1])])) and sum(n for _, n in own) <= length
+    for own in docs.values():
+        own.sort()
+        assert [a for a, *_ in own] == list(np.cumsum([0, *(n for _, n, _ in own[:-1])])) and sum(n for _, n, _ in own) == own[0][2]
+    assert sorted(sequences) == list(range(len(sequences))) and len(docs) == len(rows)
+
+
+def expression(depth=0):
+    """A random regular expression over few characters."""
+    pick = lambda *x: x[int(RNG.integers(len(x)))]
+    one = lambda: pick("a", "b", "foo", "\\/", "/", "\\.", ".", "-", "[ab]", "[\\]ab]", "[^/]", "{", "a{1,2}", "b?", "/+", "x*", "\\d", "\\b", "^", "$", "(?=a)", "\\]", "[]a]")
+    parts = [f"({pick('', '?:')}{expression(depth + 1)})" + pick("", "?", "*") if depth < 2 and RNG.random() < 0.15 else one() for _ in range(int(RNG.integers(1, 7)))]
+    return "".join(parts) + (f"|{one()}" if RNG.random() < 0.1 else "")
+
+
+def test_indexed_expressions_fit_what_all_expressions_fit():
+    rules = []
+    while len(rules) < 400:
+        try:
+            rules.append(url_filter.list_rule(f"/{pick}/" if (pick := expression()) else "/a/"))
+        except re.error:
+            continue
+    rules.append(url_filter.list_rule("/(?i)\\/FOO\\//"))
+    assert sum(bool(r.tokens) for r in rules) > 60
+    urls = ["".join(RNG.choice(["a", "b", "foo", "/", ".", "-", "{", "]", "x", "1"], int(RNG.integers(1, 12)))) for _ in range(400)] + ["/bfoo/", "a{b/", "/foo/"]
+    index = url_filter.Index(rules, {"foo": 50, "a": 9})
+    for url in urls:
+        text = f"//h.x/{url}"
+        assert {id(r) for r in index.candidates(text) if r.search(text)} == {id(r) for r in rules if r.search(text)}
+
+
+def test_broken_expressions_are_refused_with_their_line():
+    assert url_filter.parse(["/[\\]ab]foo\\//", "/a{b\\//"])[0].search("//h.x/bfoo/")
+    with pytest.raises(ValueError, match="line 3"):
+        url_filter.parse(["! remark", "||a.b^", "/a(b/"])
