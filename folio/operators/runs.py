@@ -1,13 +1,13 @@
-"""Ingest runs over a stored corpus: versioned snapshots, full and incremental runs, watermarks, recovery.
+"""Ingest runs over a stored corpus (see ``store``): full and incremental runs, watermarks, recovery.
 
-``Store`` keeps tables as Parquet folders of a version; a manifest, written last and renamed into place,
-names the folder of every table, so a run becomes visible whole or not at all. ``apply`` is the pure part:
-it turns a corpus and fetched works into new tables and a report without writing anything.
+``changes`` is the pure part: it turns a corpus and fetched works into the rows that change and a report,
+without writing anything; ``apply`` gives the whole tables after that. A run stores what it fetched
+before it uses it, so that its report and all its tables come from the same answers, and reads only the
+buckets of a stored table that these works fall into.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,60 +16,11 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import ingest as I
+from folio.operators.store import SCHEMAS, Attempt, Store
 
 Tables = dict[str, DataFrame]
 Topics = list[tuple[str, str, str]]
 PER_TOPIC, PER_DELTA = 250, 200
-SCHEMAS = {
-    "paper": "id long, openalex_id string, title string, abstract string, publication_year int, doi string, cited_by_count long, abstract_source string, abstract_recovered_at string",
-    "author": "openalex_id string, name string",
-    "topic": "slug string, openalex_id string, name string",
-    "paper_author": "openalex_id string, author_id string",
-    "paper_topic": "openalex_id string, slug string",
-    "paper_embedding": "paper_id long, embedding array<double>",
-    "ingest_state": "topic string, last_full_ingest_at string, last_incremental_at string",
-    "ingest_dlq": "run_type string, topic string, openalex_id string, doi string, title string, reason string, error_detail string, attempts int, status string",
-}
-
-
-class Store:
-    """Versioned tables below ``folder``, which driver and executors share."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def versions(self) -> list[int]:
-        at = self._path(f"{self.folder}/manifests")
-        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return sorted(int(x.split(".")[0]) for x in names if x.endswith(".json") and not x.startswith("."))
-
-    def manifest(self) -> dict[str, str]:
-        """Folder of each table in the newest version."""
-        if not (found := self.versions()):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/manifests/{found[-1]:09d}.json").collect()))
-
-    def tables(self) -> Tables:
-        known = self.manifest()
-        return {k: self.spark.read.schema(v).parquet(known[k]) if k in known else self.spark.createDataFrame([], v) for k, v in SCHEMAS.items()}
-
-    def publish(self, changed: Tables) -> int:
-        """Write the changed tables as a new version; it becomes visible with its manifest. Returns its number."""
-        version = (self.versions() or [0])[-1] + 1
-        known = self.manifest()
-        for name, rows in changed.items():
-            known[name] = f"{self.folder}/v{version:09d}/{name}"
-            rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("overwrite").parquet(known[name])
-        hidden, final = (self._path(f"{self.folder}/manifests/{x}{version:09d}.json") for x in (".", ""))
-        out = self._fs.create(hidden, True)
-        out.write(bytearray(json.dumps(known).encode()))
-        out.close()
-        if not self._fs.rename(hidden, final):
-            raise RuntimeError(f"version {version} was published by another run")
-        return version
-
 
 def numbered(rows: DataFrame, key: str, name: str, first: int, cells: int = 1024) -> DataFrame:
     """Gapless numbers from ``first`` by (hash cell of the key, key): no task ever sorts all rows."""
@@ -178,15 +129,17 @@ def with_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # ---- runs ----
-def apply(t: Tables, works: DataFrame, topics: Topics, run_type: str, url_status: DataFrame | None = None) -> tuple[Tables, DataFrame, DataFrame]:
-    """(changed tables, touched papers, report counters: one row) of fetched works (topic, ord, ...) over the tables ``t``.
+def changes(t: Tables, works: DataFrame, topics: Topics, run_type: str, url_status: DataFrame | None = None, last: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[Tables, DataFrame, DataFrame]:
+    """(rows to add, or for papers to put in place of others by openalex_id; touched papers; report counters: one
+    row) of fetched works (topic, ord, ...) over the tables ``t``, which must hold all papers, authors, topics and links
+    that the works name. ``last`` is the greatest paper id, by default that of ``t``; ``keep`` stores what several rows are made of.
 
     Stored authors, topics and links stay; of an author's names the first counts.
     """
     spark = works.sparkSession
     key = F.nullif(F.element_at(F.split("id", "/"), -1), F.lit(""))
     letter = lambda rows, reason, detail: rows.select(F.lit(run_type).alias("run_type"), "topic", "openalex_id", "doi", "title", F.lit(reason).alias("reason"), detail.alias("error_detail"), F.lit(1).alias("attempts"), F.lit("pending").alias("status"))
-    letters, checks = t["ingest_dlq"], [F.lit(0).cast("long").alias(x) for x in ("dois_checked", "dois_replaced", "dois_dropped")]
+    letters, checks = spark.createDataFrame([], SCHEMAS["ingest_dlq"]), [F.lit(0).cast("long").alias(x) for x in ("dois_checked", "dois_replaced", "dois_dropped")]
     stats = spark.range(1).select(*checks)
     if url_status is not None:
         resolved = I.resolved(works, url_status)
@@ -195,84 +148,125 @@ def apply(t: Tables, works: DataFrame, topics: Topics, run_type: str, url_status
         works = I.verified(works, url_status)
     refused = I.normalized(works).where("skip is not null")
     letters = letters.unionByName(letter(refused, "normalize_skip", F.col("skip")))
-    fetched = I.deduplicated(works)
+    fetched = keep(I.deduplicated(works))
     old = t["paper"]
     fields = ("title", "abstract", "publication_year", "doi", "cited_by_count")
     has = old.select("openalex_id", "id", "abstract_source", "abstract_recovered_at", F.col("title").alias("__t"), F.col("abstract").alias("__a"))
     both = fetched.select("openalex_id", *fields).join(has, "openalex_id", "left")
     same = F.col("id").isNotNull() & F.col("title").eqNullSafe(F.col("__t")) & F.col("abstract").eqNullSafe(F.col("__a"))
     both = both.withColumn("touched", ~same).drop("__t", "__a")
-    last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).head()["m"]
+    last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).head()["m"] if last is None else last
     new = numbered(both.where("id is null").drop("id"), "openalex_id", "id", last + 1)
     written = both.where("id is not null").unionByName(new)
-    columns = old.columns
-    papers = old.join(fetched.select("openalex_id"), "openalex_id", "left_anti").select(*columns).unionByName(written.select(*columns))
     by = fetched.select("openalex_id", F.posexplode("authors").alias("at", "a")).select(F.col("openalex_id").alias("paper"), "at", "a.*").where("openalex_id <> ''")
     named = by.select("openalex_id", F.struct("paper", "at").alias("place"), "name")
     links = I.missing(by.select(F.col("paper").alias("openalex_id"), F.col("openalex_id").alias("author_id")), t["paper_author"], "openalex_id", "author_id")
     slugs = I.missing(fetched.select("openalex_id", F.explode(F.split("topics", r"\|")).alias("slug")), t["paper_topic"], "openalex_id", "slug")
     own = spark.createDataFrame(topics, "slug string, openalex_id string, name string")
-    changed = {
-        "paper": papers, "author": t["author"].unionByName(I.missing(named, t["author"], "openalex_id", first="place").select("openalex_id", "name")),
-        "topic": t["topic"].unionByName(I.missing(own, t["topic"], "slug").select("slug", "openalex_id", "name")),
-        "paper_author": t["paper_author"].unionByName(links), "paper_topic": t["paper_topic"].unionByName(slugs), "ingest_dlq": letters,
+    new_rows = {
+        "paper": written.select(*old.columns), "author": I.missing(named, t["author"], "openalex_id", first="place").select("openalex_id", "name"),
+        "topic": I.missing(own, t["topic"], "slug").select("slug", "openalex_id", "name"), "paper_author": links, "paper_topic": slugs, "ingest_dlq": letters,
     }
-    counts = both.agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("id").isNull()).alias("papers_new"), F.count_if(F.col("id").isNotNull()).alias("papers_updated"), F.count_if("touched").alias("touched"))
+    counts = both.agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("id").isNull()).alias("papers_new"), F.count_if(F.col("id").isNotNull()).alias("papers_updated"), F.count_if("touched").alias("touched"), F.count_if(F.col("abstract").isNull()).alias("abstracts_missing"))
     more = [by.agg(F.countDistinct("openalex_id").alias("authors")), links.union(slugs).agg(F.count(F.lit(1)).alias("relations")), stats]
     for one in more:  # one row each
         counts = counts.crossJoin(F.broadcast(one))
-    return changed, written.where("touched").select("id", "openalex_id", "title", "abstract"), counts
+    return new_rows, written.where("touched").select("id", "openalex_id", "title", "abstract"), counts
 
 
-def recover_abstracts(papers: DataFrame, found: Callable[[DataFrame], DataFrame], now: str, limit: int | None = I.RECOVERY_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(papers, recovered papers): the first ``limit`` papers with a doi and no abstract get what ``found`` (id, abstract, abstract_source) has."""
-    due = papers.where("abstract is null and doi is not null").orderBy("id")
-    got = found(due.limit(limit) if limit is not None else due).select("id", F.col("abstract").alias("__a"), F.col("abstract_source").alias("__s"))
-    out = papers.join(got, "id", "left")
-    hit = F.col("__a").isNotNull()
-    pick = lambda new, old: F.when(hit, new).otherwise(F.col(old)).alias(old)
-    named = {"abstract": F.col("__a"), "abstract_source": F.col("__s"), "abstract_recovered_at": F.lit(now)}
-    after = out.select(*(pick(named[c], c) if c in named else F.col(c) for c in papers.columns), hit.alias("__hit"))
-    return after.drop("__hit"), after.where("__hit").drop("__hit")
+def apply(t: Tables, works: DataFrame, topics: Topics, run_type: str, url_status: DataFrame | None = None) -> tuple[Tables, DataFrame, DataFrame]:
+    """As ``changes``, but with the whole tables."""
+    new, touched, counts = changes(t, works, topics, run_type, url_status)
+    whole = {k: t[k].unionByName(v) for k, v in new.items() if k != "paper"}
+    whole["paper"] = t["paper"].join(new["paper"].select("openalex_id"), "openalex_id", "left_anti").select(*t["paper"].columns).unionByName(new["paper"])
+    return whole, touched, counts
 
 
-def _finish(store: Store, t: Tables, changed: Tables, touched: DataFrame, report: dict, state: DataFrame, now: str, provider, found) -> Row:
-    if provider is not None:
-        vectors = embedded(touched, provider)
-        changed["paper_embedding"] = with_vectors(t["paper_embedding"], vectors)
-        report["embedded"] = report.get("touched", 0)
-        if found is not None:
-            changed["paper"], recovered = recover_abstracts(changed.get("paper", t["paper"]), found, now)
-            changed["paper_embedding"] = with_vectors(changed["paper_embedding"], embedded(recovered, provider))
+def recoverable(papers: DataFrame, limit: int | None = I.RECOVERY_LIMIT) -> DataFrame:
+    """The first ``limit`` papers with a doi and no abstract."""
+    due = papers.where("abstract is null and doi is not null").orderBy("id")
+    return due.limit(limit) if limit is not None else due
+
+
+def with_abstracts(papers: DataFrame, got: DataFrame, now: str) -> DataFrame:
+    """``papers`` with the abstracts that ``got`` (id, abstract, abstract_source) has for some of them."""
+    new = got.where("abstract is not null").groupBy("id").agg(F.min(F.struct("abstract", "abstract_source")).alias("__new"))
+    hit = F.col("__new").isNotNull()
+    named = {"abstract": F.col("__new.abstract"), "abstract_source": F.col("__new.abstract_source"), "abstract_recovered_at": F.lit(now)}
+    return papers.join(new, "id", "left").select(*(F.when(hit, named[c]).otherwise(F.col(c)).alias(c) if c in named else F.col(c) for c in papers.columns))
+
+
+def recover_abstracts(papers: DataFrame, found: Callable[[DataFrame], DataFrame], now: str, limit: int | None = I.RECOVERY_LIMIT, keep: Callable[[DataFrame], DataFrame] = lambda got: got) -> tuple[DataFrame, DataFrame]:
+    """(papers, recovered papers): the first ``limit`` papers with a doi and no abstract get what ``found`` has;
+    ``keep`` stores its answers, without which every use of the result asks again."""
+    got = keep(found(recoverable(papers, limit)))
+    after = with_abstracts(papers, got, now)
+    return after, after.join(got.where("abstract is not null").select("id").distinct(), "id", "left_semi")
+
+
+def _run(store: Store, attempt: Attempt, works: DataFrame, topics: Topics, run_type: str, state: DataFrame, url_status: DataFrame | None, provider, found, now: str, bounds: tuple[int, int] | None) -> Row:
+    """Ingest fetched works over the attempt's version and publish it."""
+    works = attempt.keep(works, "works")
+    url_status = attempt.keep(url_status, "url_status") if url_status is not None else None
+    ids = I.normalized(works).select("openalex_id", "authors")
+    spots, writers = attempt.buckets_of(ids.select("openalex_id")), attempt.buckets_of(ids.select(F.explode("authors.openalex_id").alias("openalex_id")))
+    t = {name: attempt.read(name, writers if name == "author" else None if name == "topic" else spots) for name in ("paper", "author", "topic", "paper_author", "paper_topic")}
+    new, touched, counts = changes(t, works, topics, run_type, url_status, attempt.facts.get("last_id", 0), lambda rows: attempt.keep(rows, "papers"))
+    new["paper"] = attempt.keep(new["paper"], "paper")
+    report = counts.head().asDict()
+    if bounds is not None:
+        I.guard(report["papers"], *bounds)
+    fetched = {r["topic"]: r["n"] for r in works.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a topic
+    report["fetched"] = {slug: fetched.get(slug, 0) for slug, *_ in topics}
+    changed = touched.select("id")
+    if found is not None:
+        report["recovered"] = 0
+        try:
+            now_stored = attempt.read("paper").join(new["paper"].select("openalex_id"), "openalex_id", "left_anti").select(*new["paper"].columns).unionByName(new["paper"])
+            got = attempt.keep(found(recoverable(now_stored)), "recovered")
+            recovered = attempt.keep(with_abstracts(now_stored.join(got.select("id"), "id", "left_semi"), got, now).select(*new["paper"].columns), "paper")
             report["recovered"] = recovered.count()
-    store.publish(changed | {"ingest_state": state})
-    return Row(**report, papers_in_db=store.tables()["paper"].count())
+            new["paper"] = new["paper"].join(recovered.select("openalex_id"), "openalex_id", "left_anti").select(*recovered.columns).unionByName(recovered)
+            changed = changed.union(recovered.select("id")).distinct()
+        except Exception as error:  # a source that fails costs the run its abstracts only
+            report["recovery_failed"] = f"{type(error).__name__}: {error}"[:500]
+    if provider is not None:
+        report["embedded"] = report["touched"]
+        new["paper_embedding"] = embedded(new["paper"].join(changed, "id", "left_semi"), provider)
+    facts = {"last_id": attempt.facts.get("last_id", 0) + report["papers_new"], "papers": attempt.facts.get("papers", 0) + report["papers_new"]}
+    attempt.publish(new | {"ingest_state": state}, facts)
+    return Row(**report, papers_in_db=facts["papers"])
 
 
 def run_full(store: Store, works: DataFrame, topics: Topics, now: str, *, only_if_empty: bool = False, url_status: DataFrame | None = None, provider=None, found=None, least: int = I.CORPUS_MIN, most: int = I.CORPUS_MAX, per_topic: int | None = PER_TOPIC) -> Row:
     """Ingest the topics' works from upstream records and publish one version, or nothing if the corpus has no plausible size."""
-    t = store.tables()
-    if only_if_empty and (n := t["paper"].count()):
+    attempt = store.begin()
+    if only_if_empty and (n := attempt.facts.get("papers", 0)):
         return Row(papers=0, papers_in_db=n)
-    names = store.spark.createDataFrame(topics, "topic string, openalex_id string, name string").select("topic")
-    changed, touched, counts = apply(t, fetch_full(works.join(F.broadcast(names), "topic", "left_semi"), per_topic), topics, "full", url_status)
-    report = counts.head().asDict()
-    I.guard(report["papers"], least, most)
-    return _finish(store, t, changed, touched, report, seed_watermarks(t["ingest_state"], names, now), now, provider, found)
+    try:
+        names = store.spark.createDataFrame(topics, "topic string, openalex_id string, name string").select("topic")
+        own = attempt.keep(works.join(F.broadcast(names), "topic", "left_semi"), "fetched")
+        return _run(store, attempt, fetch_full(own, per_topic), topics, "full", seed_watermarks(attempt.read("ingest_state").limit(0), names, now), url_status, provider, found, now, (least, most))
+    except BaseException:
+        attempt.abandon()
+        raise
 
 
 def run_incremental(store: Store, works: DataFrame, topics: Topics, now: str, *, since: str | None = None, url_status: DataFrame | None = None, provider=None, found=None, per_topic: int | None = PER_DELTA) -> Row:
     """Ingest what changed since each topic's watermark, which then is the run's start, also if nothing changed."""
-    t = store.tables()
-    marks = {r["topic"]: r["last_incremental_at"] for r in t["ingest_state"].collect()}  # one row a topic
-    for slug, *_ in topics:
-        if not marks.get(slug):
-            raise ValueError(f"topic {slug} has no watermark: run a full ingest first")
-    names = store.spark.createDataFrame(topics, "topic string, openalex_id string, name string").select("topic")
-    state = t["ingest_state"].join(F.broadcast(names), "topic", "left_semi")
-    changed, touched, counts = apply(t, fetch_delta(works, state, since, per_topic), topics, "incremental", url_status)
-    report = counts.head().asDict()
-    return _finish(store, t, changed, touched, report, advance_watermarks(t["ingest_state"], names, now), now, provider, found)
+    attempt = store.begin()
+    try:
+        stored = attempt.read("ingest_state")
+        marks = {r["topic"]: r["last_incremental_at"] for r in stored.collect()}  # one row a topic
+        for slug, *_ in topics:
+            if not marks.get(slug):
+                raise ValueError(f"topic {slug} has no watermark: run a full ingest first")
+        names = store.spark.createDataFrame(topics, "topic string, openalex_id string, name string").select("topic")
+        state = stored.join(F.broadcast(names), "topic", "left_semi")
+        return _run(store, attempt, fetch_delta(works, state, since, per_topic), topics, "incremental", advance_watermarks(state, names, now), url_status, provider, found, now, None)
+    except BaseException:
+        attempt.abandon()
+        raise
 
 
 def scheduled(run: Callable[[], object], sleep: Callable[[float], None], stopped: Callable[[], bool], interval: float = 86_400, retry: float = 300, longest: float = 3600) -> int:
