@@ -153,6 +153,13 @@ def dense(papers: DataFrame, vectors: DataFrame, vector: list[float]) -> DataFra
     return near.select(F.col("paper_id").alias("id"), sim.alias("sim")).where("sim is not null").orderBy(F.desc("sim"), "id").limit(WINDOW)
 
 
+def nearest(c: Corpus, papers: DataFrame, vector: list[float], some: bool = True) -> DataFrame:
+    """``dense`` over the corpus, from its vector index where it has one; ``some``: ``papers`` are not all papers."""
+    if c.vectors is None:
+        return dense(papers, c.paper_embedding, vector)
+    return c.vectors.search(vector, WINDOW, papers if some else None, exact=c.exact)
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Rows of a bounded list numbered from 1."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
@@ -186,7 +193,7 @@ def hybrid_list(c: Corpus, r: Request, dim: int = 64, embed: Callable[[str, int]
     papers = filtered(c, r)
     best = sparse(c, papers, {"": r.q or ""}).select("id", "score").orderBy(F.desc("score"), "id").limit(WINDOW)
     try:
-        near = dense(papers, c.paper_embedding, embed(r.q or "", dim))
+        near = nearest(c, papers, embed(r.q or "", dim), (r.year, r.topic, r.author, r.ids) != (None,) * 4)
     except Exception:
         near = papers.sparkSession.createDataFrame([], "id long, sim double")
     return fuse(
@@ -203,7 +210,10 @@ def matches(c: Corpus, r: Request) -> DataFrame:
     papers = filtered(c, r)
     if r.mode == "ranked":
         return sparse(c, papers, {"": r.q or ""}).drop("qid")
-    return papers.where(substring_match(r.q)) if r.q else papers
+    if not r.q:
+        return papers
+    found = c.grams.candidates(r.q) if c.grams else None
+    return (papers if found is None else papers.join(found, "id", "left_semi")).where(substring_match(r.q))
 
 
 ORDERS = {
@@ -241,6 +251,10 @@ def detail(c: Corpus, paper_id: int) -> DataFrame:
 
 def similar(c: Corpus, paper_id: int, limit: int = 5) -> DataFrame:
     """Nearest papers of one paper: top ``limit`` first, then only positive scores, rounded to 4 places; none without a vector."""
+    if c.vectors is not None:
+        own = c.vectors.vector_of(paper_id)
+        near = c.vectors.search(own, limit, exact=c.exact, other_than=paper_id) if own else c.spark.createDataFrame([], "id long, sim double")
+        return near.where("sim > 0").join(c.paper.select("id", "title"), "id").select("id", "title", F.round("sim", 4).alias("score"))
     probe = c.paper_embedding.where(F.col("paper_id") == paper_id).select(F.col("embedding").alias("probe"))  # one row
     others = c.paper_embedding.where(F.col("paper_id") != paper_id).join(F.broadcast(probe))
     sim = others.select(F.col("paper_id").alias("id"), F.round(T.cosine(F.col("embedding"), F.col("probe")), 6).alias("sim")).where("sim is not null")

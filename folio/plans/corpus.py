@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
+    from folio.operators.grams import GramIndex
     from folio.operators.index import Index
+    from folio.operators.vectors import VectorIndex
 
 
 class Corpus:
     """Lazy views of one input folder. Every view is a plan; nothing is read before an action.
 
-    ``index``, if set, is a stored search index of ``paper`` that BM25 reads instead of the texts.
+    Stored indexes, if set, are read instead of whole tables: ``index`` by BM25, ``grams`` by substring search,
+    both instead of the texts of ``paper``, and ``vectors`` by vector search instead of ``paper_embedding``
+    (``exact``: with the same result, else with nearly the same).
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, index: Index | None = None):
-        self.spark, self.sf_dir, self.index = spark, sf_dir, index
+    def __init__(self, spark: SparkSession, sf_dir: str, index: Index | None = None, grams: GramIndex | None = None, vectors: VectorIndex | None = None, exact: bool = True):
+        self.spark, self.sf_dir, self.index, self.grams, self.vectors, self.exact = spark, sf_dir, index, grams, vectors, exact
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import evaluate as E
+from folio.operators import grams as G
 from folio.operators import index as X
 from folio.operators import ingest as I
 from folio.operators import runs as U
 from folio.operators import search as S
+from folio.operators import vectors as V
 from folio.plans.corpus import Corpus, with_views
 from folio.sources import readers as R
 from folio.streaming import limits as L
@@ -129,11 +131,26 @@ def indexed(c: Corpus) -> Corpus:
 
 query("search_indexed", SQL["search_ranked"])(lambda c: S.matches(indexed(c), RANKED).orderBy(F.desc("score"), F.desc("publication_year"), F.desc("id")).limit(20).select("id", "publication_year", "score"))
 query("search_indexed_hybrid", SQL["search_hybrid"])(lambda c: S.page(indexed(c), HYBRID))
+
+
+def with_vectors(c: Corpus) -> Corpus:
+    return Corpus(c.spark, c.sf_dir, vectors=V.build(c.paper_embedding, X.new_path(c.spark)))
+
+
+def with_grams(c: Corpus) -> Corpus:
+    return Corpus(c.spark, c.sf_dir, grams=G.build(c.paper, X.new_path(c.spark)))
+
+
+query("search_dense_indexed", SQL["search_dense"])(lambda c: S.nearest(with_vectors(c), c.paper, S.query_vector(Q, DIM)))
+query("search_grams", SQL["search_legacy"])(lambda c: S.page(with_grams(c), S.Request(q=Q)))
+RARE = "gthe de"
+query("search_grams_rare", listing(" AND ".join(LIKE.format(t=t) for t in RARE.split())))(lambda c: S.page(with_grams(c), S.Request(q=RARE)))
 query("index_postings", with_views(" UNION ALL ".join(f"SELECT '{f}' AS field, id, w AS term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, unnest({t}) AS w, len({t}) AS n FROM tok) GROUP BY id, w" for f, t in (("title", "t1"), ("abstract", "t2"))), *bm25_ctes(Q)[:1]))(
     lambda c: indexed(c).index.postings.select(F.element_at(F.array(*map(F.lit, S.FIELDS)), F.col("field") + 1).alias("field"), "id", "term", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"))
 )
 query("similar_papers", with_views("""SELECT id, title, round(sim, 4) AS score FROM (SELECT o.paper_id AS id, round(list_cosine_similarity(o.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS sim
     FROM paper_embedding s JOIN paper_embedding o ON o.paper_id <> s.paper_id WHERE s.paper_id = 7 ORDER BY sim DESC, id LIMIT 5) JOIN paper USING (id) WHERE sim > 0"""))(lambda c: S.similar(c, 7))
+query("similar_indexed", SQL["similar_papers"])(lambda c: S.similar(with_vectors(c), 7))
 query("cosine_pairs", with_views("SELECT a.paper_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM paper_embedding a JOIN paper_embedding b ON b.paper_id = a.paper_id + 1"))(
     lambda c: c.paper_embedding.join(c.paper_embedding.select((F.col("paper_id") - 1).alias("paper_id"), F.col("embedding").alias("other")), "paper_id").select(F.col("paper_id").alias("id"), F.round(T.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 )
