@@ -204,7 +204,7 @@ def recover_abstracts(papers: DataFrame, found: Callable[[DataFrame], DataFrame]
     return after, after.join(got.where("abstract is not null").select("id").distinct(), "id", "left_semi")
 
 
-def _run(store: Store, attempt: Attempt, works: DataFrame, topics: Topics, run_type: str, state: DataFrame, url_status: DataFrame | None, provider, found, now: str, bounds: tuple[int, int] | None) -> Row:
+def _run(store: Store, attempt: Attempt, works: DataFrame, topics: Topics, run_type: str, state: DataFrame, url_status: DataFrame | None, provider, found, now: str, bounds: tuple[int, int] | None, more: dict | None = None) -> Row:
     """Ingest fetched works over the attempt's version and publish it."""
     works = attempt.keep(works, "works")
     url_status = attempt.keep(url_status, "url_status") if url_status is not None else None
@@ -234,7 +234,7 @@ def _run(store: Store, attempt: Attempt, works: DataFrame, topics: Topics, run_t
         report["embedded"] = report["touched"]
         new["paper_embedding"] = embedded(new["paper"].join(changed, "id", "left_semi"), provider)
     facts = {"last_id": attempt.facts.get("last_id", 0) + report["papers_new"], "papers": attempt.facts.get("papers", 0) + report["papers_new"]}
-    attempt.publish(new | {"ingest_state": state}, facts)
+    attempt.publish(new | {"ingest_state": state}, facts | (more or {}))
     return Row(**report, papers_in_db=facts["papers"])
 
 
@@ -269,6 +269,27 @@ def run_incremental(store: Store, works: DataFrame, topics: Topics, now: str, *,
         raise
 
 
+def run_batch(store: Store, works: DataFrame, topics: Topics, number: int, now: str | None = None, *, url_status: DataFrame | None = None, provider=None, found=None) -> Row | None:
+    """Ingest one batch of a stream of works and publish it with its number; None if that or a later number is published.
+
+    The topics' incremental marks become the latest change in the batch, or ``now``.
+    """
+    attempt = store.begin()
+    if attempt.facts.get("batch", -1) >= number:
+        return None
+    try:
+        own = attempt.keep(works, "batch")
+        names = store.spark.createDataFrame(topics, "topic string, openalex_id string, name string").select("topic")
+        latest = own.join(F.broadcast(names), "topic", "left_semi").groupBy("topic").agg(F.max("updated_date").alias("__at"))
+        state = backfill_watermarks(attempt.read("ingest_state"), names, "").join(latest, "topic")  # a row a topic
+        state = state.select("topic", "last_full_ingest_at", (F.lit(now) if now else F.greatest("last_incremental_at", "__at")).alias("last_incremental_at"))
+        own = newest(own.join(F.broadcast(names), "topic", "left_semi"), "updated_date", None)
+        return _run(store, attempt, own, topics, "stream", state, url_status, provider, found, now or "", None, {"batch": number})
+    except BaseException:
+        attempt.abandon()
+        raise
+
+
 def scheduled(run: Callable[[], object], sleep: Callable[[float], None], stopped: Callable[[], bool], interval: float = 86_400, retry: float = 300, longest: float = 3600) -> int:
     """Call ``run`` at once and then every ``interval`` seconds until ``stopped``; after failures wait as ``retry_wait`` says. Returns the runs that succeeded."""
     failures = done = 0
