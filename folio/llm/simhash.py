@@ -1,17 +1,18 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits that differ in at most ``distance`` bits share at least 8 - distance bytes
-at their positions. A list per (position, byte) holds a 256th of all rows, so tallies over these
-lists would look at a fixed share of all pairs. The index is therefore keyed by the sets of bytes
-the count filter asks for: 4 positions and their bytes, 70 sets for each distinct fingerprint. A
-pair is fetched exactly if its tally of shared positional bytes reaches 4; the tally is taken, held
-against the minimum, and the pair verified by its differing bits.
+at their positions. A list per (position, byte) would hold a 256th of all rows, so tallies over these
+lists would look at a fixed share of all pairs. A list is therefore kept for each set of one position less
+than the least tally and its bytes: for distance 4 the 56 sets of 3, each list with 1 of 2^24 unrelated
+fingerprints. Pairs that meet in a list share 3 bytes for certain. The tally of their shared positional
+bytes is then taken, those below the least tally go, and the others are verified by their differing bits.
 
-Inside a key no pairs are listed at first: its least and greatest fingerprint are compared with every
+Inside a list no pairs are made at first: its least and greatest fingerprint are compared with every
 member, which joins nearly all of a large group. Members that are still in different components
-afterwards are compared pair by pair where a key has at most HOT of them, and only links are listed.
-Larger keys are split by the same rule one level down: members share 4 bytes and differ in at
-most 4 of the 8 half bytes of the others, so a link shares one of the 70 sets of 4 half bytes.
+afterwards are compared pair by pair where a list has at most HOT of them, and only links are kept.
+Larger lists are split: of the half bytes outside a list's positions, in two equal parts, at most
+``distance`` differ between linked members, so one part has at least half of the equal ones in common
+(for distance 4: three of five, 20 sets of three half bytes).
 
 Cases: null and empty texts have fingerprint zero and link like any other. Texts under four words
 are one shingle; very long texts are hashed whole. Rows that repeat a doc_id keep a row each. A null
@@ -80,19 +81,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def keyed(distance: int = DISTANCE) -> int:
+    """Positions of a list: one less than the least tally, so that the tally decides."""
+    return max(1, 7 - distance)
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def masks(distance: int = DISTANCE) -> list[int]:
-    """One signed 64-bit mask per set of 8 - distance byte positions."""
-    whole = [sum(0xFF << 8 * k for k in chosen) for chosen in combinations(range(8), 8 - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
+    """One signed 64-bit mask per set of ``keyed`` byte positions."""
+    return [signed(sum(0xFF << 8 * k for k in chosen)) for chosen in combinations(range(8), keyed(distance))]
 
 
 def finer_masks(distance: int = DISTANCE) -> list[list[int]]:
-    """For each mask of ``masks`` one signed mask per set of ``distance`` half bytes outside it."""
+    """For each mask of ``masks`` signed masks of half bytes outside it: linked members agree in one of them."""
     out = []
-    for chosen in combinations(range(8), 8 - distance):
+    for chosen in combinations(range(8), keyed(distance)):
         rest = [n for k in range(8) if k not in chosen for n in (2 * k, 2 * k + 1)]
-        whole = [sum(0xF << 4 * n for n in some) for some in combinations(rest, distance)]
-        out.append([m - (1 << 64) if m >> 63 else m for m in whole])
+        half = len(rest) // 2
+        least = (len(rest) - distance + 1) // 2
+        sets = (some for part in (rest[:half], rest[half:]) for some in combinations(part, least))
+        out.append([signed(sum(0xF << 4 * n for n in some)) for some in sets])
     return out
 
 
@@ -102,8 +113,13 @@ def tally(a: Column, b: Column) -> Column:
     return sum((F.when(F.shiftright(other, 8 * k).bitwiseAND(F.lit(255).cast("long")) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
 
 
+def counted(a: Column, b: Column, distance: int) -> Column:
+    """Count filter: whether a pair of a list reaches the least tally that a link guarantees."""
+    return tally(a, b) >= 8 - distance
+
+
 def near(a: Column, b: Column, distance: int) -> Column:
-    return (tally(a, b) >= 8 - distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
+    return counted(a, b, distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -147,7 +163,7 @@ def rest_pairs(labelled: DataFrame, finer: Column, link: Callable[[str, str], Co
 def linked(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """(fp, root) of every distinct fingerprint that links to another: components of the link graph."""
     keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance)))).alias("s", "k")
-    # 70 rows come of each: a shuffle of its own, by another key, is not merged as the small input would be
+    # 56 rows come of each: a shuffle of its own, by another key, is not merged as the small input would be
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = fps.select("fp").distinct().repartition(n, F.xxhash64("fp")).select("fp", keys)
     buckets = postings.groupBy("s", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")

@@ -187,6 +187,37 @@ def test_simhash_links_are_complete(spark, hot):
     assert {f: got.get(f, f) for f in fps} == root
 
 
+def test_simhash_tally_decides(spark):
+    """Pairs meet in a list from three shared positional bytes on; those of three are left out by the tally alone."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(1 << 62))
+    rows = []
+    for shared in range(9):
+        for chosen in itertools.combinations(range(8), 8 - shared):
+            other = base
+            for k in chosen:
+                other ^= int(rng.integers(1, 128 if k == 7 else 256)) << 8 * k
+            meet = any(not (base ^ other) & m & (1 << 64) - 1 for m in simhash.masks())
+            rows.append((base, other, shared, meet))
+    assert all(meet == (shared >= 3) for *_, shared, meet in rows)
+    pairs = spark.createDataFrame(rows, "a long, b long, shared int, meet boolean")
+    a, b = F.col("a"), F.col("b")
+    got = pairs.withColumns({"tally": simhash.tally(a, b), "enough": simhash.counted(a, b, 4)}).collect()
+    assert all(r.tally == r.shared and r.enough == (r.shared >= 4) for r in got)
+    assert sum(r.meet and not r.enough for r in got) == 56
+
+
+@pytest.mark.parametrize("distance", range(8))
+def test_simhash_splits_keep_links(distance):
+    """Whatever ``distance`` half bytes of a list's other positions differ, one of its finer sets has none of them."""
+    whole = (1 << 64) - 1
+    for mask, finer in list(zip(simhash.masks(distance), simhash.finer_masks(distance), strict=True))[:5]:
+        rest = [n for n in range(16) if not mask >> 4 * n & 0xF]
+        for differ in itertools.combinations(rest, min(distance, len(rest))):
+            changed = sum(0xF << 4 * n for n in differ)
+            assert any(not m & whole & changed for m in finer)
+
+
 def test_deduplicated_drops_copies_of_similar_runs(spark):
     """Five-word Jaccard of 0.8 or more links texts whose fingerprints differ in more bits."""
 
