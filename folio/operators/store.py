@@ -28,10 +28,11 @@ SCHEMAS = {
     "paper_embedding": "paper_id long, embedding array<double>",
     "ingest_state": "topic string, last_full_ingest_at string, last_incremental_at string",
     "ingest_dlq": "run_type string, topic string, openalex_id string, doi string, title string, reason string, error_detail string, attempts int, status string",
+    "attempt": "key string, task string, paper_id long, run string, batch int, state string, attempts int",
 }
 #: The column that a table's rows are dealt by; tables whose rows are replaced by that key; others only grow.
-KEYS = {"paper": "openalex_id", "author": "openalex_id", "topic": "slug", "paper_author": "openalex_id", "paper_topic": "openalex_id", "paper_embedding": "paper_id", "ingest_state": "topic", "ingest_dlq": "openalex_id"}
-REPLACED = ("paper", "paper_embedding", "ingest_state")
+KEYS = {"paper": "openalex_id", "author": "openalex_id", "topic": "slug", "paper_author": "openalex_id", "paper_topic": "openalex_id", "paper_embedding": "paper_id", "ingest_state": "topic", "ingest_dlq": "openalex_id", "attempt": "key"}
+REPLACED = ("paper", "paper_embedding", "ingest_state", "attempt")
 #: Buckets of a new store, and folders that a bucket of a growing table may have before it is written anew.
 BUCKETS, FOLDERS = 64, 16
 

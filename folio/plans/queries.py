@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators import backfill as B
 from folio.operators import evaluate as E
 from folio.operators import grams as G
 from folio.operators import index as X
@@ -16,6 +17,7 @@ from folio.operators import ingest as I
 from folio.operators import runs as U
 from folio.operators import search as S
 from folio.operators import vectors as V
+from folio.operators.store import Store
 from folio.plans.corpus import Corpus, with_views
 from folio.sources import readers as R
 from folio.streaming import limits as L
@@ -357,6 +359,21 @@ def waterfall(c: Corpus) -> DataFrame:
 query("recovery_candidates", with_views("SELECT id FROM can", CANDIDATES))(lambda c: c.paper.where("abstract is null and doi is not null").select("id"))
 query("recover_waterfall", with_views("SELECT id, found, found_source FROM rec", *SOURCES))(lambda c: waterfall(c).select("id", "found", "found_source"))
 query("recover_batch", with_views("SELECT id, found AS abstract, found_source AS abstract_source FROM rec WHERE found IS NOT NULL ORDER BY id LIMIT 20", *SOURCES))(lambda c: waterfall(c).where("found is not null").orderBy("id").limit(I.RECOVERY_LIMIT).select("id", F.col("found").alias("abstract"), F.col("found_source").alias("abstract_source")))
+
+
+def backfilled(c: Corpus, batches: int = 4) -> DataFrame:
+    """All recoverable papers through a store and a backfill run of so many batches: what each got, with its ledger row."""
+    store = Store(c.spark, X.new_path(c.spark))
+    none = {n: F.lit(None).cast("string").alias(n) for n in ("abstract_source", "abstract_recovered_at")}
+    store.publish({"paper": c.paper.select("id", "openalex_id", "title", "abstract", "publication_year", "doi", "cited_by_count", *none.values())})
+    due = c.paper.where("abstract is null and doi is not null").count()
+    found = lambda part: waterfall(c).join(part.select("id"), "id", "left_semi").select("id", F.col("found").alias("abstract"), F.col("found_source").alias("abstract_source"))
+    B.Backfill(store, B.Abstracts(found, "2024-01-02T00:00:00"), "all", size=-(-due // batches), limit=None).run(most_empty=None)
+    t = store.tables()
+    return t["attempt"].join(t["paper"].withColumnRenamed("id", "paper_id"), "paper_id").select(F.col("paper_id").alias("id"), "abstract", "abstract_source", "batch", "state", "attempts")
+
+
+query("backfill_abstracts", with_views("SELECT id, found AS abstract, found_source AS abstract_source, floor((row_number() OVER (ORDER BY id) - 1) / ceil(count(*) OVER () / 4.0))::INTEGER AS batch, CASE WHEN found IS NULL THEN 'none' ELSE 'done' END AS state, 1 AS attempts FROM rec", *SOURCES))(backfilled)
 query("abstracts_by_source", with_views("SELECT found_source AS abstract_source, count(*) AS n FROM rec GROUP BY found_source", *SOURCES))(lambda c: waterfall(c).groupBy(F.col("found_source").alias("abstract_source")).agg(F.count(F.lit(1)).alias("n")))
 query("abstract_gap_counts", with_views("SELECT count(*) FILTER (abstract IS NULL) AS missing, count(*) FILTER (abstract IS NULL AND doi IS NOT NULL) AS recoverable FROM paper"))(lambda c: c.paper.agg(F.count_if(F.col("abstract").isNull()).alias("missing"), F.count_if(F.col("abstract").isNull() & F.col("doi").isNotNull()).alias("recoverable")))
 SENTENCE = "An abstract that stands on the page number {} and is long enough to be taken for one, since it has many words."

@@ -21,7 +21,7 @@ def test_entry(spark):
     assert 0 < len(rows) <= 20 and [(-r.publication_year, -r.id) for r in rows] == sorted((-r.publication_year, -r.id) for r in rows) or rows
 
 
-@pytest.mark.parametrize("name", ["search_legacy", "search_combined", "filter_ids", "search_ranked", "rrf_fuse", "similar_papers", "upsert_papers", "touched_papers", "doi_resolve", "recover_waterfall", "dlq_replay", "abstract_rebuild", "history_mru", "date_ladder", "eval_relevance", "eval_scorecard", "eval_degrade", "ingest_full", "ingest_incremental", "rate_limit", "qrels_load", "html_abstract", "url_guard", "arxiv_id", "normalize_work", "watermark_backfill"])
+@pytest.mark.parametrize("name", ["search_legacy", "search_combined", "filter_ids", "search_ranked", "rrf_fuse", "similar_papers", "upsert_papers", "touched_papers", "doi_resolve", "recover_waterfall", "backfill_abstracts", "dlq_replay", "abstract_rebuild", "history_mru", "date_ladder", "eval_relevance", "eval_scorecard", "eval_degrade", "ingest_full", "ingest_incremental", "rate_limit", "qrels_load", "html_abstract", "url_guard", "arxiv_id", "normalize_work", "watermark_backfill"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings", "supplier", "events", "pages", "region"):
