@@ -110,16 +110,21 @@ def with_counts(papers: DataFrame, corpus: DataFrame, terms: list[str]) -> DataF
     return counted(papers, *papers.columns).join(F.broadcast(counted(corpus).agg(*stats)))
 
 
+def part_of_score(df: Column, docs: Column, tf: Column, length: Column, mean: Column) -> Column:
+    """What a term that a field has ``tf`` times adds to a paper's BM25 score; ``mean`` is null or 0 where no paper has a token."""
+    idf = F.log(1 + (docs - df + 0.5) / (df + 0.5))
+    share, n = F.coalesce(F.try_divide(length, mean), F.lit(0.0)), tf.cast("double")
+    return idf * n * (K1 + 1) / (n + K1 * (1 - B + B * share))
+
+
 def score_of(terms: list[str], chosen: list[str]) -> Column:
     """BM25 score, rounded to 6 places, for some of the counted terms; null for a paper that has none of them."""
     score, hit = F.lit(0.0), F.lit(False)
     for f in FIELDS:
         for k in (terms.index(t) for t in chosen):
-            df, n = F.col(f"__df_{f}_{k}"), F.col(f"__tf_{f}_{k}").cast("double")
-            idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-            length = F.coalesce(F.try_divide(F.col(f"__len_{f}"), F.col(f"__avg_{f}")), F.lit(0.0))  # no paper has a token there
-            score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * length))
-            hit = hit | (n > 0)
+            tf = F.col(f"__tf_{f}_{k}")
+            score = score + part_of_score(F.col(f"__df_{f}_{k}"), F.col("__n"), tf, F.col(f"__len_{f}"), F.col(f"__avg_{f}"))
+            hit = hit | (tf > 0)
     return F.when(hit, F.round(score, 6))
 
 

@@ -75,3 +75,47 @@ def test_search_uses_it(spark, tmp_path):
     for mode in ("ranked", "hybrid"):
         both = [sorted(map(tuple, S.matches(c, S.Request(q="ice", mode=mode)).collect()), key=str) if mode == "ranked" else sorted(map(tuple, S.hybrid_list(c, S.Request(q="ice", mode=mode), dim=2).collect())) for c in (texts, stored)]
         assert both[0] == both[1] and both[0]
+
+
+def words(k: int, version: int = 0) -> tuple:
+    return (k, f"ice title {k % 7}", f"ice core {'long ' * (k % 5)}v{version} w{k % 11}" if k % 6 else None, 2020)
+
+
+def test_segments_equal_scan_over_many_refreshes(spark, tmp_path):
+    """New, changed, emptied, gone, returned and unknown papers; after each refresh all scores, postings and statistics equal a new index's."""
+    rows = {k: words(k) for k in range(60)}
+    index = X.build(spark.createDataFrame(list(rows.values()), PAPERS), f"{tmp_path}/0", folders=4, spread=1)
+    asked = {"a": "ice core", "b": "long w3 title", "c": "v1 v2 v3", "d": "none"}
+    steps = [{100: words(100, 1)}, {3: words(3, 1), 4: None}, {3: words(3, 2), 5: (5, None, None, 2020)}, {4: words(4, 3), 999: None}, {k: words(k, 3) for k in range(20, 45)}, {k: None for k in range(30)}]
+    most = 1
+    for n, step in enumerate(steps, 1):
+        rows = {k: v for k, v in (rows | step).items() if v}
+        papers = spark.createDataFrame(list(rows.values()), PAPERS)
+        index = X.refresh(index, papers, spark.createDataFrame([(k,) for k in (*step, None)], "id long"), f"{tmp_path}/{n}", spread=1)
+        most = max(most, len(index.segments))
+        whole = X.build(papers, f"{tmp_path}/whole{n}", folders=4, spread=1)
+        assert index.sums == whole.sums
+        assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, whole.postings.collect()))
+        assert scores(index.bm25_many(papers, asked)) == scores(S.bm25_many(papers, papers, asked)) != []
+        assert sorted(map(tuple, index.frequencies(["ice", "v3"]).where("df > 0").collect())) == sorted(map(tuple, whole.frequencies(["ice", "v3"]).collect()))
+    assert 1 < most < len(steps)
+
+
+def test_one_changed_paper_writes_one_small_segment(spark, tmp_path):
+    papers = spark.createDataFrame([words(k) for k in range(200)], PAPERS)
+    old = X.build(papers, f"{tmp_path}/old", spread=1)
+    after = papers.where("id <> 7").unionByName(spark.createDataFrame([words(7, 9)], PAPERS))
+    fresh = X.refresh(old, after, spark.createDataFrame([(7,)], "id long"), f"{tmp_path}/new")
+    assert fresh.segments[0] == old.segments[0] and len(fresh.segments) == 2
+    assert {r.id for r in spark.read.parquet(f"{tmp_path}/new/segment/postings").collect()} == {7}
+    same = X.refresh(fresh, after, spark.createDataFrame([(5000,)], "id long"), f"{tmp_path}/same")
+    assert same.segments == fresh.segments and same.sums == fresh.sums
+    with pytest.raises(Exception):  # an index that was never finished
+        X.Index(spark, f"{tmp_path}/new/segment")
+
+
+def test_merge_policy():
+    assert X._from([("a", 1000, 0), ("b", 10, 0)]) == 1
+    assert X._from([("a", 1000, 0), ("b", 20, 0), ("c", 10, 0)]) == 1
+    assert X._from([("a", 60, 0), ("b", 20, 0), ("c", 10, 0)]) == 0
+    assert X._from([("a", 1000, 0), ("b", 0, 500)]) == 0, "papers that only go make a segment heavy too"
