@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +22,69 @@ def best(rows: DataFrame, most: int, *order: Column, name: str = "rank") -> Data
     return rows.withColumn(name, F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col(name) <= most)
 
 
+def loaded(rows: DataFrame) -> tuple:
+    """Judgements (see ``read_qrels``) as (qid, q, relevant substrings, year, author), in the order of qid; a set of queries is small."""
+    return tuple((r.qid, r.q, tuple(r.relevant_substrings), r.year, r.author) for r in rows.orderBy("qid").collect())
+
+
+def _parts(qrel: tuple) -> tuple:
+    """(qid, q, relevant substrings, year, author) of a judgement, whose last two may be left out."""
+    return (*qrel, None, None)[:5]
+
+
+def accepted(qrels=QRELS) -> tuple[tuple, list[str]]:
+    """The judgements that can be searched for, and a warning for each other one, which counts as an empty list."""
+    fit, warnings = [], []
+    for qid, q, subs, year, author in map(_parts, qrels):
+        try:
+            S.Request(q=q, mode="hybrid", year=year, author=author, page_size=RECALL_K).validate()
+        except ValueError as error:
+            warnings.append(f"{qid}: {error}, treated as empty")
+        else:
+            fit.append((qid, q, subs, year, author))
+    return tuple(fit), warnings
+
+
+def _filterable(c: Corpus, qrels: tuple) -> DataFrame:
+    """Papers with ``__by``: which of the judgements' authors wrote them."""
+    names = sorted({author for *_, author in qrels if author})
+    if not names:
+        return c.paper.withColumn("__by", F.array().cast("array<string>"))
+    said = F.array_compact(F.array(*(F.when(T.contains_any_case(F.col("name"), x), F.lit(x)) for x in names)))
+    people = c.author.select(F.col("id").alias("author_id"), F.explode(said).alias("__name"))
+    by = c.paper_author.join(people, "author_id").groupBy(F.col("paper_id").alias("id")).agg(F.collect_set("__name").alias("__by"))
+    return c.paper.join(by, "id", "left")
+
+
+def _passes_filters(year: int | None, author: str | None) -> Column:
+    of_year = F.lit(True) if year is None else F.col("publication_year") == year
+    return F.coalesce(of_year & (F.array_contains("__by", author) if author else F.lit(True)), F.lit(False))
+
+
 def runs(c: Corpus, qrels=QRELS, dim: int = 64) -> DataFrame:
-    """(qid, mode, rank, id, title) of the first page of every query in every mode, in one pass over the corpus for each list."""
-    queries = {qid: q for qid, q, *_ in qrels}
-    for q in queries.values():
-        S.Request(q=q, mode="hybrid", page_size=RECALL_K).validate()
+    """(qid, mode, rank, id, title) of the first page of every query in every mode, in one pass over the corpus for each list.
+
+    A judgement's year and author filter before ranking; one that can't be searched for (see ``accepted``) has no rows.
+    """
+    fit, _ = accepted(qrels)
+    if not fit:
+        return c.paper.select(F.lit("").alias("qid"), F.lit("").alias("mode"), F.lit(0).alias("rank"), "id", "title").limit(0)
+    queries = {qid: q for qid, q, *_ in fit}
+    some = any(year is not None or author for *_, year, author in fit)
+    papers = _filterable(c, fit) if some else c.paper
+    passes = {qid: _passes_filters(year, author) if some else F.lit(True) for qid, _, _, year, author in fit}
+    allowed = reduce(lambda a, x: a | ((F.col("qid") == x[0]) & x[1]), passes.items(), F.lit(False))
+    own = lambda rows: rows.where(allowed) if some else rows
     newest = (F.desc("publication_year"), F.desc("id"))
-    said = F.explode(F.array_compact(F.array(*(F.when(S.substring_match(q), F.lit(qid)) for qid, q in queries.items())))).alias("qid")
-    legacy = best(c.paper.select("id", "title", "publication_year", said), RECALL_K, *newest)
-    scores = S.sparse(c, c.paper, queries)
+    said = F.explode(F.array_compact(F.array(*(F.when(S.substring_match(q) & passes[qid], F.lit(qid)) for qid, q in queries.items())))).alias("qid")
+    legacy = best(papers.select("id", "title", "publication_year", said), RECALL_K, *newest)
+    scores = own(S.sparse(c, papers, queries))
     ranked = best(scores, RECALL_K, F.desc("score"), *newest)
     sparse = best(scores.select("qid", "id", "score"), S.WINDOW, F.desc("score"), F.asc("id"), name="sparse_rank")
     probes = F.explode(F.array(*(F.struct(F.lit(qid).alias("qid"), F.array(*map(F.lit, S.query_vector(q, dim))).alias("v")) for qid, q in queries.items()))).alias("p")
-    near = c.paper_embedding.select(F.col("paper_id").alias("id"), "embedding", probes).select("id", "p.qid", F.round(T.cosine(F.col("embedding"), F.col("p.v")), 6).alias("sim")).where("sim is not null")
+    vectors = c.paper_embedding.withColumnRenamed("paper_id", "id")
+    vectors = vectors.join(papers.select("id", "publication_year", "__by"), "id") if some else vectors
+    near = own(vectors.select("*", probes).withColumn("qid", F.col("p.qid"))).select("id", "qid", F.round(T.cosine(F.col("embedding"), F.col("p.v")), 6).alias("sim")).where("sim is not null")
     dense = best(near, S.WINDOW, F.desc("sim"), F.asc("id"), name="dense_rank")
     both = dense.select("qid", "id", "dense_rank").join(sparse.select("qid", "id", "sparse_rank"), ["qid", "id"], "full_outer").withColumn("rrf", S.rrf())
     hybrid = best(both, RECALL_K, *S.fused_order()).join(c.paper.select("id", "title"), "id")  # at most RECALL_K ids a query
@@ -47,7 +99,7 @@ def asked(spark: SparkSession, qrels=QRELS) -> DataFrame:
 
 def relevance(results: DataFrame, qrels=QRELS) -> DataFrame:
     """Results with ``rel``: the title (the results hold no abstract) has a relevant substring, whatever its case."""
-    subs = results.sparkSession.createDataFrame([(qid, list(s)) for qid, _, s in qrels], "qid string, subs array<string>")
+    subs = results.sparkSession.createDataFrame([(qid, list(s)) for qid, _, s, *_ in qrels], "qid string, subs array<string>")
     hit = F.exists("subs", lambda s: F.contains(F.lower("title"), F.lower(s)))
     return results.join(F.broadcast(subs), "qid").withColumn("rel", hit.cast("int")).drop("subs")
 

@@ -19,6 +19,7 @@ from folio.operators import search as S
 from folio.operators import vectors as V
 from folio.operators.store import Store
 from folio.plans.corpus import Corpus, with_views
+from folio.sources import polite as P
 from folio.sources import readers as R
 from folio.streaming import limits as L
 
@@ -103,15 +104,16 @@ query("search_sparse", with_views("SELECT id, score FROM score ORDER BY score DE
 DIM = 64
 
 
-def fused_ctes(q: str) -> list[str]:
-    """CTEs up to ``near`` (dense list), ``score`` (all BM25 matches) and ``fused`` (their fusion)."""
+def fused_ctes(q: str, where: str = "") -> list[str]:
+    """CTEs up to ``near`` (dense list), ``score`` (all BM25 matches) and ``fused`` (their fusion); ``where`` filters ``paper`` before both."""
+    some = f" WHERE id IN (SELECT id FROM paper WHERE {where})" if where else ""
     vector = f"(SELECT list_transform(range(0, {DIM}), lambda i: ('0x' || substr(sha256('{q}#' || (i // 32)), 1 + 2 * (i % 32)::INT, 2))::INT / 255.0e0 * 2 - 1))"
     return [
         f"probe AS MATERIALIZED (SELECT {vector} AS v)",
-        "near AS (SELECT paper_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS sim FROM paper_embedding, probe ORDER BY sim DESC, id LIMIT 100)",
+        "near AS (SELECT paper_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS sim FROM paper_embedding, probe" + some.replace("WHERE id", "WHERE paper_id") + " ORDER BY sim DESC, id LIMIT 100)",
         *bm25_ctes(q),
         "dl AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS dense_rank FROM near)",
-        "sl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS sparse_rank FROM (SELECT * FROM score ORDER BY score DESC, id LIMIT 100))",
+        f"sl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS sparse_rank FROM (SELECT * FROM score{some} ORDER BY score DESC, id LIMIT 100))",
         "fu AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1e0 / (60 + dense_rank), 0) + coalesce(1e0 / (60 + sparse_rank), 0), 12) AS rrf FROM dl FULL JOIN sl USING (id))",
         "fused AS (SELECT id, dense_rank::INTEGER AS dense_rank, sparse_rank::INTEGER AS sparse_rank, rrf, row_number() OVER (ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank)::INTEGER AS rank FROM fu)",
     ]
@@ -338,6 +340,19 @@ query("embedding_upsert", with_views("SELECT id, 'new' AS origin FROM mis UNION
 # ---- enrichment ----
 query("classify_status", with_views("SELECT url, CASE WHEN status = 200 THEN 'ok' WHEN status IN (404, 410) THEN 'dead' ELSE 'unknown' END AS state FROM url_status"))(lambda c: c.url_status.select("url", T.classify_status(F.col("status")).alias("state")))
 query("doi_audit", with_views("SELECT id, doi, status::VARCHAR AS status FROM paper JOIN url_status ON url = doi WHERE status <> 200"))(lambda c: c.paper.join(c.url_status, F.col("doi") == F.col("url")).where("status <> 200").select("id", "doi", F.col("status").cast("string").alias("status")).orderBy("status", "id"))
+#: A paper's number that one of these divides has a link with that status, the first that fits.
+STATUSES = ((11, 404), (19, 410), (23, 503))
+
+
+def answers(url: str, params: dict) -> tuple[int, dict, str]:
+    """What a host says to a doi of the views, as ``url_status`` has it."""
+    number = int(url.rsplit("/", 1)[1])
+    return next((status for n, status in STATUSES if number % n == 0), 200), {}, ""
+
+
+AUDIT = "SELECT id, doi, status::VARCHAR AS status, CASE WHEN status IN (404, 410) THEN 'dead' ELSE 'unknown' END AS state FROM paper JOIN url_status ON url = doi WHERE status <> 200"
+# one host has every doi
+query("doi_audit_probed", with_views(AUDIT))(lambda c: P.audited(c.paper, P.probed(c.paper.select(F.col("doi").alias("url")), answers, P.Manners(rate=1e6))))
 query("doi_bare", with_views("SELECT id, regexp_replace(doi, '^https?://doi\\.org/', '') AS bare FROM paper"))(lambda c: c.paper.select("id", T.bare_doi(F.col("doi")).alias("bare")))
 query("doi_source", with_views("SELECT id, CASE WHEN contains(doi, '10.1007') THEN 'springer' WHEN contains(doi, '10.1016') THEN 'elsevier' ELSE 'html_generic' END AS source_tag FROM paper"))(lambda c: c.paper.select("id", T.doi_source(F.col("doi")).alias("source_tag")))
 query("arxiv_id", with_views(f"SELECT topic, ord, list_filter(list_transform([doi] || landing_pages, lambda x: regexp_extract(coalesce(x, ''), '{T.ARXIV}', 1)), lambda x: x <> '')[1] AS arxiv FROM works"))(lambda c: c.works.select("topic", "ord", T.arxiv_id(F.col("doi"), F.col("landing_pages")).alias("arxiv")))
@@ -408,15 +423,18 @@ def _(c):
 
 
 # ---- evaluation ----
-def runs_sql() -> str:
+def runs_sql(qrels=E.QRELS) -> str:
     """(qid, mode, rank, id, title) of the first page of every query in every mode."""
     top = "SELECT '{}' AS qid, '{}' AS mode, row_number() OVER (ORDER BY {o})::INTEGER AS rank, id, title FROM ({}) ORDER BY {o} LIMIT " + str(E.RECALL_K)
     parts = []
-    for qid, q, _ in E.QRELS:
-        nested = "WITH " + ", ".join(fused_ctes(q)) + " "
+    for qid, q, _, *filters in qrels:
+        year, author = (*filters, None, None)[:2]
+        where = " AND ".join(([f"publication_year = {year}"] if year is not None else []) + ([BY_AUTHOR.format(author)] if author else []))
+        own = f" AND {where}" if where else ""
+        nested = "WITH " + ", ".join(fused_ctes(q, where)) + " "
         parts += [
-            top.format(qid, "legacy", "SELECT * FROM paper WHERE " + " AND ".join(LIKE.format(t=t) for t in q.split()), o="publication_year DESC, id DESC"),
-            top.format(qid, "ranked", nested + "SELECT id, title, score, score.publication_year FROM paper JOIN score USING (id)", o="score DESC, publication_year DESC, id DESC"),
+            top.format(qid, "legacy", "SELECT * FROM paper WHERE " + " AND ".join(LIKE.format(t=t) for t in q.split()) + own, o="publication_year DESC, id DESC"),
+            top.format(qid, "ranked", nested + "SELECT id, title, score, score.publication_year FROM paper JOIN score USING (id) WHERE true" + own.replace("publication_year", "paper.publication_year"), o="score DESC, publication_year DESC, id DESC"),
             top.format(qid, "hybrid", nested + "SELECT id, title, fused.rank AS pos FROM paper JOIN fused USING (id)", o="pos"),
         ]
     return "runs AS (" + " UNION ALL ".join(f"(SELECT * FROM ({x}))" for x in parts) + ")"
@@ -451,6 +469,10 @@ query("qrels_load", "SELECT * FROM (VALUES ('q1', 'this from', 'this', NULL::INT
     lambda c: R.read_qrels(c.spark, f"file://{Path(__file__).with_name('qrels.jsonl')}").select("qid", "q", F.array_join("relevant_substrings", "|").alias("relevant"), "year", "author")
 )
 
+QRELS_FILE = f"file://{Path(__file__).with_name('qrels.jsonl')}"
+FILTERED = (("q1", "this from", ("this",)), ("q2", "with", ("with", "that"), 2020), ("q3", "que", ("que", "para"), None, "Supplier"))
+query("eval_filtered", with_views("SELECT * FROM runs", runs_sql(FILTERED)))(lambda c: E.runs(c, E.loaded(R.read_qrels(c.spark, QRELS_FILE))))
+
 # ---- lists, limits and page arithmetic ----
 LISTS = "li AS (SELECT user_id, list(DISTINCT event_id % 50 ORDER BY event_id % 50) AS a, [3, 7, 3, 60]::BIGINT[] AS b FROM events GROUP BY user_id)"
 

@@ -213,6 +213,8 @@ SECTIONS = (
     ("div.abstract.author", 50), ("section#abstract", 50), ("div#abstracts", 50), ("div.abstract", 50),
     ("section.abstract", 80), ("article section.abstract", 80),
 )
+#: Elements whose text a page doesn't show.
+HIDDEN = {"script", "style", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -257,6 +259,8 @@ class _Page(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if any(tag in HIDDEN for tag, _ in self.open):
+            return
         for selector, pieces in self.found.items():
             if selector not in self.done:
                 pieces.append(data)
@@ -266,6 +270,7 @@ def abstract_of_html(html: str | None) -> str | None:
     """Abstract of a publisher's page: the first meta tag, else the first section, that is long enough."""
     page = _Page()
     page.feed(html or "")
+    page.close()
     clean = lambda x: " ".join(x.split())
     for key, name, least in METAS:
         if len(text := clean(page.metas.get((key, name), ""))) >= least:
