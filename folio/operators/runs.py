@@ -8,10 +8,11 @@ buckets of a stored table that these works fall into.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -290,7 +291,11 @@ def run_batch(store: Store, works: DataFrame, topics: Topics, number: int, now:
         raise
 
 
-def scheduled(run: Callable[[], object], sleep: Callable[[float], None], stopped: Callable[[], bool], interval: float = 86_400, retry: float = 300, longest: float = 3600) -> int:
+#: Most seconds of chance that a wait after a failure gets on top, so that several schedulers don't retry at once.
+JITTER = 30.0
+
+
+def scheduled(run: Callable[[], object], sleep: Callable[[float], None], stopped: Callable[[], bool], interval: float = 86_400, retry: float = 300, longest: float = 3600, jitter: Callable[[], float] = lambda: random.uniform(0, JITTER)) -> int:
     """Call ``run`` at once and then every ``interval`` seconds until ``stopped``; after failures wait as ``retry_wait`` says. Returns the runs that succeeded."""
     failures = done = 0
     while not stopped():
@@ -300,7 +305,7 @@ def scheduled(run: Callable[[], object], sleep: Callable[[float], None], stopped
             wait = max(60.0, interval)
         except Exception:
             failures += 1
-            wait = retry_wait(failures, max(60.0, retry), max(60.0, longest))
+            wait = retry_wait(failures, max(60.0, retry), max(60.0, longest), jitter())
         if not stopped():
             sleep(wait)
     return done
@@ -309,3 +314,8 @@ def scheduled(run: Callable[[], object], sleep: Callable[[float], None], stopped
 def retry_wait(failures: int, retry: float = 300, longest: float = 3600, jitter: float = 0.0) -> float:
     """Seconds to wait after so many failures in a row: the first waits twice ``retry``."""
     return min(retry * 2 ** min(failures, 5), longest) + jitter
+
+
+def retry_waits(failures: Column, retry: float = 300, longest: float = 3600) -> Column:
+    """``retry_wait`` of a column, without jitter."""
+    return F.least(F.lit(float(retry)) * F.pow(F.lit(2), F.least(failures, F.lit(5))), F.lit(float(longest)))

@@ -16,6 +16,7 @@ from folio.operators import index as X
 from folio.operators import ingest as I
 from folio.operators import runs as U
 from folio.operators import search as S
+from folio.operators import upkeep as K
 from folio.operators import vectors as V
 from folio.operators.store import Store
 from folio.plans.corpus import Corpus, with_views
@@ -333,9 +334,18 @@ query("embedding_missing", with_views("SELECT id FROM mis", MISS))(lambda c: wit
 query("embedding_missing_count", with_views("SELECT count(*) AS missing FROM mis", MISS))(lambda c: without_vector(c).agg(F.count(F.lit(1)).alias("missing")))
 query("embedding_backfill", with_views(f"SELECT id, {FIRST} FROM (SELECT id, {TEXT} AS t FROM mis) WHERE t <> ''", MISS))(lambda c: embedded(without_vector(c)).select("id", F.round(F.get("embedding", F.lit(0)), 6).alias("first_component")))
 query("embed_touched", with_views(f"SELECT openalex_id, {FIRST} FROM (SELECT openalex_id, {TEXT} AS t FROM tch) WHERE t <> ''", OLD, NEW, TOUCH))(lambda c: embedded(I.touched(*old_and_new(c))).select("openalex_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first_component")))
-query("embedding_upsert", with_views("SELECT id, 'new' AS origin FROM mis UNION ALL SELECT paper_id, 'kept' FROM paper_embedding", MISS))(
-    lambda c: embedded(without_vector(c)).select("id", F.lit("new").alias("origin")).union(c.paper_embedding.select(F.col("paper_id").alias("id"), F.lit("kept").alias("origin")))
-)
+UPSERT = f"""ups AS (SELECT id, {FIRST} FROM (SELECT id, {TEXT} AS t FROM paper WHERE id IN (SELECT id FROM mis) OR id % 5 = 0) WHERE t <> ''),
+    old AS (SELECT paper_id AS id, round(embedding[1]::DOUBLE, 6) AS first_component FROM paper_embedding WHERE paper_id NOT IN (SELECT id FROM ups))"""
+
+
+@query("embedding_upsert", with_views("SELECT * FROM ups UNION ALL SELECT * FROM old", MISS, UPSERT))
+def _(c):
+    """Vectors of papers that have none and anew of every fifth paper, whose stored vectors they replace."""
+    due = without_vector(c).select(*c.paper.columns).union(c.paper.where("id % 5 = 0")).dropDuplicates(["id"])
+    new = embedded(due).select(F.col("id").alias("paper_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    old = c.paper_embedding.select("paper_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return U.with_vectors(old, new).select(F.col("paper_id").alias("id"), F.round(F.get("embedding", F.lit(0)), 6).alias("first_component"))
+
 
 # ---- enrichment ----
 query("classify_status", with_views("SELECT url, CASE WHEN status = 200 THEN 'ok' WHEN status IN (404, 410) THEN 'dead' ELSE 'unknown' END AS state FROM url_status"))(lambda c: c.url_status.select("url", T.classify_status(F.col("status")).alias("state")))
@@ -422,6 +432,31 @@ def _(c):
     return whole.select("doc_id", T.rebuilt_abstract(F.col("index")).alias("abstract"))
 
 
+# ---- upkeep ----
+def seeded(c: Corpus) -> DataFrame:
+    """The papers as fixtures into a store that has every third of them: the counts of two calls and the store's links after them."""
+    store = Store(c.spark, X.new_path(c.spark))
+    store.publish({"paper": c.paper.where("id % 3 = 0").select("id", "openalex_id", "title", "abstract", "publication_year", "doi", "cited_by_count", *(F.lit(None).cast("string").alias(n) for n in ("abstract_source", "abstract_recovered_at")))})
+    fixtures = c.paper.select("openalex_id", "title", "abstract", "publication_year", F.array("source").alias("authors"), F.array("lang", "source").alias("topics"))
+    calls = [(n, *K.seed(store, fixtures)) for n in (1, 2)]
+    t = store.tables()
+    n = lambda name: F.broadcast(t[name].agg(F.count(F.lit(1)).alias(name)))
+    return c.spark.createDataFrame(calls, "call int, already long, inserted long").crossJoin(n("paper")).crossJoin(n("author")).crossJoin(n("topic")).crossJoin(n("paper_author")).crossJoin(n("paper_topic"))
+
+
+_SEEDS = """fx AS (SELECT id, lang, source FROM paper WHERE trim(title) <> ''), ins AS (SELECT * FROM fx WHERE id % 3 <> 0),
+    tp AS (SELECT DISTINCT id, trim(unnest([lang, source])) AS slug FROM ins)"""
+query("seed_fixtures", with_views("""SELECT call::INTEGER AS call, (SELECT count(*) FROM fx) - CASE call WHEN 1 THEN (SELECT count(*) FROM ins) ELSE 0 END AS already, CASE call WHEN 1 THEN (SELECT count(*) FROM ins) ELSE 0 END AS inserted,
+    (SELECT count(*) FROM paper WHERE id % 3 = 0) + (SELECT count(*) FROM ins) AS paper, (SELECT count(DISTINCT source) FROM ins) AS author, (SELECT count(DISTINCT slug) FROM tp) AS topic,
+    (SELECT count(source) FROM ins) AS paper_author, (SELECT count(*) FROM tp WHERE slug <> '') AS paper_topic FROM (SELECT unnest([1, 2]) AS call)""", _SEEDS))(seeded)
+query("topic_catalogue", with_views("SELECT slug, upper(slug) AS name, count(*) AS papers FROM paper_topic WHERE slug IS NOT NULL GROUP BY slug"))(
+    lambda c: K.catalogue(c.paper_topic.where("slug is not null").select("slug", F.upper("slug").alias("name")).distinct(), c.paper_topic)
+)
+query("ops_gauges", with_views("""SELECT count(*) AS papers, count(*) FILTER (abstract IS NULL) AS no_abstract, count(*) FILTER (abstract IS NULL AND doi IS NOT NULL) AS recoverable, count(*) FILTER (id NOT IN (SELECT paper_id FROM paper_embedding)) AS no_vector,
+    (SELECT count(*) FROM author) AS authors, (SELECT count(DISTINCT slug) FROM paper_topic) AS topics, (SELECT count(*) FROM works WHERE trim(display_name) = '') AS letters FROM paper"""))(
+    lambda c: K.gauges({"paper": c.paper, "paper_embedding": c.paper_embedding, "author": c.author, "topic": c.paper_topic.where("slug is not null").select("slug").distinct(), "ingest_dlq": c.works.where("trim(display_name) = ''").withColumn("status", F.lit("pending"))})
+)
+
 # ---- evaluation ----
 def runs_sql(qrels=E.QRELS) -> str:
     """(qid, mode, rank, id, title) of the first page of every query in every mode."""
@@ -504,7 +539,9 @@ query("page_math", with_views("SELECT id, greatest(1, ceil(id / 20.0))::BIGINT A
 query("scope_latest", with_views("SELECT id, round((id * 137.508e0) % 360, 6) AS angle, round(0.3e0 + (idx * 0.16e0) % 0.62e0, 6) AS radius FROM (SELECT id, row_number() OVER (ORDER BY publication_year DESC, id DESC) - 1 AS idx FROM paper) WHERE idx < 12"))(
     lambda c: S.ranked(c.paper.orderBy(F.desc("publication_year"), F.desc("id")).limit(12), F.desc("publication_year"), F.desc("id"), name="idx").select("id", F.round((F.col("id") * 137.508) % 360, 6).alias("angle"), F.round(0.3 + ((F.col("idx") - 1) * 0.16) % 0.62, 6).alias("radius"))
 )
-query("backoff_schedule", "SELECT r_regionkey::BIGINT AS failures, least(300 * pow(2, least(r_regionkey + 1, 5)), 3600)::DOUBLE AS wait_s FROM region")(lambda c: c.spark.createDataFrame([(r, float(U.retry_wait(r + 1))) for r in range(5)], "failures long, wait_s double"))
+query("backoff_schedule", with_views("SELECT topic, ord, (ord % 9)::INTEGER AS failures, least(300 * pow(2, least(ord % 9, 5)), 3600)::DOUBLE AS wait_s FROM works"))(
+    lambda c: c.works.select("topic", "ord", (F.col("ord") % 9).cast("int").alias("failures")).withColumn("wait_s", U.retry_waits(F.col("failures")))
+)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

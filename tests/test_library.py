@@ -214,7 +214,7 @@ def test_providers_and_schedule(spark):
         if not next(outcomes):
             raise RuntimeError
 
-    assert U.scheduled(run, waits.append, lambda: len(waits) == 4) == 2 and waits == [86_400, 600, 1200, 86_400] and U.retry_wait(9) == 3600
+    assert U.scheduled(run, waits.append, lambda: len(waits) == 4, jitter=lambda: 0.0) == 2 and waits == [86_400, 600, 1200, 86_400] and U.retry_wait(9) == 3600
 
 
 def test_metrics_of_empty_results(spark):
