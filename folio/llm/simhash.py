@@ -41,9 +41,11 @@ GRAM, SHARE = 5, 8
 BANDS, BAND = 20, 4
 #: Members of a key that are compared pair by pair; a comparison takes some ten nanoseconds and lists nothing.
 HOT = 2048
-#: Of BANDS * BAND min-hash bytes those that two texts must share to be held against each other whole: at a
-#: similarity of 0.8 as few are shared with a chance of 1 in 200,000. And bits of a text's odd sketch.
+#: Of BANDS * BAND min-hash bytes those that two texts must share to be held against each other whole in the first
+#: pass: at a similarity of 0.8 as few are shared with a chance of 1 in 200,000. And bits of a text's odd sketch.
 ALIKE, ODD = 48, 640
+#: Texts that are looked through for frequent runs, and how many of these must have one.
+LOOKED, FREQUENT = 1 << 15, 16
 FACTORS, TERMS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
@@ -140,19 +142,28 @@ def alike(a: Column, b: Column) -> Column:
     return ((10 + SHARE) * apart <= (10 - SHARE) * runs) & (unlike <= BANDS * BAND - ALIKE)
 
 
-def rest_pairs(labelled: DataFrame, finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+def odd_alike(a: Column, b: Column) -> Column:
+    """Of ``alike`` what rules out no similar pair: sizes, and the odd sketches."""
+    at = BANDS * BAND // 8
+    odd = [F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))) for k in range(at, at + ODD // 64)]
+    apart = sum((F.bit_count(x) for x in odd), F.lit(0))
+    m, n = (F.get(x, F.lit(at + ODD // 64)) for x in (a, b))
+    return (10 * F.least(m, n) >= SHARE * F.greatest(m, n)) & ((10 + SHARE) * apart <= (10 - SHARE) * (m + n))
+
+
+def rest_pairs(labelled: DataFrame, finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT, placed: bool = True) -> DataFrame:
     """(u, v, root_u, root_v): pairs of nodes of ``labelled`` (s, k, node, root) that share a key (s, k), have
     different roots and pass ``link`` (of the names of two nodes' structs: node, root and the columns of ``more``, by node).
 
-    Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` at its place are compared.
+    Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` are compared (``placed``: at its place).
     """
     apart = labelled.groupBy("s", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("s", "k", "n")
     rest = labelled.join(apart, ["s", "k"])
     rest = rest if more is None else rest.join(more.hint("merge"), "node")
-    both = ["node", "root", *(more.drop("node", "bands").columns if more is not None else ())]
+    both = ["node", "root", *(more.drop("node", "head").columns if more is not None else ())]
     cell = ["s", "k", "t", "l"]
     cold = rest.where(F.col("n") <= hot).select("s", "k", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("l"), *both)
-    warm = rest.where(F.col("n") > hot).select("s", "k", F.posexplode(finer).alias("t", "l"), *both)
+    warm = rest.where(F.col("n") > hot).select("s", "k", F.inline(F.transform(finer, lambda x, i: F.struct((i if placed else F.lit(0)).alias("t"), x.cast("long").alias("l")))), *both)
     mixed = warm.groupBy(*cell).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*cell)
     every = cold.union(warm.join(mixed, cell).select(*cold.columns))
     left, right = (every.select(*cell, *(F.col(c).alias(f"{c}_{x}") for c in both)) for x in "uv")
@@ -217,6 +228,37 @@ def _grams(text: str) -> tuple[int, np.ndarray]:
     return node - (1 << 64) if node >> 63 else node, np.fromiter(runs, np.uint64, len(runs))
 
 
+def _head(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The prefix of a set of runs, one longer than a similar pair needs, by 32 bits of each run.
+
+    All sets are put into one order, frequent runs last, else by hash. Two sets with a share of SHARE / 10 have at
+    least a = ceil(SHARE / 10 * n) runs of each in common, n its size. So the first common run is among the first n - a + 1
+    of both, and the first two (there are two, if the sets differ) are among the first n - a + 2.
+    """
+    n = len(grams)
+    order = np.lexsort((grams, np.isin(grams, frequent)))
+    return grams[order[: n + (SHARE * -n // 10) + 2]].astype(np.uint32).view(np.int32)
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Runs that FREQUENT or more of about LOOKED texts have, as far as one task sees them twice: at most some 800,000.
+
+    They only place runs in an order, so what is found is the same for any set of them.
+    """
+    every = max(1, docs.count() // LOOKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[np.ndarray] = []
+        for batch in batches:
+            own += [_grams(t)[1] for t in batch.column("text").to_pylist()]
+        runs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        yield pa.record_batch({"run": pa.array(runs[n > 1].view(np.int64)), "n": pa.array(n[n > 1].astype(np.int64))})
+
+    texts = id_and_text(docs).select("text").where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(every)) == 0)
+    found = texts.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("run").toArrow()
+    return np.sort(found.column("run").to_numpy().view(np.uint64))
+
+
 def _sketch(grams: np.ndarray) -> tuple[list[int], list[int]]:
     """(one signed hash per band of BAND min-hashes; as longs a byte of each min-hash, the parity of the
     runs of each residue by ODD, and the number of runs)."""
@@ -234,24 +276,26 @@ def _sketch(grams: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw: hash of the text, node: hash of its words, fp, bands, sig: sketches) of every row."""
+    """(doc_id, raw: hash of the text, node: hash of its words, fp, bands, sig: sketches, head: prefix) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:
             for batch in small(whole):
-                nodes, fps, bands = [], [], []
+                nodes, fps, bands, heads = [], [], [], []
                 for t in batch.column("text").to_pylist():
                     node, grams = _grams(t)
                     nodes.append(node)
                     fps.append(fingerprint(t))
                     bands.append(_sketch(grams))
+                    heads.append(_head(grams, shared.value))
                 longs = [pa.array([b[k] for b in bands], pa.list_(pa.int64())) for k in (0, 1)]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "node": pa.array(nodes, pa.int64()), "fp": pa.array(fps, pa.int64()), "bands": longs[0], "sig": longs[1]})
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "node": pa.array(nodes, pa.int64()), "fp": pa.array(fps, pa.int64()), "bands": longs[0], "sig": longs[1], "head": pa.array(heads, pa.list_(pa.int32()))})
 
     own = id_and_text(docs)
-    return own.withColumn("raw", _row(own)).mapInArrow(run, f"doc_id {kind}, raw long, node long, fp long, bands array<long>, sig array<long>")
+    return own.withColumn("raw", _row(own)).mapInArrow(run, f"doc_id {kind}, raw long, node long, fp long, bands array<long>, sig array<long>, head array<int>")
 
 
 def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -274,18 +318,21 @@ def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     """(node, root) of the nodes linked by fingerprints or by a share of GRAM-word runs of at least SHARE / 10.
 
-    Candidates share a band and are alike by their sketches; each is then verified on the whole sets of runs.
+    Candidates are verified on the whole sets of runs. The first ones share a band and are alike by their sketches, which joins
+    nearly all. What they leave apart is found without exception: each similar pair shares a run of its prefixes (see ``_head``).
+    Of a run with more than ``hot`` texts pairs are compared that share a second one.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = materialize(own.groupBy("node").agg(F.min("raw").alias("raw"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialize(own.groupBy("node").agg(F.min("raw").alias("raw"), F.min("fp").alias("fp"), *(F.first(x).alias(x) for x in ("bands", "sig", "head"))), "nodes")
     grouped = nodes.select("node", "fp").join(linked(nodes, distance), "fp", "left").select("node", F.coalesce("root", "fp").alias("g"))
     by_bits = grouped.join(grouped.groupBy("g").agg(F.min("node").alias("v")), "g").select(F.col("node").alias("u"), "v").where("u <> v")
     postings = nodes.repartition(n, F.xxhash64("node")).select("node", F.posexplode("bands").alias("s", "k"))
     buckets = postings.groupBy("s", "k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     members = materialize(postings.join(buckets.hint("merge"), ["s", "k"]), "members")
-    grams = materialize(_grams_of(docs, nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("raw")), "grams")
+    grams_of = lambda some: materialize(_grams_of(docs, nodes.join(some.distinct().hint("merge"), "node", "left_semi").select("raw")), "grams")
+    grams = grams_of(members.select("node"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
         a, b = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g_{x}")).hint("merge") for x in "uv")
         both = pairs.distinct().join(a, "u").join(b, "v").withColumn("__n", F.size(F.array_intersect("g_u", "g_v")))
         return both.where(10 * F.col("__n") >= SHARE * (F.size("g_u") + F.size("g_v") - F.col("__n"))).select("u", "v")
@@ -293,15 +340,20 @@ def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> D
     stars = members.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     sigs = [nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")).hint("merge") for x in "uv"]
     stars = stars.join(sigs[0], "u").join(sigs[1], "v").where(alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v")
-    sure = materialize(by_bits.union(verified(stars)), "links")
-    labels = components(sure)
-    labelled = materialize(members.select("s", "k", "node").join(labels, "node", "left").select("s", "k", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    sure = materialize(by_bits.union(verified(stars, grams)), "links")
     discard(members)
-    link = lambda u, v: alike(F.col(f"sig_{u}"), F.col(f"sig_{v}"))
-    # of a large bucket: pairs that agree in a second band
-    pairs = rest_pairs(labelled, F.filter("bands", lambda x, i: i != F.col("s")), link, nodes.select("node", "bands", "sig"), hot).select("u", "v")
-    found = components(sure.union(verified(pairs)))
-    for table in (labelled, grams, sure):
+    discard(grams)
+    labels = components(sure)
+    rooted = nodes.select("node", "head").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
+    prefix = F.slice("head", 1, F.greatest(F.lit(1), F.size("head") - 1))
+    runs = rooted.select(F.lit(0).alias("s"), F.explode(prefix.cast("array<long>")).alias("k"), "node", "root").repartition(n, "s", "k")
+    sized = lambda u, v: 10 * F.least(f"runs_{u}", f"runs_{v}") >= SHARE * F.greatest(f"runs_{u}", f"runs_{v}")
+    more = nodes.select("node", F.get("sig", F.size("sig") - 1).alias("runs"), "head")
+    pairs = rest_pairs(runs, F.filter("head", lambda x, i: i + 1 != F.array_position("head", F.col("k").cast("int"))), sized, more, hot, placed=False).select("u", "v").distinct()
+    pairs = materialize(pairs.join(sigs[0], "u").join(sigs[1], "v").where(odd_alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v"), "pairs")
+    grams = grams_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
+    found = components(sure.union(verified(pairs, grams)))
+    for table in (pairs, grams, sure):
         discard(table)
     return found
 
@@ -310,8 +362,7 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with all its columns, one row of each component of near copies: its least (doc_id, hash of the text), null doc_ids last.
 
     Links are those of op4 and those of texts whose sets of five-word runs have a Jaccard similarity of
-    0.8 or more. A pair of exactly 0.8 shares no band, and so is missed, with a chance of 1 in 37,000; in
-    a bucket of more than HOT texts that nothing else links, it must share two (missed: 1 in 2,500).
+    0.8 or more, all of them (runs are told apart by 64-bit hashes).
     """
     own = materialize(_signatures(docs), "signatures")
     # the least row of each node first: equal texts are merged by each task, before anything is dealt by node
