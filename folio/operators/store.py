@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -141,9 +141,13 @@ class Attempt:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _written(self, rows: DataFrame, kind: str, name: str) -> dict[str, str]:
-        """Folder of each bucket that gets rows."""
-        path = f"{self.folder}/{kind}/{name}"
-        rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns, self.bucket(F.col(KEYS[name])).alias("__bucket")).repartition("__bucket").write.partitionBy("__bucket").parquet(path)
+        """Folder of each bucket that gets rows. Of rows with a column ``__new`` those are left out that have a new row of their key."""
+        path, columns = f"{self.folder}/{kind}/{name}", self.spark.createDataFrame([], SCHEMAS[name]).columns
+        rows = rows.withColumn("__bucket", self.bucket(F.col(KEYS[name]))).repartition("__bucket")
+        if "__new" in rows.columns:  # in the buckets' tasks, so that stored rows are shuffled once
+            newest = F.max("__new").over(Window.partitionBy("__bucket", KEYS[name]))
+            rows = rows.withColumn("__newest", newest).where(F.col("__new") | ~F.col("__newest") | F.col(KEYS[name]).isNull())
+        rows.select(*columns, "__bucket").write.partitionBy("__bucket").parquet(path)
         found = [x.getPath().getName() for x in self.store._fs.listStatus(self.store._path(path)) if x.isDirectory()]
         return {x.removeprefix("__bucket="): f"{path}/{x}" for x in found if x.startswith("__bucket=")}
 
@@ -155,8 +159,8 @@ class Attempt:
             new = self._written(rows, "new", name)
             if name in REPLACED:
                 anew = [b for b in new if own.get(b)]
-                fresh = self.spark.read.schema(SCHEMAS[name]).parquet(*(new[b] for b in anew)) if anew else None
-                merged = self.read(name, anew).join(fresh.select(KEYS[name]), KEYS[name], "left_anti").unionByName(fresh) if anew else None
+                fresh = self.spark.read.schema(SCHEMAS[name]).parquet(*(new[b] for b in anew)).withColumn("__new", F.lit(True)) if anew else None
+                merged = self.read(name, anew).withColumn("__new", F.lit(False)).unionByName(fresh) if anew else None
             else:
                 anew = [b for b in new if len(own.get(b, ())) >= FOLDERS]
                 merged = self.read(name, anew).unionByName(self.spark.read.schema(SCHEMAS[name]).parquet(*(new[b] for b in anew))) if anew else None

@@ -19,23 +19,25 @@ def seed(store: Store, fixtures: DataFrame) -> Row:
     Papers that are there stay as they are, so a second call inserts none and publishes no version. Authors are found by
     name and topics by slug, and made where there is none. A fixture that is named twice is inserted once, with the
     smallest title; one without an id or title, and authors and topics that are null or blank, are left out. If
-    another run publishes meanwhile, Conflict is raised and nothing is inserted.
+    another run publishes meanwhile, Conflict is raised and nothing is inserted. Ids come first: ``fixtures`` is read again,
+    and must be as before, for the texts of those that are due.
     """
     attempt = store.begin()
     try:
         own = fixtures.where("openalex_id is not null and trim(title) <> ''")
-        first = F.min_by(F.struct("title", "abstract", "publication_year", "authors", "topics"), F.struct("title", "abstract", "publication_year")).alias("x")
-        own = attempt.keep(own.groupBy("openalex_id").agg(first).select("openalex_id", "x.*"), "fixtures")
-        there = attempt.read("paper", attempt.buckets_of(own.select("openalex_id")))
-        due = own.join(there.select("openalex_id"), "openalex_id", "left_anti")
+        ids = attempt.keep(own.select("openalex_id").distinct(), "ids")
+        there = attempt.read("paper", attempt.buckets_of(ids))
+        due = ids.join(there.select("openalex_id"), "openalex_id", "left_anti")
         last = attempt.facts.get("last_id")
         if last is None:
             last = attempt.read("paper").agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).head()["m"]
-        new = attempt.keep(U.numbered(due, "openalex_id", "id", last + 1), "seeded")
-        total, inserted = own.count(), new.count()
+        numbers = attempt.keep(U.numbered(due, "openalex_id", "id", last + 1), "numbers")
+        total, inserted = ids.count(), numbers.count()
         if not inserted:
             attempt.abandon()
             return Row(already=total, inserted=0)
+        first = F.min_by(F.struct("title", "abstract", "publication_year", "authors", "topics"), F.struct("title", "abstract", "publication_year")).alias("x")
+        new = attempt.keep(own.join(numbers, "openalex_id").groupBy("openalex_id", "id").agg(first).select("openalex_id", "id", "x.*"), "seeded")
         clean = lambda names: F.array_distinct(F.filter(F.transform(names, T.strip), lambda x: x != ""))
         by = new.select("openalex_id", F.explode(clean(F.col("authors"))).alias("name"))
         about = new.select("openalex_id", F.explode(clean(F.col("topics"))).alias("slug"))
