@@ -236,7 +236,9 @@ def _head(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     of both, and the first two (there are two, if the sets differ) are among the first n - a + 2.
     """
     n = len(grams)
-    order = np.lexsort((grams, np.isin(grams, frequent)))
+    # frequent is sorted; np.isin would sort it again for every text
+    often = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams if len(frequent) else np.zeros(n, bool)
+    order = np.lexsort((grams, often))
     return grams[order[: n + (SHARE * -n // 10) + 2]].astype(np.uint32).view(np.int32)
 
 
