@@ -46,6 +46,8 @@ HOT = 2048
 ALIKE, ODD = 48, 640
 #: Texts that are looked through for frequent runs, and how many of these must have one.
 LOOKED, FREQUENT = 1 << 15, 16
+#: Bits that tell rows which surely are not in a set of rows from others, before a shuffle.
+MARKS = 1 << 24
 FACTORS, TERMS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
@@ -151,24 +153,39 @@ def odd_alike(a: Column, b: Column) -> Column:
     return (10 * F.least(m, n) >= SHARE * F.greatest(m, n)) & ((10 + SHARE) * apart <= (10 - SHARE) * (m + n))
 
 
-def rest_pairs(labelled: DataFrame, finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT, placed: bool = True) -> DataFrame:
-    """(u, v, root_u, root_v): pairs of nodes of ``labelled`` (s, k, node, root) that share a key (s, k), have
-    different roots and pass ``link`` (of the names of two nodes' structs: node, root and the columns of ``more``, by node).
+def head_alike(a: Column, b: Column, m: Column, n: Column) -> Column:
+    """Whether texts of m and n runs with these prefixes (see ``_head``) may be similar; rules out no similar pair.
 
-    Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` are compared (``placed``: at its place).
+    A prefix holds all of a set's runs before its last one, so before the lesser of the two last ones the sets are
+    known whole, and differ there in no more runs than they may in all.
     """
-    apart = labelled.groupBy("s", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("s", "k", "n")
-    rest = labelled.join(apart, ["s", "k"])
-    rest = rest if more is None else rest.join(more.hint("merge"), "node")
-    both = ["node", "root", *(more.drop("node", "head").columns if more is not None else ())]
-    cell = ["s", "k", "t", "l"]
-    cold = rest.where(F.col("n") <= hot).select("s", "k", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("l"), *both)
-    warm = rest.where(F.col("n") > hot).select("s", "k", F.inline(F.transform(finer, lambda x, i: F.struct((i if placed else F.lit(0)).alias("t"), x.cast("long").alias("l")))), *both)
+    end = F.least(F.element_at(a, -1), F.element_at(b, -1))
+    x, y = F.filter(a, lambda r: r < end), F.filter(b, lambda r: r < end)
+    return (10 + SHARE) * (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))) <= (10 - SHARE) * (m + n)
+
+
+def rest_pairs(labelled: DataFrame, key: list[str], finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT, placed: bool = True) -> DataFrame:
+    """(u, v, root_u, root_v), stored: pairs of rows of ``labelled`` (key, node, root and others) that share a key,
+    have different roots and pass ``link`` (of the endings of both rows' column names).
+
+    Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` (of a row with the columns of
+    ``more``, by node) are compared (``placed``: at its place).
+    """
+    apart = labelled.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("__n")).where("lo < hi").select(*key, "__n")
+    rest = materialize(labelled.join(apart.hint("merge"), key), "rest")
+    both = [c for c in labelled.columns if c not in key]
+    cell = [*key, "t", "l"]
+    cold = rest.where(F.col("__n") <= hot).select(*key, F.lit(-1).alias("t"), F.lit(0).cast("long").alias("l"), *both)
+    warm = rest.where(F.col("__n") > hot)
+    warm = warm if more is None else warm.join(more.hint("merge"), "node")
+    warm = warm.select(*key, F.inline(F.transform(finer, lambda x, i: F.struct((i if placed else F.lit(0)).alias("t"), x.cast("long").alias("l")))), *both)
     mixed = warm.groupBy(*cell).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*cell)
     every = cold.union(warm.join(mixed, cell).select(*cold.columns))
     left, right = (every.select(*cell, *(F.col(c).alias(f"{c}_{x}") for c in both)) for x in "uv")
     pairs = left.join(right, cell).where(F.expr("node_u > node_v and root_u <> root_v") & link("u", "v"))
-    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "root_u", "root_v")
+    found = materialize(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "root_u", "root_v").distinct(), "apart")
+    discard(rest)
+    return found
 
 
 def linked(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
@@ -187,7 +204,7 @@ def linked(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFram
     labelled = materialize(members.select("s", "k", "fp").join(labels, "fp", "left").select("s", "k", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root")), "labelled")
     finer = F.transform(F.element_at(F.array(*map(F.lit, finer_masks(distance))), F.col("s") + 1), lambda m: F.col("node").bitwiseAND(m.cast("long")))
     discard(members)
-    pairs = rest_pairs(labelled, finer, lambda u, v: near(F.col(f"node_{u}"), F.col(f"node_{v}"), distance), hot=hot)
+    pairs = rest_pairs(labelled, ["s", "k"], finer, lambda u, v: near(F.col(f"node_{u}"), F.col(f"node_{v}"), distance), hot=hot)
     second = components(pairs.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
     joined = labelled.select(F.col("node").alias("fp"), "root").distinct().join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return joined.select("fp", F.coalesce("top", "root").alias("root"))
@@ -229,7 +246,7 @@ def _grams(text: str) -> tuple[int, np.ndarray]:
 
 
 def _head(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The prefix of a set of runs, one longer than a similar pair needs, by 32 bits of each run.
+    """The prefix of a set of runs, one longer than a similar pair needs, in its order: 32 bits of each run that keep the order.
 
     All sets are put into one order, frequent runs last, else by hash. Two sets with a share of SHARE / 10 have at
     least a = ceil(SHARE / 10 * n) runs of each in common, n its size. So the first common run is among the first n - a + 1
@@ -238,8 +255,10 @@ def _head(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     n = len(grams)
     # frequent is sorted; np.isin would sort it again for every text
     often = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams if len(frequent) else np.zeros(n, bool)
-    order = np.lexsort((grams, often))
-    return grams[order[: n + (SHARE * -n // 10) + 2]].astype(np.uint32).view(np.int32)
+    order = np.lexsort((grams, often))[: n + (SHARE * -n // 10) + 2]
+    high = grams[order] >> np.uint64(32)
+    # frequent runs take the last 256th of the values
+    return (np.where(often[order], np.uint64(255 << 24) + (high >> np.uint64(8)), high * np.uint64(255) >> np.uint64(8)).astype(np.int64) - (1 << 31)).astype(np.int32)
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -300,21 +319,40 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return own.withColumn("raw", _row(own)).mapInArrow(run, f"doc_id {kind}, raw long, node long, fp long, bands array<long>, sig array<long>, head array<int>")
 
 
+def _one(at: Column) -> Column:
+    """A long with the bit of ``at``'s rest by 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+
+def maybe(rows: DataFrame, of: Column, chosen: DataFrame, wanted: bool = True) -> DataFrame:
+    """``rows`` whose hash ``of`` may be in ``chosen`` (one column of hashes); not ``wanted``: those whose hash is not.
+
+    A hash sets one of MARKS bits, and their words are broadcast: at most 64-th as many rows of two longs, whatever the size of
+    ``chosen``. So the rows that surely are not wanted need no shuffle; of the others some are too many.
+    """
+    at = F.pmod(of, F.lit(MARKS))
+    word, bit = fresh(rows, "__word"), fresh(rows, "__bit")
+    only = F.pmod(F.col(chosen.columns[0]), F.lit(MARKS))
+    words = chosen.select(F.shiftright(only, 6).alias(word), _one(only).alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))
+    marked = F.coalesce(F.col(bit), F.lit(0).cast("long")).bitwiseAND(_one(at)) != 0
+    return rows.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), word, "left").where(marked if wanted else ~marked).select(*rows.columns)
+
+
 def _grams_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(node, grams) of the texts whose hash ``raw`` is in ``chosen``, each once.
+    """(node, grams) of the texts whose hash ``raw`` is in ``chosen`` and of some others, each once.
 
-    Equal texts are merged by each task before they are dealt by their hash, so a large group of them meets nowhere.
+    Equal texts are merged by each task before they are dealt, so a large group of them meets nowhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small(whole, limit=1_000_000):
-                both = [_grams(t) for t in batch.column("text").to_pylist()]
+                both = [_grams(t) for t in dict.fromkeys(batch.column("text").to_pylist())]
                 yield pa.record_batch({"node": pa.array([n for n, _ in both], pa.int64()), "grams": pa.array([g.view(np.int64) for _, g in both], pa.list_(pa.int64()))})
 
     own = id_and_text(docs)
-    texts = own.select(_row(own).alias("raw"), "text").dropDuplicates(["raw"]).join(chosen.hint("merge"), "raw", "left_semi")
-    return texts.select("text").mapInArrow(run, "node long, grams array<long>")
+    texts = maybe(own.select("text"), _row(own), chosen)
+    return texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
 def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
@@ -330,33 +368,39 @@ def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> D
     by_bits = grouped.join(grouped.groupBy("g").agg(F.min("node").alias("v")), "g").select(F.col("node").alias("u"), "v").where("u <> v")
     postings = nodes.repartition(n, F.xxhash64("node")).select("node", F.posexplode("bands").alias("s", "k"))
     buckets = postings.groupBy("s", "k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = materialize(postings.join(buckets.hint("merge"), ["s", "k"]), "members")
-    grams_of = lambda some: materialize(_grams_of(docs, nodes.join(some.distinct().hint("merge"), "node", "left_semi").select("raw")), "grams")
-    grams = grams_of(members.select("node"))
+    members = postings.join(buckets.hint("merge"), ["s", "k"])
 
-    def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        some = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        grams = materialize(_grams_of(docs, nodes.join(some.hint("merge"), "node", "left_semi").select("raw")), "grams")
         a, b = (grams.select(F.col("node").alias(x), F.col("grams").alias(f"g_{x}")).hint("merge") for x in "uv")
-        both = pairs.distinct().join(a, "u").join(b, "v").withColumn("__n", F.size(F.array_intersect("g_u", "g_v")))
-        return both.where(10 * F.col("__n") >= SHARE * (F.size("g_u") + F.size("g_v") - F.col("__n"))).select("u", "v")
+        both = pairs.join(a, "u").join(b, "v").withColumn("__n", F.size(F.array_intersect("g_u", "g_v")))
+        links = materialize(both.where(10 * F.col("__n") >= SHARE * (F.size("g_u") + F.size("g_v") - F.col("__n"))).select("u", "v"), "similar")
+        discard(grams)
+        discard(pairs)
+        return links
 
     stars = members.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     sigs = [nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")).hint("merge") for x in "uv"]
-    stars = stars.join(sigs[0], "u").join(sigs[1], "v").where(alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v")
-    sure = materialize(by_bits.union(verified(stars, grams)), "links")
-    discard(members)
-    discard(grams)
-    labels = components(sure)
-    rooted = nodes.select("node", "head").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "head")
-    prefix = F.slice("head", 1, F.greatest(F.lit(1), F.size("head") - 1))
-    runs = rooted.select(F.lit(0).alias("s"), F.explode(prefix.cast("array<long>")).alias("k"), "node", "root").repartition(n, "s", "k")
-    sized = lambda u, v: 10 * F.least(f"runs_{u}", f"runs_{v}") >= SHARE * F.greatest(f"runs_{u}", f"runs_{v}")
-    more = nodes.select("node", F.get("sig", F.size("sig") - 1).alias("runs"), "head")
-    pairs = rest_pairs(runs, F.filter("head", lambda x, i: i + 1 != F.array_position("head", F.col("k").cast("int"))), sized, more, hot, placed=False).select("u", "v").distinct()
-    pairs = materialize(pairs.join(sigs[0], "u").join(sigs[1], "v").where(odd_alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v"), "pairs")
-    grams = grams_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
-    found = components(sure.union(verified(pairs, grams)))
-    for table in (pairs, grams, sure):
-        discard(table)
+    stars = materialize(stars.join(sigs[0], "u").join(sigs[1], "v").where(alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v"), "pairs")
+    sure = materialize(by_bits.union(verified(stars)), "links")
+    runs = F.get("sig", F.size("sig") - 1)
+    rooted = nodes.select("node", runs.alias("runs"), "head").join(components(sure), "node", "left").repartition(n, F.xxhash64("node"))
+    prefix = F.posexplode(F.slice("head", 1, F.greatest(F.lit(1), F.size("head") - 1))).alias("at", "k")
+    postings = rooted.select("node", F.coalesce("root", "node").alias("root"), F.col("runs").cast("int").alias("runs"), prefix)
+
+    def placed(u: str, v: str) -> Column:
+        """Whether the run can be the first that a similar pair shares: enough runs follow it in both."""
+        least = SHARE * (F.col(f"runs_{u}") + F.col(f"runs_{v}"))
+        return ((10 + SHARE) * (F.col(f"runs_{u}") - F.col(f"at_{u}")) >= least) & ((10 + SHARE) * (F.col(f"runs_{v}") - F.col(f"at_{v}")) >= least)
+
+    apart = rest_pairs(postings, ["k"], F.filter("head", lambda x, i: i != F.col("at")), placed, nodes.select("node", "head"), hot, placed=False)
+    pairs = apart.select("u", "v").distinct().join(sigs[0], "u").join(sigs[1], "v").where(odd_alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v")
+    heads = [nodes.select(F.col("node").alias(x), F.col("head").alias(f"head_{x}"), runs.alias(f"runs_{x}")).hint("merge") for x in "uv"]
+    pairs = materialize(pairs.join(heads[0], "u").join(heads[1], "v").where(head_alike(*(F.col(c) for c in ("head_u", "head_v", "runs_u", "runs_v")))).select("u", "v"), "pairs")
+    discard(apart)
+    found = components(sure.union(verified(pairs)))
+    discard(sure)
     return found
 
 
@@ -373,7 +417,13 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     least = roots.groupBy("root").agg(F.min("h").alias("h"))
     head = materialize(least.select(F.col("h.doc_id").alias("__id"), F.col("h.raw").alias("__raw")), "heads")
     is_head = lambda rows, other: rows["doc_id"].eqNullSafe(other["__id"]) & (_row(rows) == other["__raw"])
-    kept = docs.join(head.hint("merge"), is_head(docs, head), "left_semi")
+    # only rows that may be left out are dealt to the heads, with their texts
+    rows = own.select("doc_id", "raw")
+    out = rows.join(head.hint("merge"), rows["doc_id"].eqNullSafe(head["__id"]) & (rows["raw"] == head["__raw"]), "left_anti").select(F.xxhash64("doc_id", "raw"))
+    out = materialize(out, "out")
+    named = F.xxhash64(docs["doc_id"], _row(docs))
+    some = maybe(docs, named, out)
+    kept = maybe(docs, named, out, wanted=False).union(some.join(head.hint("merge"), is_head(some, head), "left_semi"))
     again = own.groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id", "__raw")
     if again.isEmpty():
         return kept
