@@ -7,9 +7,9 @@ than the least tally and its bytes: for distance 4 the 56 sets of 3, each list w
 fingerprints. Pairs that meet in a list share 3 bytes for certain. The tally of their shared positional
 bytes is then taken, those below the least tally go, and the others are verified by their differing bits.
 
-Inside a list no pairs are made at first: its least and greatest fingerprint are compared with every
-member, which joins nearly all of a large group. Members that are still in different components
-afterwards are compared pair by pair where a list has at most HOT of them, and only links are kept.
+No pairs are made at first: in the lists of eight sets the least and greatest fingerprint are compared with
+every member, which joins most of a large group. Then the lists of all sets whose members are still in different
+components are compared pair by pair where a list has at most HOT of them, and only links are kept.
 Larger lists are split: of the half bytes outside a list's positions, in two equal parts, at most
 ``distance`` differ between linked members, so one part has at least half of the equal ones in common
 (for distance 4: three of five, 20 sets of three half bytes).
@@ -189,25 +189,28 @@ def rest_pairs(labelled: DataFrame, key: list[str], finer: Column, link: Callabl
 
 
 def linked(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """(fp, root) of every distinct fingerprint that links to another: components of the link graph."""
-    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance)))).alias("s", "k")
-    # 56 rows come of each: a shuffle of its own, by another key, is not merged as the small input would be
+    """(fp, root) of every distinct fingerprint: components of the link graph."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = fps.select("fp").distinct().repartition(n, F.xxhash64("fp")).select("fp", keys)
-    buckets = postings.groupBy("s", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+
+    def listed(rows: DataFrame, sets: list[int]) -> DataFrame:
+        # up to 56 rows come of each: a shuffle of its own, by another key, is not merged as the small input would be
+        return rows.repartition(n, F.xxhash64("node")).select("*", F.posexplode(F.array(*(F.col("node").bitwiseAND(F.lit(m)) for m in sets))).alias("s", "k"))
+
+    own = fps.select(F.col("fp").alias("node")).distinct()
+    # stars in a few lists join most of a large group, so that fewer of all lists are left with several components
+    some = listed(own, [signed(sum(0xFF << 8 * ((k + i) % 8) for i in range(keyed(distance)))) for k in range(8)])
+    ends = some.groupBy("s", "k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     # merged at every size: the optimizer takes postings for as small as the fingerprints they come from
-    members = materialize(postings.join(buckets.hint("merge"), ["s", "k"]), "members")
-    stars = [members.select(F.col("fp").alias("u"), F.col(p).alias("v")).where(near(F.col("u"), F.col("v"), distance)) for p in ("lo", "hi")]
-    first = components(stars[0].union(stars[1]))
-    # what these stars leave apart inside a key
-    labels = first.select(F.col("node").alias("fp"), "root")
-    labelled = materialize(members.select("s", "k", "fp").join(labels, "fp", "left").select("s", "k", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root")), "labelled")
+    stars = some.join(ends.hint("merge"), ["s", "k"]).select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
+    first = components(stars.where(near(F.col("u"), F.col("v"), distance)))
+    labelled = materialize(own.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labelled")
     finer = F.transform(F.element_at(F.array(*map(F.lit, finer_masks(distance))), F.col("s") + 1), lambda m: F.col("node").bitwiseAND(m.cast("long")))
-    discard(members)
-    pairs = rest_pairs(labelled, ["s", "k"], finer, lambda u, v: near(F.col(f"node_{u}"), F.col(f"node_{v}"), distance), hot=hot)
+    # what these stars leave apart inside a list, of all lists
+    pairs = rest_pairs(listed(labelled, masks(distance)), ["s", "k"], finer, lambda u, v: near(F.col(f"node_{u}"), F.col(f"node_{v}"), distance), hot=hot)
     second = components(pairs.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
-    joined = labelled.select(F.col("node").alias("fp"), "root").distinct().join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return joined.select("fp", F.coalesce("top", "root").alias("root"))
+    discard(pairs)
+    joined = labelled.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return joined.select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
 
 
 def _groups(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
