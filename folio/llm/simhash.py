@@ -44,8 +44,10 @@ HOT = 2048
 #: Of BANDS * BAND min-hash bytes those that two texts must share to be held against each other whole in the first
 #: pass: at a similarity of 0.8 as few are shared with a chance of 1 in 200,000. And bits of a text's odd sketch.
 ALIKE, ODD = 48, 640
-#: Texts that are looked through for frequent runs, and how many of these must have one.
-LOOKED, FREQUENT = 1 << 15, 16
+#: Members of a run from which on they are first held against PICKS of them.
+CROWD, PICKS = 32, 8
+#: Texts that are looked through for frequent runs, how many of all texts must have one, and the most that are kept.
+LOOKED, FREQUENT, MOST = 1 << 15, 16, 1 << 20
 #: Bits that tell rows which surely are not in a set of rows from others, before a shuffle.
 MARKS = 1 << 24
 FACTORS, TERMS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -164,16 +166,32 @@ def head_alike(a: Column, b: Column, m: Column, n: Column) -> Column:
     return (10 + SHARE) * (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))) <= (10 - SHARE) * (m + n)
 
 
-def rest_pairs(labelled: DataFrame, key: list[str], finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT, placed: bool = True) -> DataFrame:
+def rest_pairs(labelled: DataFrame, key: list[str], finer: Column, link: Callable[[str, str], Column], more: DataFrame | None = None, hot: int = HOT, placed: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(u, v, root_u, root_v), stored: pairs of rows of ``labelled`` (key, node, root and others) that share a key,
     have different roots and pass ``link`` (of the endings of both rows' column names).
 
     Of a key with more than ``hot`` nodes only pairs that also share a value of ``finer`` (of a row with the columns of
     ``more``, by node) are compared (``placed``: at its place).
+
+    Members of a key with more than CROWD nodes are first held against PICKS of them, where ``settle`` is given: it gets
+    these pairs (u, v) and returns (node, root) with what links they have. That joins most of what belongs together in rows
+    that grow with the members, not with their square; only keys that then still have several roots are compared whole.
     """
     apart = labelled.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("__n")).where("lo < hi").select(*key, "__n")
     rest = materialize(labelled.join(apart.hint("merge"), key), "rest")
     both = [c for c in labelled.columns if c not in key]
+    if settle is not None:
+        crowd = rest.where(F.col("__n") > CROWD)
+        members = crowd.select(*key, *(F.col(c).alias(f"{c}_u") for c in both))
+        drawn = (F.min(F.struct(F.xxhash64("node", *key, F.lit(j)).alias("h"), *both)) for j in range(PICKS))
+        picks = crowd.groupBy(*key).agg(F.array(*drawn).alias("p")).select(*key, F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(*(x[c].alias(f"{c}_v") for c in both))))).alias("p")).select(*key, "p.*")
+        tried = members.join(picks.hint("merge"), key).where(F.expr("root_u <> root_v") & link("u", "v"))
+        roots = settle(tried.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")))
+        whole = rest.drop("root").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).select(*rest.columns)
+        mixed = whole.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*key)
+        settled = materialize(whole.join(mixed.hint("merge"), key).select(*rest.columns), "rest")
+        discard(rest)
+        rest = settled
     cell = [*key, "t", "l"]
     cold = rest.where(F.col("__n") <= hot).select(*key, F.lit(-1).alias("t"), F.lit(0).cast("long").alias("l"), *both)
     warm = rest.where(F.col("__n") > hot)
@@ -265,22 +283,34 @@ def _head(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Runs that FREQUENT or more of about LOOKED texts have, as far as one task sees them twice: at most some 800,000.
+    """Runs that FREQUENT or more texts have, as far as about LOOKED of them tell: at least two of these must have one.
 
-    They only place runs in an order, so what is found is the same for any set of them.
+    Only the lower half of the hashes is counted: prefixes begin there, and hold a run of the other half only if over
+    three fifths of a text's runs are frequent. How many of the texts looked through must have a run falls as their share of all falls, so that the lists of the other runs don't
+    grow with the table. At most MOST are kept, those of most texts. They only place runs in an order, so what is found is the
+    same for any set of them.
     """
     every = max(1, docs.count() // LOOKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[np.ndarray] = []
-        for batch in batches:
-            own += [_grams(t)[1] for t in batch.column("text").to_pylist()]
-        runs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
-        yield pa.record_batch({"run": pa.array(runs[n > 1].view(np.int64)), "n": pa.array(n[n > 1].astype(np.int64))})
+        for whole in batches:
+            for batch in small(whole, limit=1_000_000):
+                own = [_grams(t)[1] for t in dict.fromkeys(batch.column("text").to_pylist())]
+                runs = np.concatenate([np.zeros(0, np.uint64), *own])
+                yield pa.record_batch({"run": pa.array(runs[runs < 1 << 63].view(np.int64))})
 
     texts = id_and_text(docs).select("text").where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(every)) == 0)
-    found = texts.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("run").toArrow()
-    return np.sort(found.column("run").to_numpy().view(np.uint64))
+    counts = texts.mapInArrow(run, "run long").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    found = materialize(counts.where(F.col("n") >= max(2, FREQUENT // every)).withColumn("n", F.least("n", F.lit(1 << 10))), "frequent")
+    least, total = 1 << 11, 0
+    for n, runs in sorted(((r.n, r.runs) for r in found.groupBy("n").agg(F.count(F.lit(1)).alias("runs")).collect()), reverse=True):
+        total += runs
+        if total > MOST:
+            break
+        least = n
+    kept = found.where(F.col("n") >= least).select("run").toArrow()
+    discard(found)
+    return np.sort(kept.column("run").to_numpy().view(np.uint64))
 
 
 def _sketch(grams: np.ndarray) -> tuple[list[int], list[int]]:
@@ -397,13 +427,24 @@ def _copies(docs: DataFrame, own: DataFrame, distance: int, hot: int = HOT) -> D
         least = SHARE * (F.col(f"runs_{u}") + F.col(f"runs_{v}"))
         return ((10 + SHARE) * (F.col(f"runs_{u}") - F.col(f"at_{u}")) >= least) & ((10 + SHARE) * (F.col(f"runs_{v}") - F.col(f"at_{v}")) >= least)
 
-    apart = rest_pairs(postings, ["k"], F.filter("head", lambda x, i: i != F.col("at")), placed, nodes.select("node", "head"), hot, placed=False)
-    pairs = apart.select("u", "v").distinct().join(sigs[0], "u").join(sigs[1], "v").where(odd_alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v")
     heads = [nodes.select(F.col("node").alias(x), F.col("head").alias(f"head_{x}"), runs.alias(f"runs_{x}")).hint("merge") for x in "uv"]
-    pairs = materialize(pairs.join(heads[0], "u").join(heads[1], "v").where(head_alike(*(F.col(c) for c in ("head_u", "head_v", "runs_u", "runs_v")))).select("u", "v"), "pairs")
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(sigs[0], "u").join(sigs[1], "v").where(odd_alike(F.col("sig_u"), F.col("sig_v"))).select("u", "v")
+        return materialize(pairs.join(heads[0], "u").join(heads[1], "v").where(head_alike(*(F.col(c) for c in ("head_u", "head_v", "runs_u", "runs_v")))).select("u", "v"), "pairs")
+
+    links = [sure]
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        links.append(verified(screened(pairs)))
+        return components(sure.union(links[-1]))
+
+    apart = rest_pairs(postings, ["k"], F.filter("head", lambda x, i: i != F.col("at")), placed, nodes.select("node", "head"), hot, placed=False, settle=settle)
+    pairs = screened(apart.select("u", "v"))
     discard(apart)
-    found = components(sure.union(verified(pairs)))
-    discard(sure)
+    found = components(sure.union(links[1]).union(verified(pairs)))
+    for stored in links:
+        discard(stored)
     return found
 
 
